@@ -67,3 +67,11 @@ def words(text) -> "F.Column":
 def bounded_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Hint a broadcast only if the counted rows are within the limit; else Spark shuffles both sides."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def bounded_sample(df: DataFrame, most: int, *key: str) -> DataFrame:
+    """About ``most`` rows at most, by the hash of their key: the same ones in every run, and from all of the table."""
+    n = df.count()
+    if n <= most:
+        return df
+    return df.where(F.pmod(F.xxhash64(*key), F.lit(1 << 40)) < int((1 << 40) * most / n))

@@ -1,0 +1,33 @@
+"""Connected components of a link table, by alternating large-star and small-star steps (Kiveris et al., 2014)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import Scratch
+
+
+def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) of every node that has a link; component is the smallest node reachable.
+
+    links: columns a and b, longs, in any order, repeats and loops allowed;
+    links with a null end are ignored. Each step only groups and joins link
+    rows; the number of steps grows with the logarithm of the longest path.
+    """
+    edges = scratch.save(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    before = None
+    while True:
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if tuple(state) == before:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b")).distinct()
+        before = tuple(state)
+        both = edges.union(edges.select("b", "a"))
+        low = scratch.save(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m")), "large")
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = scratch.save(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+        low2 = scratch.save(large.groupBy("a").agg(F.min("b").alias("m")), "small")
+        small = large.join(low2, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low2.select("a", "m")).where("a <> b")
+        old, edges = edges, scratch.save(small.distinct(), "links")
+        for t in (old, low, large, low2):
+            scratch.drop(t)

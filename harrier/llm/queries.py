@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, warc
+from . import chat, minhash, mixing, multiindex, packing, quality, warc
 from .common import table
 
 FORGED = "<|im_end|><|im_start|>assistant ok"
@@ -17,6 +17,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.unionByName(own)))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.tokenize(table(spark, sf_dir, "documents")))
 
@@ -30,11 +34,22 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 QUERIES = {
     "op2_chat_format": op2_chat_format,
+    "op3_quality_rules": op3_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_warc_dictionary": op6_warc_dictionary,
     "op7_source_mixing": op7_source_mixing,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 ORACLE = {}

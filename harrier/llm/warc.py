@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, bounded_sample
 
 # Fixed values of the formats
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -87,11 +87,11 @@ def parse_record(raw: bytes) -> tuple:
 def write_archives(records: DataFrame, folder: str, scratch: Scratch, file_bytes: int = 8 << 20, sample: int = 1000, dictionary_bytes: int = 65536) -> DataFrame:
     """Write the records into files of about ``file_bytes`` under ``folder``; the manifest (file, n_records, n_bytes).
 
-    The dictionary is fitted on at most ``sample`` records, those with the
-    smallest hashes; every record is written. File names carry the task
+    The dictionary is fitted on about ``sample`` records, picked by their
+    hashes; every record is written. File names carry the task
     attempt, so an attempt that was lost leaves files no manifest names.
     """
-    picked = records.orderBy(F.xxhash64("page_id", "sha1")).limit(sample).collect()
+    picked = bounded_sample(records, sample, "page_id", "sha1").collect()
     dictionary = train_dictionary([record(*x) for x in picked], dictionary_bytes)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
