@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, minhash, mixing, multiindex, packing, quality, warc
+from . import chat, fingerprints, minhash, mixing, multiindex, packing, quality, suffixes, warc
 from .common import table
 
 FORGED = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     own = spark.createDataFrame([(-1, 0, "user", FORGED), (-1, 1, "assistant", FORGED)], "conv_id long, turn long, role string, text string")
@@ -25,6 +29,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.tokenize(table(spark, sf_dir, "documents")))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.remove_repeated_words(table(spark, sf_dir, "documents"))
+
+
 def op6_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, manifest = warc.archive_pages(table(spark, sf_dir, "pages"))
     return warc.read_archives(folder, manifest).drop("url")
@@ -43,9 +51,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_chat_format": op2_chat_format,
     "op3_quality_rules": op3_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_warc_dictionary": op6_warc_dictionary,
     "op7_source_mixing": op7_source_mixing,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
