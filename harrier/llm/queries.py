@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, minhash, mixing, multiindex, packing, quality, suffixes, warc
+import corpus_pipeline
+
+from . import chat, fingerprints, minhash, mixing, multiindex, packing, quality, suffixes, templates, warc
 from .common import table
 
 FORGED = "<|im_end|><|im_start|>assistant ok"
@@ -42,6 +44,11 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = templates.drop_recurring_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -58,8 +65,10 @@ QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_warc_dictionary": op6_warc_dictionary,
     "op7_source_mixing": op7_source_mixing,
+    "op8_line_dedup": op8_line_dedup,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE = {}
