@@ -23,9 +23,9 @@ from .minhash import mix
 
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15 | 5)
-SLICE = 1 << 20  # tokens that are hashed at once
+SLICE = 1 << 19  # tokens that are hashed at once
 HOT, SALTS = 1000, 16
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 300_000
 
 _powers = [np.ones(1, U), np.ones(1, U)]
 
