@@ -25,7 +25,7 @@ U = np.uint64
 BASE = U(0x9E3779B97F4A7C15 | 5)
 SLICE = 1 << 19  # tokens that are hashed at once
 HOT, SALTS = 1000, 16
-BROADCAST_ROWS = 300_000
+BROADCAST_IDS = 2_000_000
 
 _powers = [np.ones(1, U), np.ones(1, U)]
 
@@ -192,8 +192,8 @@ def one_by_one(asked: DataFrame, docs: DataFrame, tokens_of, window: int, within
     """
     per_doc = asked.groupBy("doc").agg(F.collect_list(F.struct("a", "c", "start", "n", "off")).alias("asked"))
     per_doc = scratch.save(per_doc, "asked")
-    counted = per_doc.agg(F.sum(F.size("asked"))).first()[0] or 0
-    joined = docs.join(bounded_broadcast(per_doc, counted, BROADCAST_ROWS), docs.doc_id == per_doc.doc).select("doc_id", "text", "asked")
+    few = docs.join(_ids(per_doc, scratch), "doc_id", "left_semi")
+    joined = few.join(per_doc, few.doc_id == per_doc.doc).select("doc_id", "text", "asked")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,10 +267,19 @@ def merged(spans: DataFrame, window: int) -> DataFrame:
     return spans.select("doc", "start", "n").repartition("doc").sortWithinPartitions("doc", "start").mapInArrow(read, "doc long, spans array<long>")
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+def _ids(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """The doc_ids of rows (one each), to be broadcast where they are few enough; then texts are shuffled only where they are asked for."""
+    ids = scratch.save(rows.select(F.col("doc").alias("doc_id")), "ids")
+    return bounded_broadcast(ids, ids.count(), BROADCAST_IDS)
+
+
+def with_spans(docs: DataFrame, spans: DataFrame, scratch: Scratch) -> DataFrame:
     """docs (doc_id, text) with their spans, null where there are none."""
-    counted = spans.agg(F.sum(F.size("spans") + 2)).first()[0] or 0
-    return docs.join(bounded_broadcast(spans, counted, BROADCAST_ROWS), docs.doc_id == spans.doc, "left").select("doc_id", "text", "spans")
+    ids = _ids(spans, scratch)
+    touched = docs.join(ids, "doc_id", "left_semi")
+    touched = touched.join(spans, touched.doc_id == spans.doc).select("doc_id", "text", "spans")
+    rest = docs.join(ids, "doc_id", "left_anti").select("doc_id", "text", F.lit(None).cast("array<bigint>").alias("spans"))
+    return touched.unionByName(rest)
 
 
 def encoded(docs: DataFrame) -> DataFrame:

@@ -106,7 +106,7 @@ def remove_repeated_words(docs: DataFrame, window: int = 50, gram: int = 8, batc
     for s in spans:
         found = found.unionByName(s)
     merged = scratch.save(anchors.merged(found, window), "spans")
-    return anchors.with_spans(own, merged).mapInArrow(_cut(texts), FULL if texts else DIGEST)
+    return anchors.with_spans(own, merged, scratch).mapInArrow(_cut(texts), FULL if texts else DIGEST)
 
 
 def _cut(texts: bool):

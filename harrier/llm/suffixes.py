@@ -64,7 +64,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 100, gram: int = 32, te
     scratch = Scratch(docs.sparkSession, "bytes")
     own = anchors.encoded(docs)
     spans = repeated_byte_spans(own, window, gram, scratch)
-    return anchors.with_spans(own, spans).mapInArrow(_cut(texts), FULL if texts else DIGEST)
+    return anchors.with_spans(own, spans, scratch).mapInArrow(_cut(texts), FULL if texts else DIGEST)
 
 
 def _cut(texts: bool):
