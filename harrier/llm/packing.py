@@ -154,27 +154,32 @@ def pack(pieces: DataFrame, most: int = 1024, per_partition: int = 50_000, round
     Partitions of about ``per_partition`` pieces are dealt by hash, so none
     grows with the input or a hot key. After each round partitions with more
     bins than their bound give the pieces of bins that aren't full to the next
-    round; the last round keeps what it has. Rows that repeat are pieces of
+    round; a round that saves no bin ends the exchange. Rows that repeat are pieces of
     their own. sequence_id: round, partition and bin.
     """
     spark = pieces.sparkSession
     scratch = Scratch(spark, "pack")
-    left, done = scratch.save(pieces, "pieces"), []
+    left, done, before = scratch.save(pieces, "pieces"), [], None
     keys = ["doc_id", "piece", "start", "length", "ids_crc32"]
     schema = ", ".join(f"{n} {t}" for n, t in [*pieces.dtypes, ("sequence_id", "long"), ("offset", "long"), ("settled", "boolean")])
     for r in range(rounds):
         n = left.count()
-        if not n:
-            break
         groups = max(1, -(-n // per_partition))
-        dealt = left.withColumn("_g", F.pmod(F.xxhash64(F.lit(r), *keys), F.lit(groups)))
+        dealt = left.select(*pieces.columns).withColumn("_g", F.pmod(F.xxhash64(F.lit(r), *keys), F.lit(groups)))
         packed = scratch.save(dealt.groupBy("_g").applyInArrow(_packer(keys, most, r, r == rounds - 1), schema), f"round{r}")
-        done.append(packed.where("settled").drop("settled"))
-        left = packed.where("NOT settled").select(*pieces.columns)
-    out = done[0] if done else left.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
+        bins = packed.select("sequence_id").distinct().count()
+        if before is not None and bins >= before:  # the exchange saved nothing
+            done.append(left)
+            break
+        done.append(packed.where("settled"))
+        left = packed.where("NOT settled")
+        before = left.select("sequence_id").distinct().count()
+        if not before:
+            break
+    out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out
+    return out.drop("settled")
 
 
 def _packer(keys: list[str], most: int, r: int, last: bool):
