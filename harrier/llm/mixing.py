@@ -59,6 +59,8 @@ def mix_sources(docs: DataFrame, size: Column | None = None, seed: str = "mix",
     targets = scratch.save(source_targets(sizes, **how), "targets")
     t = targets.withColumnsRenamed({"source": own + "source", "n_docs": own + "n"})
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":" + seed)))
+    # what breaks ties of repeated doc_ids, so that texts need not be shuffled for it
+    base = base.withColumn(own + "t", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     n_buckets = F.ceil(F.col(own + "n") / F.lit(float(rows_per_bucket)))
     keyed = base.join(t, F.col("source").eqNullSafe(F.col(own + "source"))).withColumn(own + "key", key)
     keyed = keyed.withColumn(own + "b", F.floor(F.conv(F.substring(own + "key", 1, 8), 16, 10).cast("long") * n_buckets / F.lit(2.0**32)).cast("long"))
@@ -74,7 +76,7 @@ def mix_sources(docs: DataFrame, size: Column | None = None, seed: str = "mix",
     offsets = b.withColumn("o", inner).join(runs, [own + "g", "run"]).select(F.col(own + "g").alias(own + "og"), F.col(own + "b").alias(own + "ob"), (F.col("o") + F.col("r")).alias(own + "o"))
     offsets = scratch.save(offsets, "offsets")
 
-    order = Window.partitionBy(own + "g", own + "b").orderBy(own + "key", "doc_id", "text", "size")
+    order = Window.partitionBy(own + "g", own + "b").orderBy(own + "key", "doc_id", own + "t", "size")
     placed = keyed.withColumn(own + "w", F.coalesce(F.sum("size").over(up_to(order)), F.lit(0)))
     placed = placed.join(offsets, (F.col(own + "g") == F.col(own + "og")) & (F.col(own + "b") == F.col(own + "ob")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
