@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_sample
+from .common import Scratch, bounded_sample, make_folder
 
 # Fixed values of the formats
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -91,6 +91,7 @@ def write_archives(records: DataFrame, folder: str, scratch: Scratch, file_bytes
     hashes; every record is written. File names carry the task
     attempt, so an attempt that was lost leaves files no manifest names.
     """
+    make_folder(records.sparkSession, folder)
     picked = bounded_sample(records, sample, "page_id", "sha1").collect()
     dictionary = train_dictionary([record(*x) for x in picked], dictionary_bytes)
 
