@@ -9,7 +9,12 @@ from harrier.storage import Scratch
 
 
 def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component) of every node that has a link; component is the smallest node reachable. links: columns a and b."""
+    """(node, component) of every node that has a link; component is the smallest node reachable.
+
+    links: columns a and b, in any order, repeats and loops allowed; links with
+    a null end are ignored. Each step only groups and joins link rows; the
+    number of steps grows with the logarithm of the longest path.
+    """
     edges = scratch.save(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
@@ -21,6 +26,8 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
         low = scratch.save(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m")))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         large = scratch.save(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        low = scratch.save(large.groupBy("a").agg(F.min("b").alias("m")))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m"))
-        edges = scratch.save(small.where("a <> b").distinct())
+        least = scratch.save(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m"))
+        old, edges = edges, scratch.save(small.where("a <> b").distinct())
+        for t in (old, low, large, least):
+            scratch.drop(t)

@@ -1,4 +1,8 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share.
+
+Results that several jobs read are written as Parquet: that cuts the lineage,
+survives lost executors and gives the planner exact sizes.
+"""
 
 from __future__ import annotations
 
@@ -14,18 +18,35 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", "") or os.path.join(tempfile.gettempdir(), "harrier-shared")
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, p = _file_system(spark, path)
+    fs.mkdirs(p)
+
+
 class Scratch:
-    """A folder of intermediate tables for one run of an operator: written, they survive lost executors and have exact sizes."""
+    """A folder of intermediate tables for one run of an operator."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.n = spark, 0
+        self.spark, self._paths, self._n = spark, {}, 0
         self.root = f"{shared_dir(spark)}/harrier-{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
-        self.n += 1
-        return f"{self.root}/{self.n:03d}-{name}"
+        self._n += 1
+        return f"{self.root}/{self._n:03d}-{name}"
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         path = self.path(name)
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        """Delete a saved table that nothing will read again."""
+        fs, p = _file_system(self.spark, self._paths.pop(id(df))[1])
+        fs.delete(p, True)
