@@ -1,63 +1,16 @@
-"""Shared-storage helpers of the training-data operators.
-
-Intermediate results that several jobs read are written as Parquet into the
-folder the cluster names in ``spark.checkpoint.dir``: that cuts the lineage,
-survives lost executors and gives the planner exact sizes.
-"""
+"""Small helpers of the training-data operators."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harrier.storage import Scratch, make_folder, shared_dir
+
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", "")
-    return named or os.path.join(tempfile.gettempdir(), "harrier-shared")
-
-
-class Scratch:
-    """A folder of intermediate tables for one run of an operator."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/harrier-{name}-{uuid.uuid4().hex}"
-        self._paths: dict[int, str] = {}
-        self._n = 0
-
-    def path(self, name: str) -> str:
-        self._n += 1
-        return f"{self.root}/{self._n:03d}-{name}"
-
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
-        path = self.path(name)
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
-        out._harrier_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table that nothing will read again."""
-        delete(self.spark, df._harrier_path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def make_folder(spark: SparkSession, path: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
+__all__ = ["SPACE", "WORD", "Scratch", "bounded_broadcast", "bounded_sample", "make_folder", "shared_dir", "table", "words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
