@@ -145,7 +145,8 @@ def named(docs: DataFrame, tokens_of, window: int, gram: int, within: bool) -> D
             doc, start, n, off, a, c = (x[order] for x in (doc, start, n, off, a, c))
             later = _later(doc, start, _groups(c), within)
             yield _rows(NAMED, *(x[~later] for x in (a, c, doc, start, n, off)))
-            yield _rows(SPAN, *(x[later] for x in (a, c, doc, start, n, off)))
+            apart = mix(doc.astype(U) * U(0x9E3779B97F4A7C15) + start.astype(U))  # settled rows need no company
+            yield _rows(SPAN, *(x[later] for x in (apart, c, doc, start, n, off)))
 
     return docs.mapInArrow(read, ROW)
 
