@@ -222,7 +222,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     pairs that span the similar sets of each region. Once they are confirmed,
     the second gives each set outside its region's largest component the most
     similar one of another, and the third every similar pair that is still
-    between components. So no pair of a large group is compared that cannot
+    between components; both read all sets, also those that the first scan
+    gave no pair because others had taken their partners. So no pair of a large group is compared that cannot
     join two components, and none that can is left out.
 
     A link of similarity 0.8 shares ``least`` labels in none of the trees once
@@ -245,11 +246,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
 
     brief = reps.withColumn("comp", F.col("doc_id")).withColumn("sketch", F.substring("sketch", 1, k))
     tried = scratch.save(scan(brief, spanning, trees, depth, least, most, agree(k), share), "pairs")
-    asked = scratch.save(reps.join(tried.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi"), "asked")
     links = scratch.save(confirm(tried, docs, width, percent, scratch), "links")
     final = scratch.save(connected_components(links, scratch), "components")
     for pick in (best, across):
-        again = asked.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
+        again = reps.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
         more = scratch.save(scan(again, pick, trees, depth, least, most, agree(sketch), share).join(tried, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
             continue

@@ -98,6 +98,18 @@ def test_near_duplicates_in_a_large_group(spark):
     assert got == {d: c for d, (_, c, _) in brute.near_duplicates(docs).items()}
 
 
+def test_near_duplicates_whose_partners_are_taken(spark):
+    """Longer versions come first and take the middle text; the shortest one is similar to that alone."""
+    docs, want, families = {}, {}, 150
+    for f in range(families):
+        w = [f"f{f}w{i}" for i in range(801)]
+        texts = [*(w + [f"f{f}v{v}x{i}" for i in range(200)] for v in range(3)), w, w[:641]]
+        for k, t in enumerate(texts):
+            docs[k * families + f], want[k * families + f] = " ".join(t), f
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, docs, extra=False), 2).collect()}
+    assert got == want
+
+
 def test_base_statistics(spark, docs):
     got = {r[0]: tuple(r)[1:] for r in quality.quality_rules(frame(spark, docs)).drop("d2", "kept").collect()}
     assert got == {d: brute.base_statistics(t) for d, t in docs.items()}
