@@ -3,10 +3,10 @@
 Every distinct shingle set gets ``trees * depth`` MinHash labels. A tree is the
 sets sorted by its own ``depth`` labels; sets that share a prefix stand side by
 side, and a task reads a stretch of that order. Sets that share ``least``
-labels form a region; where a region takes more comparisons than ``most`` sets
-have among each other it is read one label deeper, and so on. Within a region
-the labels of all trees estimate the similarity, and pairs that can be links
-are confirmed on their full sets.
+labels form a region. The first scan reads a region of more than ``most`` sets
+one label deeper, and so on; the later ones read regions whole, in blocks.
+Within a region the labels of all trees estimate the similarity, and pairs that
+can be links are confirmed on their full sets.
 """
 
 from __future__ import annotations
@@ -85,13 +85,8 @@ def signatures(docs: DataFrame, width: int, keys: int, sketch: int) -> DataFrame
     return own.mapInArrow(rows, "doc_id long, n long, h1 long, h2 long, labels binary, sketch binary")
 
 
-def regions(keys: np.ndarray, tree: np.ndarray, least: int, most: int, asking) -> Iterator[tuple[int, int]]:
-    """Stretches [from, to) of a sorted order that share a prefix as long as keeps them within ``most * most`` comparisons; keys: (rows, depth).
-
-    asking(from, to) is the number of sets of a stretch that are compared with
-    all others of it. Where few ask, as beside one large component, a stretch
-    stays whole however large it is.
-    """
+def regions(keys: np.ndarray, tree: np.ndarray, least: int, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches [from, to) of a sorted order that share a prefix as long as keeps them within ``most`` sets; keys: (rows, depth)."""
     depth = keys.shape[1]
     same = np.cumprod(keys[1:] == keys[:-1], axis=1).sum(axis=1) * (tree[1:] == tree[:-1])
 
@@ -100,7 +95,7 @@ def regions(keys: np.ndarray, tree: np.ndarray, least: int, most: int, asking) -
         for x, y in zip([a, *ends], [*ends, b]):
             if y - x < 2:
                 continue
-            if y - x <= most or asking(x, y) * (y - x) <= most * most:
+            if y - x <= most:
                 yield x, y
             elif d < depth:
                 yield from cut(x, y, d + 1)
@@ -112,24 +107,34 @@ def regions(keys: np.ndarray, tree: np.ndarray, least: int, most: int, asking) -
         yield from cut(0, len(keys), least)
 
 
-def outside(comp: np.ndarray) -> np.ndarray:
-    """The sets outside the largest component; of two sets of different components at least one is."""
-    names, counts = np.unique(comp, return_counts=True)
-    return np.flatnonzero(comp != names[counts.argmax()])
+def common_labels(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Matrix of the number of labels that the rows of x and y have in common."""
+    if len(x) * len(y) < 4096:
+        return (x[:, None, :] == y[None, :, :]).sum(axis=2, dtype=np.int16)
+    out = np.zeros((len(x), len(y)), np.int16)
+    mine, theirs = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
+    step = max(1, (1 << 17) // len(y))
+    for a in range(0, len(x), step):
+        part = out[a : a + step]
+        hit, count = np.empty(part.shape, bool), np.zeros(part.shape, np.uint8)
+        for k in range(len(mine)):
+            np.equal(mine[k, a : a + step, None], theirs[k], out=hit)
+            count += hit.view(np.uint8)
+            if k % 255 == 254 or k == len(mine) - 1:
+                part += count
+                count[:] = 0
+    return out
 
 
-def agreement(sketch: np.ndarray, sizes: np.ndarray, at: np.ndarray, agree: int, share: float) -> np.ndarray:
-    """Matrix of the number of labels that the sets ``at`` have in common with all; 0 where that or the sizes' ratio is too low for a link."""
-    out = np.zeros((len(at), len(sketch)), np.int16)
-    step = max(1, (1 << 21) // max(1, sketch.size))
-    for a in range(0, len(at), step):
-        out[a : a + step] = (sketch[at[a : a + step], None, :] == sketch[None, :, :]).sum(axis=2, dtype=np.int16)
-    low, high = np.minimum.outer(sizes[at], sizes), np.maximum.outer(sizes[at], sizes)
-    out[(out < agree) | (low < share * high - 1e-9)] = 0
+def agreement(mine: tuple, theirs: tuple, agree: int, share: float) -> np.ndarray:
+    """common_labels of (ids, sizes, sketches) with others; 0 where that or the sizes' ratio is too low for a link, and for a set with itself."""
+    out = common_labels(mine[2], theirs[2])
+    low, high = np.minimum.outer(mine[1], theirs[1]), np.maximum.outer(mine[1], theirs[1])
+    out[(out < agree) | (low < share * high - 1e-9) | (mine[0][:, None] == theirs[0][None, :])] = 0
     return out
 
 
-def spanning(match: np.ndarray, at: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def spanning(match: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each set with the first set, in the order of ids, that is similar and not taken by one before."""
     alive, i, j = np.ones(len(match), bool), [], []
     for p in range(len(match)):
@@ -142,55 +147,108 @@ def spanning(match: np.ndarray, at: np.ndarray, comp: np.ndarray) -> tuple[np.nd
     return np.concatenate(i), np.concatenate(j)
 
 
-def best(match: np.ndarray, at: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each set outside the region's largest component with the most similar set of another component."""
-    between = np.where(comp[at][:, None] != comp[None, :], match, 0)
+def best(between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each asking set with the most similar set of another component."""
     j = between.argmax(axis=1)
-    found = between[np.arange(len(at)), j] > 0
-    return at[found], j[found]
+    found = np.flatnonzero(between[np.arange(len(between)), j] > 0)
+    return found, j[found]
 
 
-def across(match: np.ndarray, at: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def across(between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All similar pairs between components."""
-    i, j = np.nonzero((match > 0) & (comp[at][:, None] != comp[None, :]))
-    return at[i], j
+    return np.nonzero(between)
+
+
+def columns(batches: Iterator[pa.RecordBatch], *names: str) -> list[np.ndarray]:
+    """Columns of all batches as arrays; binary ones, of one length, as a row of bytes each."""
+    table = pa.Table.from_batches(list(batches))
+    whole = lambda c: np.frombuffer(b"".join(table[c].to_pylist()), np.uint8).reshape(len(table), -1)
+    return [whole(c) if pa.types.is_binary(table.schema.field(c).type) else table[c].to_numpy() for c in names]
+
 
+def unique_pairs(pairs: list[np.ndarray]) -> pa.RecordBatch:
+    found = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.empty((2, 0), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], names=["a", "b"])
 
-def scan(rows: DataFrame, pick, trees: int, depth: int, least: int, most: int, agree: int, share: float) -> DataFrame:
-    """Candidate pairs (a > b) that ``pick`` takes from the regions of all trees. rows: doc_id, n, labels, sketch, comp.
 
-    In a region of one component nothing is left to ask; with null ``comp``
-    each set is its own.
+def with_trees(rows: DataFrame, trees: int, depth: int, labels: int) -> DataFrame:
+    """The rows once for each tree, with the first ``labels`` of its labels as key."""
+    by_tree = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    return by_tree.withColumn("key", F.expr(f"substring(labels, tree * {2 * depth} + 1, {2 * labels})")).drop("labels")
+
+
+def first_scan(rows: DataFrame, trees: int, depth: int, least: int, most: int, agree: int, share: float) -> DataFrame:
+    """Candidate pairs (a > b) that span the regions of all trees. rows: doc_id, n, labels, sketch.
+
+    It only has to bring large groups together cheaply: crowded regions are cut
+    and range boundaries part some; later_scan leaves no pair out.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
+        batches = [b for b in batches if len(b)]
         pairs: list[np.ndarray] = []
-        if len(table):
-            tree, ids, sizes, comp = (table[c].to_numpy() for c in ("tree", "doc_id", "n", "comp"))
-            whole = lambda c, t: np.frombuffer(b"".join(table[c].to_pylist()), t).reshape(len(table), -1)
-            keys, sketch = whole("key", ">u2"), whole("sketch", np.uint8)
-            ask = (lambda c: np.arange(len(c))) if pick is spanning else outside
-            for a, b in regions(keys, tree, least, most, lambda x, y: len(ask(comp[x:y]))):
-                if (comp[a:b] == comp[a]).all():
-                    continue
+        if batches:
+            tree, keys, ids, sizes, sketch = columns(batches, "tree", "key", "doc_id", "n", "sketch")
+            for a, b in regions(np.ascontiguousarray(keys).view(">u2"), tree, least, most):
                 order = a + np.argsort(ids[a:b], kind="stable")
-                own = ids[order]
-                at = ask(comp[order])
-                match = agreement(sketch[order], sizes[order], at, agree, share)
-                match[own[at][:, None] == own[None, :]] = 0
+                own = ids[order], sizes[order], sketch[order]
+                match = agreement(own, own, agree, share)
                 if match.any():
-                    i, j = pick(match, at, comp[order])
-                    pairs.append(np.stack([np.maximum(own[i], own[j]), np.minimum(own[i], own[j])]))
-        found = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.empty((2, 0), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], names=["a", "b"])
+                    i, j = spanning(match)
+                    pairs.append(np.stack([np.maximum(own[0][i], own[0][j]), np.minimum(own[0][i], own[0][j])]))
+        yield unique_pairs(pairs)
 
-    by_tree = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    by_tree = by_tree.select("tree", F.expr(f"substring(labels, tree * {2 * depth} + 1, {2 * depth})").alias("key"), "doc_id", "n", "sketch", "comp")
     order = ["tree", "key", "doc_id"]
+    by_tree = with_trees(rows, trees, depth, depth).select(*order, "n", "sketch")
     return by_tree.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(read, "a long, b long").distinct()
 
 
+def later_scan(rows: DataFrame, pick, trees: int, depth: int, least: int, block: int, agree: int, share: float, scratch: Scratch) -> DataFrame:
+    """Candidate pairs (a > b) that ``pick`` takes between the components of each region. rows: doc_id, n, labels, sketch, comp.
+
+    A region is all sets with the same ``least`` first labels in a tree, however
+    many. Of two sets of different components at least one is outside the
+    region's largest; those outside ask all others. Askers and sets are
+    dealt in blocks of about ``block``, and each block of askers meets each of
+    sets, so every pair of a region between components is compared.
+    """
+    by_tree = with_trees(rows, trees, depth, least)
+    parts = by_tree.groupBy("tree", "key", "comp").count()
+    crowd = parts.groupBy("tree", "key").agg(F.sum("count").alias("all"), F.max(F.struct("count", "comp")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda n: F.ceil(n / F.lit(block)).cast("int")
+    crowd = crowd.select("tree", "key", F.col("top.comp").alias("top"), blocks(F.col("all")).alias("sb"), blocks(F.col("all") - F.col("top.count")).alias("ab"))
+    crowd = scratch.save(crowd, "regions")
+    live = by_tree.join(bounded_broadcast(crowd, crowd.count(), BROADCAST_IDS), ["tree", "key"])
+    deal = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda asks, i, j: F.struct(F.lit(asks).alias("asks"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    told = F.transform(every("ab"), lambda i: place(False, i, deal("sb")))
+    asking = F.transform(every("sb"), lambda j: place(True, deal("ab"), j))
+    live = live.withColumn("p", F.explode(F.when(F.col("comp") != F.col("top"), F.concat(told, asking)).otherwise(told)))
+    cell = F.xxhash64("tree", "key", "p.i", "p.j")  # two that clash would only be compared as well
+    live = live.select(cell.alias("cell"), "p.asks", "doc_id", "n", "sketch", "comp")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = [b for b in batches if len(b)]
+        pairs: list[np.ndarray] = []
+        if batches:
+            cell, asks, ids, sizes, sketch, comp = columns(batches, "cell", "asks", "doc_id", "n", "sketch", "comp")
+            ends = np.flatnonzero(np.diff(cell)) + 1
+            for a, b in zip([0, *ends], [*ends, len(cell)]):
+                at = a + np.searchsorted(asks[a:b], True)  # the askers come last
+                if at in (a, b):
+                    continue
+                own, mine = ids[a:at], ids[at:b]
+                between = agreement((mine, sizes[at:b], sketch[at:b]), (own, sizes[a:at], sketch[a:at]), agree, share)
+                between[comp[at:b][:, None] == comp[a:at][None, :]] = 0
+                if between.any():
+                    i, j = pick(between)
+                    pairs.append(np.stack([np.maximum(mine[i], own[j]), np.minimum(mine[i], own[j])]))
+        yield unique_pairs(pairs)
+
+    return live.repartition("cell").sortWithinPartitions("cell", "asks").mapInArrow(read, "a long, b long").distinct()
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct(), "ids")
@@ -221,10 +279,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     Rows with the same set are one class, compared once. The first scan gives
     pairs that span the similar sets of each region. Once they are confirmed,
     the second gives each set outside its region's largest component the most
-    similar one of another, and the third every similar pair that is still
-    between components; both read all sets, also those that the first scan
-    gave no pair because others had taken their partners. So no pair of a large group is compared that cannot
-    join two components, and none that can is left out.
+    similar one of another (of each block, where a region has several), and
+    the third every similar pair that is still between components; both read
+    all sets, also those that the first scan gave no pair because others had
+    taken their partners, and regions of any size. So no pair of a large group
+    is confirmed that cannot join two components, and none that can is left out.
 
     A link of similarity 0.8 shares ``least`` labels in none of the trees once
     in 5,000 times; candidates whose labels agree less than 4.2 standard
@@ -244,13 +303,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     classes = scratch.save(own.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     reps = own.join(classes.withColumnsRenamed({"rep": "doc_id"}), ["doc_id", "h1", "h2", "n"], "left_semi").select("doc_id", "n", "labels", "sketch")
 
-    brief = reps.withColumn("comp", F.col("doc_id")).withColumn("sketch", F.substring("sketch", 1, k))
-    tried = scratch.save(scan(brief, spanning, trees, depth, least, most, agree(k), share), "pairs")
+    brief = reps.withColumn("sketch", F.substring("sketch", 1, k))
+    tried = scratch.save(first_scan(brief, trees, depth, least, most, agree(k), share), "pairs")
     links = scratch.save(confirm(tried, docs, width, percent, scratch), "links")
     final = scratch.save(connected_components(links, scratch), "components")
     for pick in (best, across):
-        again = reps.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
-        more = scratch.save(scan(again, pick, trees, depth, least, most, agree(sketch), share).join(tried, ["a", "b"], "left_anti"), "pairs")
+        again = reps.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", "labels", "sketch", F.coalesce("component", "doc_id").alias("comp"))
+        more = scratch.save(later_scan(again, pick, trees, depth, least, 4 * most, agree(sketch), share, scratch).join(tried, ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
             continue
         tried = tried.union(more)

@@ -110,6 +110,17 @@ def test_near_duplicates_whose_partners_are_taken(spark):
     assert got == want
 
 
+def test_near_duplicates_in_crowded_regions(spark):
+    """Texts of similarity 0.75 fill the regions; each has one partner, of similarity 0.8."""
+    core, docs, want = [f"c{i}" for i in range(600)], {}, {}
+    for k in range(150):
+        text = core + [f"k{k}x{i}" for i in range(101)]
+        docs |= {k: " ".join(text), 1000 - k: " ".join(text + [f"k{k}y{i}" for i in range(175)])}
+        want |= {k: k, 1000 - k: k}
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, docs, extra=False), 2, most=4).collect()}
+    assert got == want
+
+
 def test_base_statistics(spark, docs):
     got = {r[0]: tuple(r)[1:] for r in quality.quality_rules(frame(spark, docs)).drop("d2", "kept").collect()}
     assert got == {d: brute.base_statistics(t) for d, t in docs.items()}
