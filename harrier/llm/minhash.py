@@ -56,7 +56,7 @@ def signer(n: int, seed: int = 7):
         least = np.full(len(factors), np.iinfo(U).max, U)
         for at in range(0, len(values), 4096):
             least = np.minimum(least, np.multiply.outer(factors, values[at : at + 4096]).min(axis=1))
-        return (least >> U(48)).astype(">u2")
+        return (mix(least) >> U(48)).astype(">u2")  # the minimum of many values begins with zeros
 
     return labels
 

@@ -121,6 +121,16 @@ def test_near_duplicates_in_crowded_regions(spark):
     assert got == want
 
 
+def test_labels_of_long_texts():
+    """Equal labels mean equal minima at any size: different texts of 120,000 shingles have next to none in common."""
+    sets = [minhash.shingle_set(" ".join(f"t{t}w{i}" for i in range(120_001)).encode(), 2) for t in range(4)]
+    labels = [minhash.signer(96)(s) for s in sets]
+    assert all(len(s) == 120_000 for s in sets)
+    assert all((x == y).mean() < 0.05 for i, x in enumerate(labels) for y in labels[:i])
+    whole = np.unique(np.concatenate([sets[0], sets[1][:20_000]]))  # similarity 6/7
+    assert 0.7 < (minhash.signer(96)(whole) == labels[0]).mean() < 0.97
+
+
 def test_base_statistics(spark, docs):
     got = {r[0]: tuple(r)[1:] for r in quality.quality_rules(frame(spark, docs)).drop("d2", "kept").collect()}
     assert got == {d: brute.base_statistics(t) for d, t in docs.items()}
