@@ -12,15 +12,22 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 BROADCAST_IDS = 2_000_000
 
 
-def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The documents whose verdict is kept; rows without a doc_id go."""
-    kept = Scratch(docs.sparkSession, "kept").save(verdicts.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct())
-    return docs.join(bounded_broadcast(kept, kept.count(), BROADCAST_IDS), "doc_id", "left_semi").select(*COLUMNS)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a number for each row, written so that it stays; doc_ids may be null or repeat."""
+    return Scratch(docs.sparkSession, "numbered").save(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+
+
+def _keep(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The numbered documents whose row is kept."""
+    kept = Scratch(rows.sparkSession, "kept").save(kept.select("row"))
+    return rows.join(bounded_broadcast(kept, kept.count(), BROADCAST_IDS), "row", "left_semi").select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outliers of their language and source."""
-    return _keep(docs, quality.quality_rules(docs))
+    rows = _numbered(docs)
+    verdicts = quality.quality_rules(rows.withColumn("doc_id", F.col("row")))
+    return _keep(rows, verdicts.where("kept").select(F.col("doc_id").alias("row")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +37,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest doc_id."""
-    return _keep(docs, minhash.near_duplicates(docs))
+    """One row of each group of near-duplicates: that with the smallest doc_id; of several, the one with the least hash. Rows without a doc_id stay."""
+    rows = _numbered(docs)
+    named = rows.where("doc_id IS NOT NULL")
+    found = minhash.near_duplicates(named.withColumn("doc_id", F.col("row"))).select(F.col("doc_id").alias("row"), "component_id")
+    first = found.join(named.select("row", "doc_id", F.xxhash64("text").alias("h")), "row").groupBy("component_id").agg(F.min(F.struct("doc_id", "h", "row")).alias("first"))
+    return _keep(rows, first.select("first.row").union(rows.where("doc_id IS NULL").select("row")))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

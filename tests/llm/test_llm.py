@@ -333,3 +333,20 @@ def test_pipeline(spark):
             assert out.columns == corpus_pipeline.COLUMNS
         docs = spark.createDataFrame(out.collect(), out.schema)
         assert 0 < docs.count() and (name in ("source mixing", "best-fit packing") or docs.count() <= n)
+
+
+def test_pipeline_of_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    good, bad = [text(60) for _ in range(4)], ["too short", "x"]
+    near = good[0].rsplit(" ", 2)[0] + " other end"
+    data = [(9, good[0]), (3, near), (3, near), (3, good[1]), (3, bad[0]), (None, good[2]), (None, good[0]), (None, bad[1]), (5, bad[1]), (7, good[3]), (7, good[3])]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in data], DOCS)
+    order = lambda pairs: sorted(pairs, key=str)
+    passed = corpus_pipeline.quality_rules(spark, docs, "")
+    want = [(d, t) for d, t in data if t not in bad]
+    assert order((r.doc_id, r.text) for r in passed.collect()) == order(want)
+    rows_left = corpus_pipeline.near_dedup(spark, docs.where(F.length("text") > 20), "")
+    assert order((r.doc_id, r.text) for r in rows_left.collect()) == order([(3, near), (3, good[1]), (None, good[2]), (None, good[0]), (7, good[3])])
