@@ -4,7 +4,7 @@ Every distinct shingle set gets ``trees * depth`` MinHash labels. A tree is the
 sets sorted by its own ``depth`` labels; sets that share a prefix stand side by
 side, and a task reads a stretch of that order. Sets that share ``least``
 labels form a region. The first scan reads a region of more than ``most`` sets
-one label deeper, and so on; the later ones read regions whole, in blocks.
+one label deeper, and so on; the second reads regions whole, in blocks.
 Within a region the labels of all trees estimate the similarity, and pairs that
 can be links are confirmed on their full sets.
 """
@@ -147,18 +147,6 @@ def spanning(match: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(i), np.concatenate(j)
 
 
-def best(between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each asking set with the most similar set of another component."""
-    j = between.argmax(axis=1)
-    found = np.flatnonzero(between[np.arange(len(between)), j] > 0)
-    return found, j[found]
-
-
-def across(between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All similar pairs between components."""
-    return np.nonzero(between)
-
-
 def columns(batches: Iterator[pa.RecordBatch], *names: str) -> list[np.ndarray]:
     """Columns of all batches as arrays; binary ones, of one length, as a row of bytes each."""
     table = pa.Table.from_batches(list(batches))
@@ -181,7 +169,7 @@ def first_scan(rows: DataFrame, trees: int, depth: int, least: int, most: int, a
     """Candidate pairs (a > b) that span the regions of all trees. rows: doc_id, n, labels, sketch.
 
     It only has to bring large groups together cheaply: crowded regions are cut
-    and range boundaries part some; later_scan leaves no pair out.
+    and range boundaries part some; between_scan leaves no pair out.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,92 +191,170 @@ def first_scan(rows: DataFrame, trees: int, depth: int, least: int, most: int, a
     return by_tree.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(read, "a long, b long").distinct()
 
 
-def later_scan(rows: DataFrame, pick, trees: int, depth: int, least: int, block: int, agree: int, share: float, scratch: Scratch) -> DataFrame:
-    """Candidate pairs (a > b) that ``pick`` takes between the components of each region. rows: doc_id, n, labels, sketch, comp.
+def star_cells(pairs: DataFrame, block: int, scratch: Scratch) -> DataFrame:
+    """Cells of the pairs: each b asks its a's, in one cell for about every ``block`` of them."""
+    crowded = scratch.save(pairs.groupBy("b").count().where(F.col("count") > block), "crowded")
+    dealt = pairs.join(bounded_broadcast(crowded, crowded.count(), BROADCAST_IDS), "b", "left")
+    part = F.pmod(F.xxhash64("a"), F.coalesce(F.ceil(F.col("count") / block), F.lit(1)))
+    dealt = dealt.withColumn("cell", F.xxhash64("b", part))
+    told = dealt.select("cell", F.col("a").alias("id"), F.array("b").alias("partners"))
+    return told.unionByName(dealt.select("cell", F.col("b").alias("id"), F.lit(None).cast("array<bigint>").alias("partners")).distinct())
+
+
+ITEM = ("doc_id", "n", "comp", "outside", "sketch", "roots")
+
+
+def between_scan(rows: DataFrame, trees: int, depth: int, least: int, block: int, agree: int, share: float, scratch: Scratch) -> DataFrame:
+    """Cells (cell, id, partners) of all similar pairs between the components of each region. rows: doc_id, n, labels, sketch, comp.
 
     A region is all sets with the same ``least`` first labels in a tree, however
     many. Of two sets of different components at least one is outside the
     region's largest; those outside ask all others. Askers and sets are
-    dealt in blocks of about ``block``, and each block of askers meets each of
-    sets, so every pair of a region between components is compared.
+    dealt in packs of about ``block``, and each pack of askers meets each of
+    sets, so every pair of a region between components is compared; pairs that
+    share a region in several trees count in the first.
+
+    In a cell, rows with partners are told which askers to be compared with, and
+    the askers' own rows have none. Cells hold about ``2 * block`` askers and
+    their shingles about 32 MB; the told sets only pass by.
     """
-    by_tree = with_trees(rows, trees, depth, least)
-    parts = by_tree.groupBy("tree", "key", "comp").count()
-    crowd = parts.groupBy("tree", "key").agg(F.sum("count").alias("all"), F.max(F.struct("count", "comp")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    roots = F.concat(*(F.expr(f"substring(labels, {2 * depth * t + 1}, {2 * least})") for t in range(trees)))
+    by_tree = with_trees(rows.withColumn("roots", roots), trees, depth, least)
+    parts = by_tree.groupBy("tree", "key", "comp").agg(F.count("*").alias("count"), F.sum("n").alias("mass"))
+    crowd = parts.groupBy("tree", "key").agg(F.sum("count").alias("all"), F.sum("mass").alias("mass"), F.max(F.struct("count", "comp", "mass")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
     blocks = lambda n: F.ceil(n / F.lit(block)).cast("int")
-    crowd = crowd.select("tree", "key", F.col("top.comp").alias("top"), blocks(F.col("all")).alias("sb"), blocks(F.col("all") - F.col("top.count")).alias("ab"))
+    asking = F.col("all") - F.col("top.count")
+    crowd = crowd.select("tree", "key", F.col("top.comp").alias("top"), blocks(F.col("all")).alias("sb"), blocks(asking).alias("ab"), asking.alias("asking"), (F.col("mass") - F.col("top.mass")).alias("mass"))
     crowd = scratch.save(crowd, "regions")
-    live = by_tree.join(bounded_broadcast(crowd, crowd.count(), BROADCAST_IDS), ["tree", "key"])
+    n_regions, n_asking, mass = crowd.agg(F.count("*"), F.coalesce(F.sum("asking"), F.lit(0)), F.coalesce(F.sum("mass"), F.lit(0))).first()
+    asker_blocks = max(1, -(-n_asking // (2 * block)), -(-mass // (1 << 22)))
+    told_blocks = max(1, -(-rows.count() // (2 * block)))
+
+    live = by_tree.join(bounded_broadcast(crowd.drop("asking", "mass"), n_regions, BROADCAST_IDS), ["tree", "key"]).withColumn("outside", F.col("comp") != F.col("top"))
     deal = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
-    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    place = lambda asks, i, j: F.struct(F.lit(asks).alias("asks"), i.cast("int").alias("i"), j.cast("int").alias("j"))
-    told = F.transform(every("ab"), lambda i: place(False, i, deal("sb")))
-    asking = F.transform(every("sb"), lambda j: place(True, deal("ab"), j))
-    live = live.withColumn("p", F.explode(F.when(F.col("comp") != F.col("top"), F.concat(told, asking)).otherwise(told)))
-    cell = F.xxhash64("tree", "key", "p.i", "p.j")  # two that clash would only be compared as well
-    live = live.select(cell.alias("cell"), "p.asks", "doc_id", "n", "sketch", "comp")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    packs = lambda df, n: df.groupBy("tree", "key", "sb", "ab", deal(n).alias("k")).agg(F.collect_list(F.struct(*ITEM)).alias("items"))
+    told = packs(live, "sb").select("tree", "key", F.col("k").alias("i"), every("ab").alias("j"), F.lit(False).alias("asks"), "items")
+    asks = packs(live.where("outside"), "ab").select("tree", "key", every("sb").alias("i"), F.col("k").alias("j"), F.lit(True).alias("asks"), "items")
+    cell = ["tree", "key", "i", "j"]
+    met = told.unionByName(asks).repartition(*cell).sortWithinPartitions(*cell, "asks")
+
+    def unpacked(items: pa.StructArray) -> tuple[np.ndarray, ...]:
+        ids, n, comp, outside = (items.field(c).to_numpy(zero_copy_only=False) for c in ITEM[:4])
+        sketch, own = (np.frombuffer(b"".join(items.field(c).to_pylist()), np.uint8).reshape(len(items), -1) for c in ITEM[4:])
+        return ids, n, comp, outside, sketch, own.reshape(len(items), trees, -1)
+
+    def similar(tree: int, sets: tuple, askers: tuple) -> tuple[np.ndarray, np.ndarray]:
+        between = agreement((askers[0], askers[1], askers[4]), (sets[0], sets[1], sets[4]), agree, share)
+        between[askers[2][:, None] == sets[2][None, :]] = 0
+        i, j = np.nonzero(between)
+        once = ~sets[3][j] | (askers[0][i] > sets[0][j])  # where both ask, one does
+        i, j = i[once], j[once]
+        if tree and len(i):
+            first = ~(askers[5][i, :tree] == sets[5][j, :tree]).all(axis=2).any(axis=1)
+            i, j = i[first], j[first]
+        return askers[0][i], sets[0][j]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = [b for b in batches if len(b)]
-        pairs: list[np.ndarray] = []
-        if batches:
-            cell, asks, ids, sizes, sketch, comp = columns(batches, "cell", "asks", "doc_id", "n", "sketch", "comp")
-            ends = np.flatnonzero(np.diff(cell)) + 1
-            for a, b in zip([0, *ends], [*ends, len(cell)]):
-                at = a + np.searchsorted(asks[a:b], True)  # the askers come last
-                if at in (a, b):
+        at, sets = None, []
+        for batch in batches:
+            out: list[tuple] = []
+            for *place, asks, items in zip(*(batch.column(c).to_pylist() for c in ("tree", "key", "i", "j", "asks")), batch.column("items")):
+                if place != at:
+                    at, sets = place, []
+                pack = unpacked(items.values)
+                if not asks:
+                    sets.append(pack)
                     continue
-                own, mine = ids[a:at], ids[at:b]
-                between = agreement((mine, sizes[at:b], sketch[at:b]), (own, sizes[a:at], sketch[a:at]), agree, share)
-                between[comp[at:b][:, None] == comp[a:at][None, :]] = 0
-                if between.any():
-                    i, j = pick(between)
-                    pairs.append(np.stack([np.maximum(mine[i], own[j]), np.minimum(mine[i], own[j])]))
-        yield unique_pairs(pairs)
+                for other in sets:
+                    out += cells_of(*similar(place[0], other, pack), asker_blocks, told_blocks)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 3, CELL)], names=["cell", "id", "partners"])
+
+    found = met.mapInArrow(read, "cell long, id long, partners array<long>")
+    return found.groupBy("cell", "id", F.col("partners").isNull().alias("asks")).agg(F.flatten(F.collect_list("partners")).alias("p")).select("cell", "id", F.when(~F.col("asks"), F.col("p")).alias("partners"))
+
 
-    return live.repartition("cell").sortWithinPartitions("cell", "asks").mapInArrow(read, "a long, b long").distinct()
+CELL = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    ids = scratch.save(pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct(), "ids")
-    texts = docs.select(F.col("doc_id").cast("long").alias("i"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text"))
-    texts = scratch.save(texts.join(bounded_broadcast(ids, ids.count(), BROADCAST_IDS), "i", "left_semi"), "texts")
+def cells_of(askers: np.ndarray, told: np.ndarray, asker_blocks: int, told_blocks: int) -> list[tuple]:
+    """The pairs as (cell, id, partners) rows: one for each told set of a cell, and one without partners for each asker."""
+    cell = (mix(askers.astype(U)) % U(asker_blocks)).astype(np.int64) << 32 | (mix(told.astype(U)) % U(told_blocks)).astype(np.int64)
+    order = np.lexsort((askers, told, cell))
+    askers, told, cell = askers[order], told[order], cell[order]
+    ends = np.flatnonzero((np.diff(told) != 0) | (np.diff(cell) != 0)) + 1
+    rows = [(int(cell[a]), int(told[a]), askers[a:b].tolist()) for a, b in zip([0, *ends], [*ends, len(told)]) if b > a]
+    return rows + [(int(c), int(a), None) for c, a in {*zip(cell.tolist(), askers.tolist())}]
+
+
+def confirm(cells: DataFrame, components: DataFrame | None, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) whose full sets have 100 * intersection >= percent * union, enough of each cell to join what its pairs join.
+
+    Each text goes to each of its cells once. A pair of which both sets are
+    known to be in one component is not compared again.
+    """
+    cells = scratch.save(cells, "cells")
+    ids = cells.select("id").distinct()
+    comp = F.col("id") if components is None else F.coalesce("component", "id")
+    ids = ids if components is None else ids.join(components.withColumnRenamed("node", "id"), "id", "left")
+    ids = scratch.save(ids.select("id", comp.alias("comp")), "ids")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.encode(F.col("text").cast("string"), "UTF-8").alias("text"))
+    texts = scratch.save(texts.join(bounded_broadcast(ids, ids.count(), BROADCAST_IDS), "id"), "texts")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_set = None, None
+        at, askers, lead = None, {}, {}
+
+        def root(x: int) -> int:
+            while (up := lead.get(x, x)) != x:
+                x = up
+            return x
+
         for batch in batches:
-            keep = []
-            for a, b, ta, tb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                tb = tb.as_py() or b""
-                if b != last or tb != last_text:
-                    last, last_text, last_set = b, tb, shingle_set(tb, width)
-                other = shingle_set(ta.as_py() or b"", width)
-                both = len(np.intersect1d(other, last_set, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(other) + len(last_set) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            out: tuple[list, list] = ([], [])
+            for cell, i, comp, partners, text in zip(*(batch.column(c).to_pylist() for c in ("cell", "id", "comp", "partners")), batch.column("text")):
+                if cell != at:
+                    at, askers, lead = cell, {}, {}
+                own = shingle_set(text.as_py() or b"", width)
+                if partners is None:
+                    askers.setdefault(i, (comp, []))[1].append(own)
+                    continue
+                for p in partners:
+                    x, y = root(comp), root(askers[p][0])
+                    if x != y and any(like(own, other, percent) for other in askers[p][1]):
+                        lead[max(x, y)] = min(x, y)
+                        out[0].append(i)
+                        out[1].append(p)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
+
+    full = cells.join(texts, "id").withColumn("told", F.col("partners").isNotNull())
+    ordered = full.repartition("cell").sortWithinPartitions("cell", "told", "id")
+    return ordered.select("cell", "id", "comp", "partners", "text").mapInArrow(read, "a long, b long").distinct()
+
 
-    left = pairs.join(texts.select(F.col("i").alias("a"), F.col("text").alias("ta")), "a")
-    full = left.join(texts.select(F.col("i").alias("b"), F.col("text").alias("tb")), "b")
-    return full.select("a", "b", "ta", "tb").mapInArrow(read, "a long, b long").distinct()
+def like(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union, and something in common."""
+    short, long = (x, y) if len(x) <= len(y) else (y, x)
+    if not len(short):
+        return False
+    both = int((long[np.minimum(np.searchsorted(long, short), len(long) - 1)] == short).sum())
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = 12, depth: int = 8, least: int = 3, most: int = 512, sketch: int = 384) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
     Rows with the same set are one class, compared once. The first scan gives
-    pairs that span the similar sets of each region. Once they are confirmed,
-    the second gives each set outside its region's largest component the most
-    similar one of another (of each block, where a region has several), and
-    the third every similar pair that is still between components; both read
-    all sets, also those that the first scan gave no pair because others had
-    taken their partners, and regions of any size. So no pair of a large group
-    is confirmed that cannot join two components, and none that can is left out.
+    pairs that span the similar sets of each region; confirmed, they bring
+    large groups together at the cost of about one comparison a set and tree.
+    The second reads all sets and whole regions of any size and gives every
+    similar pair that is still between components, and all of these are
+    compared on their full sets. So no pair of a large group is confirmed that
+    cannot join two components, and none that can is left out.
 
     A link of similarity 0.8 shares ``least`` labels in none of the trees once
     in 5,000 times; candidates whose labels agree less than 4.2 standard
     deviations below that similarity are not confirmed. The first scan counts
-    the sorted labels, the others all ``sketch`` labels, as they ask of the
+    the sorted labels, the second all ``sketch`` labels, as it asks of the
     sets that are nearly similar. Null and empty texts
     have no shingles and link with nothing; rows that share a doc_id count as
     one document; a null doc_id links with nothing, has a null component_id and
@@ -301,22 +367,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     signed = scratch.save(signatures(docs, width, k, sketch), "signatures")
     own = signed.where("n > 0 AND doc_id IS NOT NULL")
     classes = scratch.save(own.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = own.join(classes.withColumnsRenamed({"rep": "doc_id"}), ["doc_id", "h1", "h2", "n"], "left_semi").select("doc_id", "n", "labels", "sketch")
+    reps = own.join(classes.withColumnsRenamed({"rep": "doc_id"}), ["doc_id", "h1", "h2", "n"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"]).select("doc_id", "n", "labels", "sketch")
+    reps = scratch.save(reps, "sets")
 
     brief = reps.withColumn("sketch", F.substring("sketch", 1, k))
-    tried = scratch.save(first_scan(brief, trees, depth, least, most, agree(k), share), "pairs")
-    links = scratch.save(confirm(tried, docs, width, percent, scratch), "links")
+    pairs = scratch.save(first_scan(brief, trees, depth, least, most, agree(k), share), "pairs")
+    links = scratch.save(confirm(star_cells(pairs, 2 * most, scratch), None, docs, width, percent, scratch), "links")
     final = scratch.save(connected_components(links, scratch), "components")
-    for pick in (best, across):
-        again = reps.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n", "labels", "sketch", F.coalesce("component", "doc_id").alias("comp"))
-        more = scratch.save(later_scan(again, pick, trees, depth, least, 4 * most, agree(sketch), share, scratch).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            continue
-        tried = tried.union(more)
-        found = scratch.save(confirm(more, docs, width, percent, scratch), "links")
-        if not found.isEmpty():
-            links = links.union(found)
-            final = scratch.save(connected_components(links, scratch), "components")
+    placed = reps.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+    cells = between_scan(placed, trees, depth, least, 4 * most, agree(sketch), share, scratch)
+    found = scratch.save(confirm(cells, final, docs, width, percent, scratch), "links")
+    if not found.isEmpty():
+        final = scratch.save(connected_components(links.union(found), scratch), "components")
 
     rep = classes.join(final, classes.rep == final.node, "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("root"))
     rep = scratch.save(rep, "roots")

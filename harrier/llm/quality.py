@@ -25,9 +25,12 @@ SYMBOLS = "[#*$%&|<>]"
 FLOORS = {"x1": 0.03, "x2": 0.05, "x3": 0.20, "x4": 0.15, "x5": 0.10}
 
 
-def base_statistics(docs: DataFrame, *keep: str) -> DataFrame:
+def base_statistics(docs: DataFrame, *keep: str | Column, scratch: Scratch | None = None) -> DataFrame:
     """The columns of ``keep``, and n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_stutters, n_repeat_words, base_failed of whole texts.
 
+    The result is written and read again: a filter on it would else be moved
+    through the chain of derived arrays, which copies each into the next.
+
     Null texts have no words. Windows are compared by 64-bit hashes within one
     document. n_lines counts lines with a word, n_stutters words that equal the
     word before.
@@ -51,7 +54,8 @@ def base_statistics(docs: DataFrame, *keep: str) -> DataFrame:
     df = df.withColumn("_p", F.array_sort(F.transform(twice, lambda x: x["i"]))).drop("_o")
     steps = F.transform("_p", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("_p"), k + 1) - p, F.lit(WINDOW))).cast("long"))
     df = df.withColumn("n_repeat_words", F.coalesce(F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))).drop("_p")
-    return df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
+    df = df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
+    return (scratch or Scratch(docs.sparkSession, "statistics")).save(df, "statistics")
 
 
 def transformed() -> dict[str, Column]:
@@ -130,8 +134,7 @@ def quality_rules(docs: DataFrame, cutoff: float = 40.0, share: float = 0.6, lea
     """
     scratch = Scratch(docs.sparkSession, "quality")
     label = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
-    stats = base_statistics(docs, "doc_id", label("lang").alias("_l"), label("source").alias("_s"))
-    stats = scratch.save(stats.withColumns(transformed()), "statistics")
+    stats = base_statistics(docs, "doc_id", label("lang").alias("_l"), label("source").alias("_s"), scratch=scratch).withColumns(transformed())
     passed = stats.where("NOT base_failed")
     n = passed.groupBy("_l", "_s").agg(F.count("*").alias("n"))
     by_language = n.groupBy("_l").agg(F.sum("n").alias("nl"))
