@@ -65,8 +65,8 @@ s AS (SELECT doc_id, text, line, leaf, list((place, token) ORDER BY place) AS te
 r AS (SELECT leaf, template FROM s GROUP BY ALL HAVING count(DISTINCT text) >= 10),
 g AS (SELECT doc_id, list(line) AS gone FROM s JOIN r USING (leaf, template) GROUP BY 1),
 n AS (SELECT doc_id, count(*) AS n FROM b GROUP BY 1),
-x AS (SELECT doc_id, text, coalesce(n, 0) AS n_lines, CASE WHEN len(gone) <= 0.5 * n THEN len(gone) ELSE 0 END AS n_removed, gone FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id))
-SELECT doc_id, n_lines, coalesce(n_removed, 0) AS n_removed, sha256(CASE WHEN n_removed > 0 THEN array_to_string(list_filter(string_split(text, chr(10)), lambda y, i: NOT list_contains(gone, i)), chr(10)) ELSE text END) AS kept_sha256 FROM x
+x AS (SELECT doc_id, text, coalesce(n, 0) AS n_lines, coalesce(len(gone), 0) AS n_removed, gone FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id))
+SELECT doc_id, n_lines, n_removed, sha256(CASE WHEN n_removed > 0 THEN array_to_string(list_filter(string_split(text, chr(10)), lambda y, i: NOT list_contains(gone, i)), chr(10)) ELSE text END) AS kept_sha256 FROM x
 """
 
 _REACH = """

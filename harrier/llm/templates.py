@@ -22,52 +22,60 @@ def _masked(token: Column) -> Column:
     return F.when(token.rlike("[0-9]"), F.lit(VARIABLE)).otherwise(token)
 
 
-def _lines(own: DataFrame, depth: int) -> DataFrame:
-    """doc, th (the text's hash), line, n, leaf and tokens of every line with a word."""
-    lines = own.select("doc", "th", F.posexplode(F.split("text", "\n")).alias("line", "_t"))
-    lines = lines.select("doc", "th", "line", words(F.col("_t")).alias("tokens")).where(F.size("tokens") > 0)
-    lead = [F.coalesce(_masked(F.get(F.col("tokens"), F.lit(k))), F.lit("")) for k in range(depth)]
-    return lines.select("doc", "th", "line", F.size("tokens").alias("n"), F.xxhash64(F.size("tokens"), *lead).alias("leaf"), "tokens")
+def _lines(texts: DataFrame, depth: int) -> DataFrame:
+    """t1, t2 (the text's hashes), line, leaf and tokens of every line with a word; tokens with a digit are VARIABLE."""
+    lines = texts.select("t1", "t2", F.posexplode(F.split("text", "\n")).alias("line", "_t"))
+    lines = lines.select("t1", "t2", "line", words(F.col("_t")).alias("_w")).where(F.size("_w") > 0)
+    lead = [F.coalesce(_masked(F.get(F.col("_w"), F.lit(k))), F.lit("")) for k in range(depth)]
+    return lines.select("t1", "t2", "line", F.xxhash64(F.size("_w"), *lead).alias("leaf"), F.transform("_w", _masked).alias("tokens"))
 
 
-def drop_recurring_lines(docs: DataFrame, least_docs: int = 10, depth: int = 3, constant: float = 0.5, most_share: float = 0.5) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, least_docs: int = 10, depth: int = 3, constant: float = 0.5, most_share: float = 1.0) -> DataFrame:
     """docs with their text cleaned, and n_lines (with a word) and n_removed.
 
     A template recurs if at least ``least_docs`` different texts have it (exact
     copies count once) and at least the share ``constant`` of its places is
-    constant. Where recurring lines would be more than ``most_share`` of a
-    document's lines, the document is rather a copy of others than a text with
-    boilerplate, and is left for document deduplication. The lines that stay
-    are joined as they were.
+    constant. Its lines go, whatever is left: a text whose lines all recur
+    becomes empty. On request documents that would lose more than
+    ``most_share`` of their lines keep all. The lines that stay are joined as
+    they were.
+
+    Leaves, constants and templates are 64-bit hashes; texts are told apart by
+    two of them. Only hashes are shuffled: one row for each line to find the
+    leaves, one for each token of the lines in recurring leaves to find the
+    constants, one for each of these lines to find the templates.
 
     Null texts stay null, with no lines; empty ones stay empty. Rows that
     repeat are cleaned alike; null doc_ids are fine. Columns of docs named
     n_lines or n_removed are replaced, others stay.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    key = F.xxhash64("text")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc"), key.alias("th"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    several = lambda df, *by: df.select(*by, "th").distinct().groupBy(*by).count().where(F.col("count") >= least_docs).drop("count")
-    leaves = scratch.save(several(_lines(own, depth), "leaf"), "leaves")
-    lines = _lines(own, depth).join(bounded_broadcast(leaves, leaves.count(), BROADCAST_ROWS), "leaf")
+    t1, t2 = F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
+    texts = docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL").select(t1.alias("t1"), t2.alias("t2"), "text")
+    several = lambda df, *by: df.select(*by, "t1").distinct().groupBy(*by).count().where(F.col("count") >= least_docs).drop("count")
+    small = lambda df: bounded_broadcast(df, df.count(), BROADCAST_ROWS)
+    leaves = scratch.save(several(_lines(texts, depth), "leaf"), "leaves")
+    lines = _lines(texts, depth).join(small(leaves), "leaf", "left_semi")
+    place = F.transform("tokens", lambda x, i: F.when(x != VARIABLE, F.xxhash64("leaf", i, x)))
+    lines = lines.select(F.monotonically_increasing_id().alias("row"), "t1", "t2", "line", F.size("tokens").alias("n"), "leaf", F.filter(place, lambda x: x.isNotNull()).alias("places"))
     lines = scratch.save(lines, "lines")
-    tokens = lines.select("leaf", "th", "doc", "line", "n", F.posexplode(F.transform("tokens", _masked)).alias("place", "token"))
-    constants = scratch.save(several(tokens.where(F.col("token") != VARIABLE), "leaf", "place", "token"), "constants")
-    known = tokens.join(constants, ["leaf", "place", "token"]).groupBy("leaf", "doc", "th", "line", "n")
-    fields = F.array_sort(F.collect_list(F.struct("place", "token")))
-    shaped = known.agg(F.xxhash64(F.to_json(fields)).alias("template"), F.count("*").alias("fixed")).where(F.col("fixed") >= constant * F.col("n"))
+    tokens = lines.select("row", "t1", "t2", "line", "n", "leaf", F.explode("places").alias("place"))
+    constants = scratch.save(several(tokens, "place"), "constants")
+    # places differ within a line, so the exclusive or of their hashes names their set
+    known = tokens.join(small(constants), "place", "left_semi").groupBy("row", "t1", "t2", "line", "n", "leaf").agg(F.bit_xor("place").alias("fields"), F.count("*").alias("fixed"))
+    shaped = known.where(F.col("fixed") >= constant * F.col("n")).select("t1", "t2", "line", F.xxhash64("leaf", "fixed", "fields").alias("template"))
     shaped = scratch.save(shaped, "shaped")
-    recurring = scratch.save(several(shaped, "leaf", "template"), "templates")
-    found = shaped.join(recurring, ["leaf", "template"], "left_semi").groupBy("doc", "th").agg(F.collect_set("line").alias("_dropped"))
-    found = scratch.save(found, "dropped").withColumnsRenamed({"doc": "_doc", "th": "_th"})
+    recurring = scratch.save(several(shaped, "template"), "templates")
+    found = shaped.join(small(recurring), "template", "left_semi").groupBy("t1", "t2").agg(F.collect_set("line").alias("_dropped"))
+    found = scratch.save(found.withColumnsRenamed({"t1": "_t1", "t2": "_t2"}), "dropped")
 
-    each = docs.drop("n_lines", "n_removed").withColumn("_key", key)
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_th"))
-    out = each.join(bounded_broadcast(found, found.count(), BROADCAST_ROWS), match, "left")
-    out = out.withColumn("_lines", F.split("text", "\n"))
+    own = F.col("text").cast("string")
+    each = docs.drop("n_lines", "n_removed").withColumns({"_k1": F.xxhash64(own), "_k2": F.xxhash64(F.lit(1), own)})
+    out = each.join(small(found), (F.col("_k1") == F.col("_t1")) & (F.col("_k2") == F.col("_t2")), "left")
+    out = out.withColumn("_lines", F.split(own, "\n"))
     n_lines = F.coalesce(F.size(F.filter("_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0))
     out = out.withColumn("n_lines", n_lines.cast("long")).withColumn("n_removed", F.coalesce(F.size("_dropped"), F.lit(0)).cast("long"))
     out = out.withColumn("n_removed", F.when(F.col("n_removed") <= most_share * F.col("n_lines"), F.col("n_removed")).otherwise(0))
     kept = F.array_join(F.filter("_lines", lambda x, i: ~F.array_contains("_dropped", i)), "\n")
-    text = F.when(F.col("n_removed") > 0, kept).otherwise(F.col("text"))
-    return out.withColumn("text", text).drop("_key", "_doc", "_th", "_lines", "_dropped")
+    text = F.when(F.col("n_removed") > 0, kept).otherwise(own)
+    return out.withColumn("text", text).drop("_k1", "_k2", "_t1", "_t2", "_lines", "_dropped")

@@ -74,7 +74,7 @@ def base_statistics(text):
     return n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), r, n < 20 or 100 * r > 30 * n
 
 
-def template_lines(docs, least=10, depth=3, constant=0.5, most_share=0.5):
+def template_lines(docs, least=10, depth=3, constant=0.5, most_share=1.0):
     """docs: {doc_id: text}; {doc_id: (n_lines, n_removed, text)}."""
     lines = []
     for d, t in docs.items():
