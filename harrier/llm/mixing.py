@@ -34,35 +34,37 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most:
     return level.withColumn("target", F.coalesce(F.least(F.col("cap"), F.col("level") * F.col("weight")), F.col("cap"))).select("source", "source_size", "n_docs", "target")
 
 
-def mix_sources(docs: DataFrame, size: Column | None = None, seed: str = "mix", rows_per_bucket: int = 256, **how) -> DataFrame:
-    """Every row of docs with size, source_size, target and taken (the words the mix takes, repeats counted).
+def mix_sources(docs: DataFrame, size: Column | None = None, seed: str = "mix", rows_per_bucket: int = 256, keep: list[str] | None = None, **how) -> DataFrame:
+    """Every row of docs (of them the columns ``keep``, if given) with size, source_size, target and taken (the words the mix takes, repeats counted).
 
-    A row's key is the MD5 of its doc_id and the seed, so the order is random
-    but the same in every run. Within a source the rows are cut into ranges of
+    A row's key is the MD5 of its doc_id and the seed, or of its text where it
+    has no doc_id, so the order is random
+    but the same in every run. Words are counted once: sizes and keys are written with the columns. Within a source the rows are cut into ranges of
     the key of about ``rows_per_bucket`` rows, sums of ranges and of ranges of
     ranges are added up, and each row learns the words before it. The mix takes
     as many whole epochs as the target holds, then rows in the key's order up
     to exactly the rest; the row at the cut is taken in part.
 
     Null texts have size 0 and are not taken; a null source is a source, the
-    last one; a null doc_id has a key too; rows that repeat are ordered by
-    their text. Other columns stay as they are, but columns of docs with the
+    last one; rows that repeat a doc_id are ordered by
+    their text, equal rows share a key. One row per source passes through one task. Other columns stay as they are, but columns of docs with the
     names of the results are replaced.
     """
     own = "__mix_"
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) if size is None else size
-    base = docs.withColumn("size", size.cast("long")).drop("source_size", "target", "taken")
+    # what breaks ties of repeated doc_ids, so that texts need not be shuffled for it
+    digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), digest)), F.lit(":" + seed)))
+    base = docs.withColumns({own + "key": key, own + "t": digest, "size": size.cast("long")}).drop("source_size", "target", "taken")
+    base = scratch.save(base if keep is None else base.select(*dict.fromkeys([*keep, "doc_id", "source"]), "size", own + "key", own + "t"), "sizes")
     lean = base.select(F.col("source").alias(own + "s"), "size")
     sizes = lean.groupBy(F.col(own + "s").alias("source")).agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     targets = scratch.save(source_targets(sizes, **how), "targets")
     t = targets.withColumnsRenamed({"source": own + "source", "n_docs": own + "n"})
-    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":" + seed)))
-    # what breaks ties of repeated doc_ids, so that texts need not be shuffled for it
-    base = base.withColumn(own + "t", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     n_buckets = F.ceil(F.col(own + "n") / F.lit(float(rows_per_bucket)))
-    keyed = base.join(t, F.col("source").eqNullSafe(F.col(own + "source"))).withColumn(own + "key", key)
+    keyed = base.join(t, F.col("source").eqNullSafe(F.col(own + "source")))
     keyed = keyed.withColumn(own + "b", F.floor(F.conv(F.substring(own + "key", 1, 8), 16, 10).cast("long") * n_buckets / F.lit(2.0**32)).cast("long"))
     keyed = keyed.withColumn(own + "g", F.xxhash64(own + "source", F.col(own + "source").isNull()))
 

@@ -149,24 +149,25 @@ def lower_bound(counts: np.ndarray, most: int) -> int:
 
 
 def pack(pieces: DataFrame, most: int = 1024, per_partition: int = 50_000, rounds: int = 3) -> DataFrame:
-    """The pieces with sequence_id and offset.
+    """The pieces with sequence_id and offset, and the certificate of their partition: its bins and the bound that no packing of its pieces can go below.
 
-    Partitions of about ``per_partition`` pieces are dealt by hash, so none
-    grows with the input or a hot key. After each round partitions with more
+    Pieces are numbered once and dealt by the hash of their number into
+    partitions of about ``per_partition``, so none grows with the input, a hot
+    key or a row that repeats. After each round partitions with more
     bins than their bound give the pieces of bins that aren't full to the next
     round; a round that saves no bin ends the exchange. Rows that repeat are pieces of
     their own. sequence_id: round, partition and bin.
     """
     spark = pieces.sparkSession
     scratch = Scratch(spark, "pack")
-    left, done, before = scratch.save(pieces, "pieces"), [], None
-    keys = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    schema = ", ".join(f"{n} {t}" for n, t in [*pieces.dtypes, ("sequence_id", "long"), ("offset", "long"), ("settled", "boolean")])
+    left = scratch.save(pieces.withColumn("_n", F.monotonically_increasing_id()), "pieces")
+    done, before = [], None
+    added = [("_n", "long"), ("sequence_id", "long"), ("offset", "long"), ("bins", "long"), ("bound", "long"), ("settled", "boolean")]
+    schema = ", ".join(f"{n} {t}" for n, t in [*pieces.dtypes, *added])
     for r in range(rounds):
-        n = left.count()
-        groups = max(1, -(-n // per_partition))
-        dealt = left.select(*pieces.columns).withColumn("_g", F.pmod(F.xxhash64(F.lit(r), *keys), F.lit(groups)))
-        packed = scratch.save(dealt.groupBy("_g").applyInArrow(_packer(keys, most, r, r == rounds - 1), schema), f"round{r}")
+        groups = max(1, -(-left.count() // per_partition))
+        dealt = left.select(*pieces.columns, "_n").withColumn("_g", F.pmod(F.xxhash64(F.lit(r), "_n"), F.lit(groups)))
+        packed = scratch.save(dealt.groupBy("_g").applyInArrow(_packer(most, r, r == rounds - 1), schema), f"round{r}")
         bins = packed.select("sequence_id").distinct().count()
         if before is not None and bins >= before:  # the exchange saved nothing
             done.append(left)
@@ -179,19 +180,19 @@ def pack(pieces: DataFrame, most: int = 1024, per_partition: int = 50_000, round
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.drop("settled")
+    return out.drop("settled", "_n")
 
 
-def _packer(keys: list[str], most: int, r: int, last: bool):
+def _packer(most: int, r: int, last: bool):
     def fit(key: tuple, items: pa.Table) -> pa.Table:
-        items = items.drop_columns("_g").sort_by([(k, "ascending") for k in keys])
+        items = items.drop_columns("_g").sort_by("_n")
         lengths = items["length"].to_numpy()
         bins, offsets, n = best_fit_decreasing(lengths, most)
-        certified = n <= lower_bound(np.bincount(lengths, minlength=most + 1), most)
+        bound = lower_bound(np.bincount(lengths, minlength=most + 1), most)
         fill = np.bincount(bins, weights=lengths, minlength=n)
-        settled = np.full(len(bins), True) if certified or last else fill[bins] == most
+        settled = np.full(len(bins), True) if n <= bound or last else fill[bins] == most
         sequence = (r << 56) + (key[0].as_py() << 28) + bins
-        for name, values in (("sequence_id", sequence), ("offset", offsets), ("settled", settled)):
+        for name, values in (("sequence_id", sequence), ("offset", offsets), ("bins", np.full(len(bins), n)), ("bound", np.full(len(bins), bound)), ("settled", settled)):
             items = items.append_column(name, pa.array(values))
         return items
 

@@ -9,9 +9,10 @@ the statistics.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, Scratch
@@ -20,9 +21,11 @@ MIN_WORDS = 20
 MOST_REPEATED = 30  # per cent of the words
 WINDOW = 8
 SYMBOLS = "[#*$%&|<>]"
+SUBSET = 64  # rows of a group that a drawn start takes, about
+LEAST_FALL = 1e-3  # of the log of a determinant, for another step
 
 # Transformed statistics: name, and the least standard deviation that its estimate may have
-FLOORS = {"x1": 0.03, "x2": 0.05, "x3": 0.20, "x4": 0.15, "x5": 0.10}
+FLOORS = {"x1": 0.05, "x2": 0.05, "x3": 0.15, "x4": 0.11, "x5": 0.10}
 
 
 def base_statistics(docs: DataFrame, *keep: str | Column, scratch: Scratch | None = None) -> DataFrame:
@@ -75,10 +78,32 @@ def _pairs() -> list[tuple[str, str]]:
     return [(a, b) for i, a in enumerate(names) for b in names[i:]]
 
 
+def chi_square(x: float, k: int) -> float:
+    """The distribution function with k degrees of freedom, by the series of the incomplete gamma function."""
+    if x <= 0:
+        return 0.0
+    a, z = k / 2, x / 2
+    term = total = math.exp(a * math.log(z) - z - math.lgamma(a + 1))
+    n = 1
+    while term > 1e-16 * total:
+        term *= z / (a + n)
+        total += term
+        n += 1
+    return min(1.0, total)
+
+
+def chi_square_quantile(p: float, k: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi_square(mid, k) < p else (low, mid)
+    return high
+
+
 def _estimate(rows: DataFrame, factor: float) -> DataFrame:
-    """Per group: means, and the Cholesky factor of the covariance times ``factor``, with the floors added."""
+    """Per group and start: means, the Cholesky factor of the covariance times ``factor`` with the floors added, and the log of its determinant."""
     names = list(FLOORS)
-    stats = rows.groupBy("g").agg(*(F.avg(a).alias("m_" + a) for a in names), *(F.avg(F.col(a) * F.col(b)).alias(f"c_{a}_{b}") for a, b in _pairs()))
+    stats = rows.groupBy("g", "s").agg(*(F.avg(a).alias("m_" + a) for a in names), *(F.avg(F.col(a) * F.col(b)).alias(f"c_{a}_{b}") for a, b in _pairs()))
     cov = lambda a, b: F.col(f"c_{a}_{b}") - F.col("m_" + a) * F.col("m_" + b)
     for i, a in enumerate(names):  # row by row, each from the ones before
         for j, b in enumerate(names[: i + 1]):
@@ -86,18 +111,19 @@ def _estimate(rows: DataFrame, factor: float) -> DataFrame:
             rest = reduce(lambda s, k: s - F.col(f"l_{a}_{k}") * F.col(f"l_{b}_{k}"), names[:j], own)
             value = F.sqrt(F.greatest(rest, F.lit(0.0)) + F.lit(FLOORS[a] ** 2)) if a == b else rest / F.col(f"l_{b}_{b}")
             stats = stats.withColumn(f"l_{a}_{b}", value)
-    return stats.select("g", *("m_" + a for a in names), *(f"l_{a}_{b}" for i, a in enumerate(names) for b in names[: i + 1]))
+    log_det = reduce(lambda s, a: s + 2 * F.log(F.col(f"l_{a}_{a}")), names, F.lit(0.0))
+    return stats.select("g", "s", log_det.alias("log_det"), *("m_" + a for a in names), *(f"l_{a}_{b}" for i, a in enumerate(names) for b in names[: i + 1]))
 
 
-def _distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """The rows with d2, the squared Mahalanobis distance from their group's estimate (by forward substitution)."""
+def _distance(rows: DataFrame, estimate: DataFrame, *keep: str) -> DataFrame:
+    """The rows, once for each start of the estimate, with d2, the squared Mahalanobis distance from their group's estimate (by forward substitution)."""
     names = list(FLOORS)
     df = rows.join(estimate, "g", "left")
     for i, a in enumerate(names):
         own = reduce(lambda s, b: s - F.col(f"l_{a}_{b}") * F.col(f"z_{b}"), names[:i], F.col(a) - F.col("m_" + a))
         df = df.withColumn(f"z_{a}", own / F.col(f"l_{a}_{a}"))
     d2 = reduce(lambda s, a: s + F.col(f"z_{a}") * F.col(f"z_{a}"), names, F.lit(0.0))
-    return df.withColumn("d2", d2).select(*rows.columns, "d2")
+    return df.withColumn("d2", d2).select(*rows.columns, "d2", *keep)
 
 
 def _bin(x: Column) -> Column:
@@ -106,27 +132,54 @@ def _bin(x: Column) -> Column:
 
 
 def _half(rows: DataFrame, scratch: Scratch, share: float) -> DataFrame:
-    """Each group's rows of the least d2, ``share`` of them or a bin more; counts by bin give the limit."""
-    from pyspark.sql import Window
-
-    counts = rows.groupBy("g", _bin(F.col("d2")).alias("bin")).count()
-    w = Window.partitionBy("g")
+    """Each group's and start's rows of the least d2, ``share`` of them or a bin more; counts by bin, combined before they are shuffled, give the limit."""
+    counts = rows.groupBy("g", "s", _bin(F.col("d2")).alias("bin")).count()
+    w = Window.partitionBy("g", "s")
     up_to = F.sum("count").over(w.orderBy("bin"))
-    limit = counts.withColumn("enough", up_to >= share * F.sum("count").over(w)).where("enough").groupBy("g").agg(F.min("bin").alias("most"))
-    return rows.join(scratch.save(limit, "limit"), "g").where(_bin(F.col("d2")) <= F.col("most")).drop("most", "d2")
+    limit = counts.withColumn("enough", up_to >= share * F.sum("count").over(w)).where("enough").groupBy("g", "s").agg(F.min("bin").alias("most"))
+    return rows.join(scratch.save(limit, "limit"), ["g", "s"]).where(_bin(F.col("d2")) <= F.col("most")).drop("most", "d2")
 
 
-def quality_rules(docs: DataFrame, cutoff: float = 40.0, share: float = 0.6, least_rows: int = 100, steps: int = 6) -> DataFrame:
+def _best_half(rows: DataFrame, scratch: Scratch, share: float, draws: int) -> DataFrame:
+    """Each group's half of least determinant: from the medians and from ``draws`` small subsets, concentration steps until no determinant falls."""
+    start = rows.groupBy("g").agg(*(F.percentile_approx(a, 0.5, 1000).alias("m_" + a) for a in FLOORS), F.count("*").alias("size"))
+    first = rows.join(scratch.save(start, "medians"), "g")
+    away = reduce(lambda s, a: s + ((F.col(a) - F.col("m_" + a)) / FLOORS[a]) ** 2, FLOORS, F.lit(0.0))
+    near = _half(first.select(*rows.columns, F.lit(0).alias("s"), away.alias("d2")), scratch, share)
+    drawn = F.filter(F.array(*(F.lit(k) for k in range(1, draws + 1))).cast("array<int>"), lambda k: F.pmod(F.xxhash64(k, *FLOORS), F.col("size")) < SUBSET)
+    near = near.unionByName(first.select(*rows.columns, F.explode(drawn).alias("s")))
+    best = scratch.save(_estimate(near, 1.0), "estimate")
+    while True:
+        estimate = scratch.save(_estimate(_half(_distance(rows, best, "s"), scratch, share), 1.0), "estimate")
+        last = best.select("g", "s", F.col("log_det").alias("last"))
+        fell = scratch.save(estimate.join(last, ["g", "s"]).where(F.col("last") - F.col("log_det") > LEAST_FALL).drop("last"), "fell")
+        if fell.isEmpty():
+            break
+        best = scratch.save(fell.unionByName(best.join(fell, ["g", "s"], "left_anti")), "best")
+    chosen = best.groupBy("g").agg(F.min(F.struct("log_det", "s")).alias("b")).select("g", "b.s")
+    best = scratch.save(best.join(chosen, ["g", "s"], "left_semi"), "chosen")
+    return _half(_distance(rows, best, "s"), scratch, share)
+
+
+def quality_rules(docs: DataFrame, quantile: float = 0.999, share: float = 0.6, least_rows: int = 100, draws: int = 2) -> DataFrame:
     """doc_id, n_words, the base statistics, base_failed, d2 and kept for every row of docs.
 
     The estimates are of the rows that pass the base rules. A language and
     source with fewer than ``least_rows`` of them takes the estimate of its
     language, and that of all rows where the language has too few as well. From the
-    group's medians each concentration step takes the ``share`` of rows nearest
-    to the last estimate and makes the next; limits come from histograms of the distance,
+    group's medians, and from ``draws`` subsets of about ``SUBSET`` rows, each
+    concentration step takes the ``share`` of rows nearest
+    to the last estimate and makes the next, until no determinant falls; the
+    start that ends with the least one counts. Limits come from histograms of the distance,
     64 bins an octave, so that all rows count and no group is gathered.
-    ``cutoff`` bounds the squared distance; statistics that hardly vary count
-    with a least standard deviation, so clean texts are left alone.
+
+    A document is rejected beyond the chi-square ``quantile`` of the squared
+    distance; the covariance is scaled by the factor that makes it consistent
+    for normal data. Statistics that hardly vary count
+    with a least standard deviation (``FLOORS``), so clean texts are left
+    alone; still each of them alone can reject a document, but word length,
+    which varies: half of the lines repeated, a quarter of the words in
+    repeated windows, a fifth of the words stutters or 5 % symbols do.
 
     Null languages and sources are values of their own; null texts fail the
     base rules (d2 null). Rows that repeat count as often. Other columns are
@@ -146,15 +199,11 @@ def quality_rules(docs: DataFrame, cutoff: float = 40.0, share: float = 0.6, lea
     wide = every.withColumn("g", F.explode(F.array(F.to_json(F.array("_l", "_s")), F.to_json(F.array("_l")), F.lit("[]")))).join(asked, "g", "left_semi")
     rows = scratch.save(wide.select("g", *FLOORS), "rows")
 
-    start = rows.groupBy("g").agg(*(F.percentile_approx(a, 0.5, 1000).alias("m_" + a) for a in FLOORS))
-    first = rows.join(scratch.save(start, "medians"), "g")
-    away = reduce(lambda s, a: s + ((F.col(a) - F.col("m_" + a)) / FLOORS[a]) ** 2, FLOORS, F.lit(0.0))
-    near = _half(first.withColumn("d2", away).select(*rows.columns, "d2"), scratch, share)
-    for _ in range(steps):
-        estimate = scratch.save(_estimate(near, 1.0), "estimate")
-        near = _half(_distance(rows, estimate), scratch, share)
-    final = scratch.save(_estimate(near, 1.0 / share), "estimate")
+    p = len(FLOORS)
+    factor = share / chi_square(chi_square_quantile(share, p), p + 2)
+    final = scratch.save(_estimate(_best_half(rows, scratch, share, draws), factor), "estimate").drop("s", "log_det")
     judged = _distance(stats.join(groups, ["_l", "_s"], "left"), final)
     d2 = F.when(~F.col("base_failed"), F.col("d2"))
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return judged.select(*names, d2.alias("d2"), (~F.col("base_failed") & (F.coalesce(d2, F.lit(0.0)) <= cutoff)).alias("kept"))
+    kept = ~F.col("base_failed") & (F.coalesce(d2, F.lit(0.0)) <= chi_square_quantile(quantile, p))
+    return judged.select(*names, d2.alias("d2"), kept.alias("kept"))
