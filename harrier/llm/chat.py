@@ -6,6 +6,11 @@ prefix adds to the one before is the turn's span. Rendering the last turn with
 two sentinel texts instead of its own shows which part of that span is the
 text and which is markup. A prefix whose output does not start with the output
 before it betrays a template that rewrites history.
+
+Rendering every prefix takes time that grows with the square of the turns. A
+template whose output for a turn depends on, or changes, no more than the last
+few turns can say so by an attribute ``look_back``; then prefixes need not
+reach back further. Without it they begin at the first turn.
 """
 
 from __future__ import annotations
@@ -32,6 +37,7 @@ class MarkedTurns:
     """
 
     START, END = "<|im_start|>", "<|im_end|>"
+    look_back = 0  # each turn is rendered by itself
     _turn = re.compile(r"<\|im_start\|>([^\n]*)\n((?:[^<]|<(?!\|))*)<\|im_end\|>\n")
 
     @staticmethod
@@ -82,7 +88,7 @@ def turn_spans(template, turns: list[tuple[str, str]], known: int = 0, before: s
 FORMATTED = "conv_id long, seq long, piece string, loss_start long, loss_end long, rewrites boolean"
 
 
-def format_conversations(conversations: DataFrame, template=None, max_prefix_turns: int = 256) -> DataFrame:
+def format_conversations(conversations: DataFrame, template=None, step: int = 16) -> DataFrame:
     """One row per turn, in order within its partition: the piece it adds to the formatted conversation, and the loss span in it.
 
     conversations: conv_id, turn, role, text; other columns are ignored. Turns
@@ -92,11 +98,14 @@ def format_conversations(conversations: DataFrame, template=None, max_prefix_tur
     -1 marks turns outside the loss. Where a template rewrites history, the
     turn is flagged, its piece starts at the first change, and it has no loss.
 
-    Prefixes are rendered over at most ``max_prefix_turns`` turns; a longer
-    conversation goes on from its last turn as context. That bounds a task's
-    memory, and is exact for templates that look back one turn at most.
+    Where the template has a ``look_back``, conversations are rendered in runs
+    of ``step`` turns, each after the ``look_back`` turns before it as context,
+    and a task holds no more than that. Where it has none, every prefix is
+    rendered whole, however long the conversation; a task then holds the turns
+    of one conversation.
     """
     template = template or MarkedTurns()
+    look_back = getattr(template, "look_back", None)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, turns, seq, done, before = object(), [], 0, 0, None
@@ -107,7 +116,8 @@ def format_conversations(conversations: DataFrame, template=None, max_prefix_tur
             for piece, start, end, rewrites in turn_spans(template, turns, done, before):
                 out.append((conv, seq, piece, start, end, rewrites))
                 seq += 1
-            turns, done, before = turns[-1:], 1, None
+            turns = turns[len(turns) - look_back :] if look_back is not None else []
+            done, before = len(turns), None
 
         for batch in batches:
             for c, role, text in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "role", "text"))):
@@ -116,7 +126,7 @@ def format_conversations(conversations: DataFrame, template=None, max_prefix_tur
                         flush()
                     conv, turns, seq, done, before = c, [], 0, 0, None
                 turns.append((role or "", text or ""))
-                if len(turns) >= max_prefix_turns:
+                if look_back is not None and len(turns) >= look_back + step:
                     flush()
             yield _batch(out)
             out = []
@@ -143,7 +153,11 @@ _DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_s
 
 
 def read_back(formatted: DataFrame, template=None) -> DataFrame:
-    """Digests of each conversation, read from the pieces alone (role and text by ``parse``, loss by the spans)."""
+    """Digests of each conversation, read from the pieces alone (role and text by ``parse``, loss by the spans).
+
+    formatted: as ``format_conversations`` gives it, all pieces of a
+    conversation in one partition and in their order.
+    """
     template = template or MarkedTurns()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

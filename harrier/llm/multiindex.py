@@ -19,11 +19,18 @@ from pyspark.sql import functions as F
 
 from harrier.operators.components import connected_components
 
-from .common import Scratch, bounded_sample
+from .common import Scratch, bounded_broadcast, bounded_sample
+
+SAMPLE_NUMBERS = 16_000_000  # components that a sample holds at most: 128 MB
+BROADCAST_CELLS = 1_000_000
 
 
 def unit(rows: pa.ListArray, dim: int) -> np.ndarray:
-    x = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return unit_rows(rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim))
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that no square is lost or overflows
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -50,37 +57,77 @@ def codebook(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarr
 class MultiIndex:
     """Codebooks of one vector length and the number of cells that a query visits."""
 
-    def __init__(self, sample: np.ndarray, threshold: float, codewords: int, recall: float):
+    def __init__(self, sample: np.ndarray, codewords: int):
         self.books = [codebook(h, codewords) for h in halves(sample)]
-        self.n_cells = len(self.books[0]) * len(self.books[1])
-        self.visits = self._calibrate(sample, threshold, recall)
+        self.shape = len(self.books[0]), len(self.books[1])
+        self.visits = self.shape[0] * self.shape[1]
 
-    def distances(self, x: np.ndarray) -> np.ndarray:
-        """(rows, cells): the summed squared distances of the halves."""
+    def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distances of the halves to their codewords."""
         first, second = (squared(h, c) for h, c in zip(halves(x), self.books))
-        return (first[:, :, None] + second[:, None, :]).reshape(len(x), -1)
+        return first, second
 
     def cells(self, x: np.ndarray) -> np.ndarray:
-        return self.distances(x).argmin(1)
+        first, second = self.distances(x)
+        return first.argmin(1) * self.shape[1] + second.argmin(1)
 
     def visited(self, x: np.ndarray) -> np.ndarray:
-        """(rows, visits): the nearest cells, the own one among them."""
-        d = self.distances(x)
-        if self.visits >= self.n_cells:
-            return np.broadcast_to(np.arange(self.n_cells), d.shape)
-        return np.argpartition(d, self.visits - 1, axis=1)[:, : self.visits]
-
-    def _calibrate(self, sample: np.ndarray, threshold: float, recall: float, most_queries: int = 2000) -> int:
-        """Twice the cells after which the sample's queries have met the share ``recall`` of their links in the sample."""
-        own, ranks = self.cells(sample), []
-        step = max(1, len(sample) // most_queries)
-        for at in range(0, len(sample), 256 * step):
-            q = np.arange(at, min(at + 256 * step, len(sample)), step)
-            i, j = np.nonzero(sample[q] @ sample.T >= threshold)
-            d = self.distances(sample[q])
-            ranks.append((d[i] < d[i, own[j]][:, None]).sum(1) + 1)
-        ranks = np.sort(np.concatenate(ranks))
-        return int(min(self.n_cells, 2 * ranks[max(0, int(np.ceil(recall * len(ranks))) - 1)]))
+        """(rows, visits): the cells in the multi-sequence order, nearest first.
+
+        With each half's codewords sorted by distance, a pair (i, j) has at
+        least (i + 1) (j + 1) - 1 pairs before it; so the nearest ``visits``
+        are among those with (i + 1) (j + 1) <= visits, and no others are summed.
+        """
+        i, j = np.meshgrid(np.arange(self.shape[0]), np.arange(self.shape[1]), indexing="ij")
+        near = (i + 1) * (j + 1) <= self.visits
+        i, j = i[near], j[near]
+        first, second = self.distances(x)
+        a, b = first.argsort(1, kind="stable"), second.argsort(1, kind="stable")
+        sums = np.take_along_axis(first, a, 1)[:, i] + np.take_along_axis(second, b, 1)[:, j]
+        order = sums.argsort(1, kind="stable")[:, : self.visits]
+        return a[:, i][np.arange(len(x))[:, None], order] * self.shape[1] + b[:, j][np.arange(len(x))[:, None], order]
+
+    def ranks(self, queries: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """For each query and cell, how many cells the multi-sequence order has up to that one."""
+        first, second = self.distances(queries)
+        to = first[np.arange(len(cells)), cells // self.shape[1]] + second[np.arange(len(cells)), cells % self.shape[1]]
+        second = np.sort(second, axis=1)
+        left = to[:, None] - first + 1e-12
+        return np.array([np.searchsorted(s, x, side="right").sum() for s, x in zip(second, left)], np.int64)
+
+
+def calibrate(classes: DataFrame, index: dict[int, MultiIndex], threshold: float, recall: float, queries: int) -> None:
+    """Set each index's visits: twice the cells after which about ``queries`` vectors, compared with all others, have met the share ``recall`` of their links."""
+    asked: dict[int, list] = {}
+    for rep, v in bounded_sample(classes, queries, "h", "rep").select("rep", "v").collect():
+        asked.setdefault(len(v), []).append((rep, v))
+    known = {dim: (np.array([r for r, _ in q]), unit_rows(np.array([v for _, v in q], np.float64))) for dim, q in asked.items()}
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple, int] = {}
+        for batch in batches:
+            lengths = np.array([len(x) for x in batch.column(1)], np.int64)
+            for dim in np.unique(lengths):
+                if int(dim) not in known:
+                    continue
+                part = batch.filter(pa.array(lengths == dim))
+                ids, x = part.column(0).to_numpy(), unit(part.column(1), int(dim))
+                reps, q = known[int(dim)]
+                i, j = np.nonzero(q @ x.T >= threshold)
+                other = reps[i] != ids[j]
+                i, j = i[other], j[other]
+                own = index[int(dim)].cells(x)
+                pairs, n = np.unique(np.stack([i, own[j]], axis=1), axis=0, return_counts=True)  # one rank for all of a query's links in a cell
+                for rank, k in zip(index[int(dim)].ranks(q[pairs[:, 0]], pairs[:, 1]).tolist(), n.tolist()):
+                    counts[int(dim), rank] = counts.get((int(dim), rank), 0) + k
+        rows = [(d, r, k) for (d, r), k in counts.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 3)], names=["dim", "rank", "n"])
+
+    met = classes.select("rep", "v").mapInArrow(read, "dim long, rank long, n long").groupBy("dim", "rank").agg(F.sum("n").alias("n")).collect()
+    for dim, book in index.items():
+        found = sorted((rank, n) for d, rank, n in met if d == dim)
+        ranks, n = np.array([r for r, _ in found] or [1]), np.cumsum([k for _, k in found] or [1])
+        book.visits = int(min(book.shape[0] * book.shape[1], 2 * ranks[np.searchsorted(n, recall * n[-1])]))
 
 
 def usable(vector: Column) -> Column:
@@ -89,32 +136,36 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def train(vectors: DataFrame, threshold: float, codewords: int, recall: float, sample: int) -> dict[int, MultiIndex]:
-    """An index for each vector length, fitted on about ``sample`` vectors picked by their hashes."""
-    picked = bounded_sample(vectors, sample, "rep").select("rep", "v").orderBy("rep").collect()
+def train(classes: DataFrame, codewords: int, sample: int, block: int) -> dict[int, MultiIndex]:
+    """An index for each vector length, fitted on about ``sample`` vectors picked by their hashes, and on no more numbers than SAMPLE_NUMBERS.
+
+    Each half has at least ``codewords`` words, and so many more that a cell
+    holds about a quarter of ``block`` vectors, up to one for 16 of the sample.
+    """
+    n, numbers = classes.agg(F.count("*"), F.max(F.size("v"))).first()
+    picked = bounded_sample(classes, min(sample, SAMPLE_NUMBERS // max(1, numbers or 1)), "rep", "h").select("rep", "v").orderBy("rep").collect()
+    words = max(codewords, min(int(np.ceil((4 * n / block) ** 0.5)), len(picked) // 16))
     by_length: dict[int, list] = {}
     for _, v in picked:
         by_length.setdefault(len(v), []).append(v)
-    out = {}
-    for dim, rows in by_length.items():
-        x = np.array(rows, np.float64)
-        out[dim] = MultiIndex(x / np.linalg.norm(x, axis=1, keepdims=True), threshold, codewords, recall)
-    return out
+    return {dim: MultiIndex(unit_rows(np.array(rows, np.float64)), words) for dim, rows in by_length.items()}
 
 
-def embedding_near_duplicates(embeddings: DataFrame, threshold: float = 0.9, codewords: int = 24, recall: float = 1.0, sample: int = 20_000, block: int = 4096) -> DataFrame:
+def embedding_near_duplicates(embeddings: DataFrame, threshold: float = 0.9, codewords: int = 24, recall: float = 1.0, sample: int = 20_000, queries: int = 1000, block: int = 4096) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of embeddings.
 
     Equal vectors are one class, compared once and counted as often as they
     occur. Cells and their visitors are dealt in blocks of about ``block``
     vectors, so a hot cell becomes many tasks; a block gives for each visitor
-    the number of its links, and for its linked vectors a spanning star.
+    the number of its links, and for its linked vectors a spanning star. A link
+    that only one of its ends visits counts for both.
 
     Vectors that are null, empty, zero or hold null or non-finite components
     link with nothing, nor do those of another length or with a null vec_id
-    (null component_id, kept). Other columns are ignored. Only the codebooks
-    and the number of visited cells come from a sample of about ``sample``
-    vectors; all are indexed and all are queries.
+    (null component_id, kept). Other columns are ignored. The codebooks come
+    from a sample of about ``sample`` vectors; a query goes on to twice the
+    cells after which about ``queries`` vectors, compared with all others, have
+    met the share ``recall`` of their links. All vectors are indexed and all are queries.
     """
     scratch = Scratch(embeddings.sparkSession, "multiindex")
     spark = embeddings.sparkSession
@@ -123,7 +174,8 @@ def embedding_near_duplicates(embeddings: DataFrame, threshold: float = 0.9, cod
     keyed = rows.withColumn("h", F.when(fine, F.struct(F.xxhash64("v").alias("x"), F.md5(F.to_json("v")).alias("y"))))
     classes = keyed.where("h IS NOT NULL").groupBy("h").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v"))
     classes = scratch.save(classes, "classes")
-    index = train(classes, threshold, codewords, recall, sample)
+    index = train(classes, codewords, sample, block)
+    calibrate(classes, index, threshold, recall, queries)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,19 +185,19 @@ def embedding_near_duplicates(embeddings: DataFrame, threshold: float = 0.9, cod
                 books, x = index.get(int(dim)), unit(part.column(2), int(dim))
                 base = int(dim) << 32
                 own = base + (books.cells(x) if books else np.zeros(len(x), np.int64))
-                seen = base + (books.visited(x) if books else np.zeros((len(x), 1), np.int64))
+                seen = base + (np.concatenate([books.visited(x[at : at + 1024]) for at in range(0, len(x), 1024)]) if books else np.zeros((len(x), 1), np.int64))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own), pa.array(list(seen), pa.list_(pa.int64()))], names=["rep", "n", "v", "own", "seen"])
 
     placed = scratch.save(classes.select("rep", "n", "v").mapInArrow(place, "rep long, n long, v array<double>, own long, seen array<long>"), "placed")
-    members = placed.select(F.col("own").alias("cell"), "rep", "n", "v")
-    visitors = placed.select(F.explode("seen").alias("cell"), "rep", "n", "v")
+    members = placed.select(F.col("own").alias("cell"), "rep", "n", "v", "own", "seen")
+    visitors = placed.select(F.explode("seen").alias("cell"), "rep", "n", "v", "own", F.array().cast("array<long>").alias("seen"))
     blocks = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias(name))
     grid = scratch.save(blocks(members, "mb").join(blocks(visitors, "vb"), "cell"), "grid")
-    grid = F.broadcast(grid)  # codewords squared rows for each vector length at most
+    grid = bounded_broadcast(grid, grid.count(), BROADCAST_CELLS)
     deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    m = members.join(grid, "cell").withColumn("i", deal("mb")).withColumn("j", every("vb")).select("cell", "i", "j", F.lit(False).alias("asks"), "rep", "n", "v")
-    q = visitors.join(grid, "cell").withColumn("j", deal("vb")).withColumn("i", every("mb")).select("cell", "i", "j", F.lit(True).alias("asks"), "rep", "n", "v")
+    m = members.join(grid, "cell").withColumn("i", deal("mb")).withColumn("j", every("vb")).select("cell", "i", "j", F.lit(False).alias("asks"), "rep", "n", "v", "own", "seen")
+    q = visitors.join(grid, "cell").withColumn("j", deal("vb")).withColumn("i", every("mb")).select("cell", "i", "j", F.lit(True).alias("asks"), "rep", "n", "v", "own", "seen")
 
     def compare(both: pa.Table) -> pa.Table:
         left, right = both.filter(pc.invert(both["asks"])), both.filter(both["asks"])
@@ -153,16 +205,23 @@ def embedding_near_duplicates(embeddings: DataFrame, threshold: float = 0.9, cod
         if len(left) and len(right):
             dim = len(left["v"][0])
             a, b = (unit(t["v"].combine_chunks(), dim) for t in (left, right))
-            ids, weights, asks = left["rep"].to_numpy(), left["n"].to_numpy(), right["rep"].to_numpy()
-            lead = {}
+            ids, weights, asks, asking = left["rep"].to_numpy(), left["n"].to_numpy(), right["rep"].to_numpy(), right["n"].to_numpy()
+            homes, seen = right["own"].to_numpy(), left["seen"].combine_chunks().flatten().to_numpy().reshape(len(left), -1)
+            lead, unasked = {}, np.zeros(len(left), np.int64)
             for at in range(0, len(b), 512):
                 i, j = np.nonzero(b[at : at + 512] @ a.T >= threshold)
                 x, y, w = asks[at + i], ids[j], weights[j]
-                i, y, w, x = (z[x != y] for z in (at + i, y, w, x))
+                i, j, y, w, x = (z[x != y] for z in (at + i, j, y, w, x))
+                for part in range(0, len(i), 1 << 16):  # links that the other end does not visit
+                    k, m = i[part : part + (1 << 16)], j[part : part + (1 << 16)]
+                    alone = ~(seen[m] == homes[k][:, None]).any(axis=1)
+                    unasked += np.bincount(m[alone], weights=asking[k[alone]], minlength=len(left)).astype(np.int64)
                 counts = np.bincount(i, weights=w, minlength=len(b)).astype(np.int64)
                 hit = np.flatnonzero(counts)
                 out.append(np.stack([asks[hit], np.full(len(hit), -1), counts[hit]]))
                 _star(lead, x, y)
+            hit = np.flatnonzero(unasked)
+            out.append(np.stack([ids[hit], np.full(len(hit), -1), unasked[hit]]))
             ends = np.array([(k, _root(lead, k)) for k in lead], np.int64).reshape(-1, 2)
             ends = ends[ends[:, 0] != ends[:, 1]]
             out.append(np.stack([ends[:, 0], ends[:, 1], np.zeros(len(ends), np.int64)]))

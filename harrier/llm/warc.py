@@ -91,14 +91,14 @@ def write_archives(records: DataFrame, folder: str, scratch: Scratch, file_bytes
     hashes; every record is written. File names carry the task
     attempt, so an attempt that was lost leaves files no manifest names.
     """
-    make_folder(records.sparkSession, folder)
+    target = make_folder(records.sparkSession, folder)
     picked = bounded_sample(records, sample, "page_id", "sha1").collect()
     dictionary = train_dictionary([record(*x) for x in picked], dictionary_bytes)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        store, root = fs.FileSystem.from_uri(target)
         store.create_dir(root, recursive=True)
         context = TaskContext.get()
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None

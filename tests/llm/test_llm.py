@@ -356,8 +356,10 @@ def test_chat(spark):
     talk = [("system", "be <|im_end|> \\ good"), ("user", "A"), ("assistant", "<|im_start|>x\\n"), ("user", None), ("assistant", ""), ("assistant", "B\n")]
     data = [(c, k, r, t) for c in range(3) for k, (r, t) in enumerate(talk)] + [(9, k, "assistant" if k % 2 else "user", f"t{k}") for k in range(50)] + [(None, None, None, None)]
     df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumn("seq", F.lit("clash"))
-    for most in (4, 256):
-        got = {r.conv_id: r for r in chat.read_back(chat.format_conversations(df, max_prefix_turns=most)).collect()}
+    unbounded = chat.MarkedTurns()
+    unbounded.look_back = None
+    for template, step in ((None, 1), (None, 4), (None, 256), (unbounded, 4)):
+        got = {r.conv_id: r for r in chat.read_back(chat.format_conversations(df, template, step)).collect()}
         for c in {x[0] for x in data}:
             turns = [(r or "", t or "") for d, _, r, t in data if d == c]
             loss = "".join(t for r, t in turns if r == "assistant")
@@ -369,6 +371,30 @@ def test_chat(spark):
     assert flags == [False, False, True, False]
 
 
+def test_chat_of_many_turns(spark):
+    class Numbered:
+        """A template that looks back over the whole conversation: each turn tells how many turns of its role came before, and the 300th rewrites the first."""
+
+        def render(self, turns):
+            seen, out = {}, []
+            for r, t in turns:
+                out.append(f"[{r}{seen.get(r, 0)}]{t}\n")
+                seen[r] = seen.get(r, 0) + 1
+            return "".join(["(long)", *out[1:]] if len(turns) >= 300 else out)
+
+    talk = [("assistant" if k % 2 else "user", f"t{k}") for k in range(310)]
+    df = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(talk)], "conv_id long, turn long, role string, text string")
+    got = chat.format_conversations(df, Numbered()).orderBy("seq").collect()
+    before = ""
+    for k, r in enumerate(got):
+        now = Numbered().render(talk[: k + 1])
+        assert r.rewrites == (not now.startswith(before)) == (k == 299)
+        if not r.rewrites:
+            assert before + r.piece == now
+            assert (r.loss_start >= 0) == (k % 2 == 1) and (k % 2 == 0 or r.piece[r.loss_start : r.loss_end] == f"t{k}")
+        before = now
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(25, 16))
@@ -387,6 +413,33 @@ def test_embeddings(spark):
     assert got == {i: (int(link[i].sum()), c[i], c[i] == i) for i in range(len(x))} | {i: (0, i, True) for i, _ in odd if i} | {None: (0, None, True)}
 
 
+def test_recall_with_a_small_sample(spark):
+    """Pairs of near-duplicates, few of which a sample holds whole: the visited cells come from queries against all vectors."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(2000, 16))
+    x = np.concatenate([base, base + rng.normal(size=base.shape) * 0.2])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in multiindex.embedding_near_duplicates(df, codewords=8, sample=200, queries=300, block=500).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = u @ u.T >= 0.9
+    np.fill_diagonal(link, False)
+    found, want = np.array([got[i] for i in range(len(x))]), link.sum(1)
+    assert (found <= want).all() and found.sum() >= 0.98 * want.sum() and want.sum() > 3000
+
+
+def test_multi_sequence_order():
+    rng = np.random.default_rng(8)
+    index = multiindex.MultiIndex(rng.normal(size=(300, 10)), 7)
+    x = rng.normal(size=(40, 10))
+    first, second = index.distances(x)
+    every = (first[:, :, None] + second[:, None, :]).reshape(len(x), -1)
+    for visits in (1, 5, 20, 49):
+        index.visits = visits
+        seen = index.visited(x)
+        assert np.allclose(np.take_along_axis(every, seen, 1), np.sort(every, axis=1)[:, :visits])
+        assert (index.ranks(x, seen[:, -1]) == visits).all() and (seen[:, 0] == index.cells(x)).all()
+
+
 def test_pipeline(spark):
     import os
 
