@@ -155,7 +155,7 @@ CATALOGUE = [
     Rule("RM-LOG-0002", "log_integrity", "high", either(eq("issue", "nul_hole"), has("issue", "deletion"))),
     Rule("RM-LOG-0004", "log_integrity", "high", eq("issue", "missing")),
     Rule("RM-LOG-0007", "process", "medium", holds("environ_flags", "HISTFILE_NULL", "HISTFILE=/dev/null", "HISTFILE=null")),
-    Rule("RM-ML-0001", "anomark", "high", None),
+    Rule("RM-ML-0001", "command_score", "high", None),
     Rule("RM-NET-0001", "hidden_socket", "critical", num("local_port", lambda c: c >= 0)),
     Rule("RM-NET-0002", "socket", "critical", both(eq("state", "LISTEN"), no(known("owning_pid")), yes("owner_unresolved"))),
     Rule("RM-NET-0003", "socket", "high", both(eq("state", "LISTEN"), num("local_port", lambda c: c > 0))),

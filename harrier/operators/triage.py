@@ -34,8 +34,9 @@ def latest_of_kind(rows: DataFrame, scans: DataFrame, host: str, kind: str, ts:
     return rows.join(newest, [host, "scan_id"], "left_semi")
 
 
-def nth_newest(rows: DataFrame, host: str, ts: str, n: int) -> DataFrame:
-    return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(host).orderBy(F.col(ts).desc()))).where(F.col("_rn") == n).drop("_rn")
+def nth_newest(rows: DataFrame, host: str, ts: str, n: int, *tie: str) -> DataFrame:
+    """The n-th newest row of each host; rows of one time are ordered by the columns ``tie``."""
+    return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(host).orderBy(F.col(ts).desc(), *tie))).where(F.col("_rn") == n).drop("_rn")
 
 
 def inherit_status(incoming: DataFrame, known: DataFrame, keys: list[str], muted: Column | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from harrier.functions import predicates as P
 from harrier.functions import scalars as S
 from harrier.operators import correlate, fleet, hunt, markov, triage
+from harrier.storage import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -132,10 +133,9 @@ def stats_values(t):
     return hunt.stats(t("events"), "values", "event_type", ("user_id",)).select("user_id", F.array_join("stat", ",").alias("kinds"))
 
 
-@query("SELECT l_orderkey, array_to_string(list_sort(list(l_linenumber)), ',') AS numbers FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1")
+@query("SELECT l_orderkey, array_to_string(list_sort(list(l_linenumber)), ',') AS numbers FROM lineitem GROUP BY 1")
 def stats_list(t):
-    df = t("lineitem").where(F.col("l_orderkey") % 10 == 0)
-    return hunt.stats(df, "list", "l_linenumber", ("l_orderkey",)).select("l_orderkey", F.array_join(F.col("stat").cast("array<string>"), ",").alias("numbers"))
+    return hunt.stats(t("lineitem"), "list", "l_linenumber", ("l_orderkey",)).select("l_orderkey", F.array_join(F.col("stat").cast("array<string>"), ",").alias("numbers"))
 
 
 def _stat(fn: str):
@@ -167,9 +167,9 @@ def fields_deferred(t):
     return hunt.head(t("events"), 7, "ts", "event_id").select("event_type")
 
 
-@query("SELECT event_type AS kind, event_id, ts, user_id, value, props FROM events WHERE event_id < 500")
+@query("SELECT event_type AS kind, event_id, ts, user_id, value, props FROM events")
 def rename_field(t):
-    return hunt.rename(t("events").where("event_id < 500"), "event_type", "kind")
+    return hunt.rename(t("events"), "event_type", "kind")
 
 
 @query("SELECT event_id, CASE WHEN value > 100 THEN 'high' ELSE 'low' END AS level FROM events")
@@ -435,16 +435,17 @@ def module_full_outer(t):
 
 
 def _lines(t):
-    return t("conversations").select("conv_id", "turn", F.substring("text", 1, 200).alias("line"))
+    return t("conversations").select("conv_id", "turn", F.col("text").alias("line"))
 
 
 _GRAMS = "SELECT conv_id, turn, substr(x, i, 2) AS ctx, substr(x, i + 2, 1) AS nxt FROM (SELECT conv_id, turn, x, unnest(generate_series(1, length(x) - 2)) AS i FROM (SELECT conv_id, turn, {} AS x FROM conversations) WHERE length(x) > 2)"
-_TRAIN = _GRAMS.format("'~~' || substr(text, 1, 200) || '~~'")
+_TRAIN = _GRAMS.format("'~~' || text || '~~'")
 _MODEL = f"m AS (SELECT ctx, nxt, count(*) AS n FROM ({_TRAIN}) GROUP BY 1, 2), q AS (SELECT *, n / sum(n) OVER (PARTITION BY ctx) AS p FROM m)"
 
 
 def _model(t):
-    return markov.train(markov.char_grams(_lines(t), "line", 2, True, True))
+    model = markov.train(markov.char_grams(_lines(t), "line", 2, True, True))
+    return Scratch(model.sparkSession, "markov").save(model, "model")
 
 
 @query(f"WITH {_MODEL} SELECT ctx, nxt, n, round(p, 9) AS p FROM q")
@@ -457,13 +458,13 @@ def markov_prior(t):
     return markov.prior(_model(t)).select(F.round("prior", 12).alias("prior"))
 
 
-_SCORES = f"""WITH {_MODEL}, r AS (SELECT 0.01 * min(p) AS prior FROM q), g AS ({_GRAMS.format("'~~' || substr(text, 1, 200)")}),
+_SCORES = f"""WITH {_MODEL}, r AS (SELECT 0.01 * min(p) AS prior FROM q), g AS ({_GRAMS.format("'~~' || text")}),
 s AS (SELECT conv_id, turn, avg(ln(coalesce(p, prior))) AS score, count(*) AS n_grams FROM g LEFT JOIN q USING (ctx, nxt), r GROUP BY 1, 2)"""
 
 
-def _scores(t):
+def _scores(t, model=None):
     lines = _lines(t)
-    return markov.score(lines, markov.char_grams(lines, "line", 2, True, False, "conv_id", "turn"), _model(t), "conv_id", "turn")
+    return markov.score(lines, markov.char_grams(lines, "line", 2, True, False, "conv_id", "turn"), model or _model(t), "conv_id", "turn")
 
 
 @query(_SCORES + " SELECT conv_id, turn, round(score, 9) AS score, n_grams FROM s")
@@ -473,7 +474,8 @@ def markov_scores(t):
 
 @query(_SCORES + ", z AS (SELECT conv_id, score < ln(prior) * 0.55 AS suspect FROM s, r) SELECT conv_id, count(*) AS scored, count(*) FILTER (suspect) AS suspects, round(avg(CAST(suspect AS INT)), 9) AS ratio FROM z GROUP BY 1")
 def suspect_ratio_by_host(t):
-    return markov.host_ratios(markov.suspects(_scores(t), _model(t), 55), "conv_id").withColumn("ratio", F.round("ratio", 9))
+    model = _model(t)
+    return markov.host_ratios(markov.suspects(_scores(t, model), model, 55), "conv_id").withColumn("ratio", F.round("ratio", 9))
 
 
 @query(_SCORES + " SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY round(score, 9), turn) AS k FROM s) WHERE k <= 5")
@@ -614,9 +616,9 @@ def scored_grouping(t):
     return markov.grouped(rows, "command", "machine").select("command", F.round("score", 6).alias("score"), "seen")
 
 
-@query("""WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS k FROM events) SELECT user_id, event_id FROM r WHERE k = 2""")
+@query("""WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS k FROM events) SELECT user_id, event_id FROM r WHERE k = 2""")
 def nth_newest(t):
-    return triage.nth_newest(t("events"), "user_id", "ts", 2).select("user_id", "event_id")
+    return triage.nth_newest(t("events"), "user_id", "ts", 2, "event_id").select("user_id", "event_id")
 
 
 

@@ -14,8 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """What ``spark.checkpoint.dir`` names; a temporary folder only where it is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", "") or os.path.join(tempfile.gettempdir(), "harrier-shared")
+    """What ``spark.checkpoint.dir`` names. Where it is unset, a temporary folder in local mode; on a cluster that is an error, as executors share no such folder."""
+    if folder := spark.conf.get("spark.checkpoint.dir", ""):
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "harrier-shared")
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -23,9 +27,22 @@ def _file_system(spark: SparkSession, path: str):
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
 
 
-def make_folder(spark: SparkSession, path: str) -> None:
+def make_folder(spark: SparkSession, path: str) -> str:
+    """Make the folder; its path with the scheme of the file system that Spark resolves it against."""
     fs, p = _file_system(spark, path)
     fs.mkdirs(p)
+    full = fs.makeQualified(p).toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; to be called once nothing reads its results any more."""
+    fs, folder = _file_system(spark, shared_dir(spark))
+    if fs.exists(folder):
+        for entry in fs.listStatus(folder):
+            name = entry.getPath().getName()
+            if name.startswith("harrier-") and spark.sparkContext.applicationId in name:
+                fs.delete(entry.getPath(), True)
 
 
 class Scratch:
@@ -33,7 +50,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self._paths, self._n = spark, {}, 0
-        self.root = f"{shared_dir(spark)}/harrier-{name}-{uuid.uuid4().hex}"
+        self.root = f"{shared_dir(spark)}/harrier-{name}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         self._n += 1
