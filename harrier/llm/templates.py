@@ -56,10 +56,10 @@ def drop_recurring_lines(docs: DataFrame, least_docs: int = 10, depth: int = 3,
     small = lambda df: bounded_broadcast(df, df.count(), BROADCAST_ROWS)
     leaves = scratch.save(several(_lines(texts, depth), "leaf"), "leaves")
     lines = _lines(texts, depth).join(small(leaves), "leaf", "left_semi")
-    place = F.transform("tokens", lambda x, i: F.when(x != VARIABLE, F.xxhash64("leaf", i, x)))
-    # parsed once more for each use, as the hashes of all tokens take more disk than the texts; a row's number only has to hold within one job
-    lines = lines.select(F.monotonically_increasing_id().alias("row"), "t1", "t2", "line", F.size("tokens").alias("n"), "leaf", F.filter(place, lambda x: x.isNotNull()).alias("places"))
-    tokens = lines.select("row", "t1", "t2", "line", "n", "leaf", F.explode("places").alias("place"))
+    # written, so that no expression over tokens is evaluated again for each token, and that rows keep their numbers
+    lines = scratch.save(lines.withColumn("row", F.monotonically_increasing_id()), "lines")
+    tokens = lines.select("row", "t1", "t2", "line", F.size("tokens").alias("n"), "leaf", F.posexplode("tokens").alias("k", "token")).where(F.col("token") != VARIABLE)
+    tokens = tokens.select("row", "t1", "t2", "line", "n", "leaf", F.xxhash64("leaf", "k", "token").alias("place"))
     constants = scratch.save(several(tokens, "place"), "constants")
     # places differ within a line, so the exclusive or of their hashes names their set
     known = tokens.join(small(constants), "place", "left_semi").groupBy("row", "t1", "t2", "line", "n", "leaf").agg(F.bit_xor("place").alias("fields"), F.count("*").alias("fixed"))
