@@ -24,10 +24,16 @@ def _keep(rows: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are no outliers of their language and source."""
-    rows = _numbered(docs)
-    verdicts = quality.quality_rules(rows.withColumn("doc_id", F.col("row")))
-    return _keep(rows, verdicts.where("kept").select(F.col("doc_id").alias("row")))
+    """Documents that pass the base rules and are no outliers of their language and source.
+
+    A verdict holds for a text of a language and source, so two hashes of these name the rows that go; doc_ids may be null or repeat.
+    """
+    told = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
+    key = F.struct(*(F.xxhash64(F.lit(k), told("text"), told("lang"), told("source")).alias(f"k{k}") for k in (1, 2)))
+    verdicts = quality.quality_rules(docs.select(key.alias("doc_id"), "text", "lang", "source"))
+    gone = Scratch(spark, "rejected").save(verdicts.where("NOT kept").select(F.col("doc_id").alias("key")).distinct())
+    rows = docs.select(*COLUMNS, key.alias("key"))
+    return rows.join(bounded_broadcast(gone, gone.count(), BROADCAST_IDS), "key", "left_anti").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
