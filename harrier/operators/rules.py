@@ -229,14 +229,56 @@ def evaluate_all(by_kind: dict[str, DataFrame], rules: Iterable[Rule] = CATALOGU
     return reduce(lambda a, b: a.unionByName(b), found).orderBy("check_id", "title")
 
 
+# What a rule of a kind needs where it names no collectors, and the collectors of a scan's extent
+KIND_COLLECTORS = {
+    "hidden_process": ("decloak.process",),
+    "process": ("process.inventory",),
+    "command_score": ("process.inventory",),
+    "hidden_socket": ("decloak.socket",),
+    "socket": ("net.sockets",),
+    "file_entropy": ("entropy",),
+    "elf_info": ("file.elf",),
+    "preload": ("persistence.preload",),
+    "account": ("persistence.accounts",),
+    "shadow_entry": ("cred.audit",),
+    "sudo_rule": ("persistence.services",),
+    "authorized_key": ("ssh.keys",),
+    "module": ("modules.lkm",),
+    "bpf_prog": ("ebpf",),
+    "file_meta": ("file.ioc", "fs.anomaly"),
+    "timestomp": ("file.ioc", "fs.anomaly"),
+    "ioc_hit": ("file.ioc",),
+    "integrity_mismatch": ("file.integrity",),
+    "dir_anomaly": ("dir.hidden",),
+    "log_integrity": ("log.integrity",),
+    "scheduled_task": ("persistence.scheduled",),
+    "service": ("persistence.services",),
+}
+PULSE = ("decloak.process", "process.inventory", "recon.inventory")
+STANDARD = (*PULSE, "persistence.preload", "persistence.accounts", "modules.lkm", "net.sockets", "persistence.services", "persistence.scheduled", "ssh.keys")
+DEEP = (*STANDARD, "file.integrity", "file.ioc", "entropy", "dir.hidden", "log.integrity", "modules.ebpf", "cred.audit", "session.inventory", "mounts.inventory", "container.inventory")
+BUNDLES = {"pulse": PULSE, "standard": STANDARD, "deep": DEEP, "incident": DEEP}
+
+
+def needs(rule: Rule) -> tuple[str, ...]:
+    """The collectors that feed a rule: its own, or those of its kind."""
+    return rule.collectors or KIND_COLLECTORS.get(rule.kind, ())
+
+
 def resolve(rules: Iterable[Rule], collectors: Iterable[str]) -> list[Rule]:
-    """The rules that the collectors can feed."""
+    """The observation rules that the collectors can feed; a rule that no collector feeds is not among them."""
     have = set(collectors)
-    return [r for r in rules if set(r.collectors) <= have]
+    return [r for r in rules if r.kind != "command_score" and needs(r) and set(needs(r)) <= have]
+
+
+def bundle(name: str) -> tuple[str, ...]:
+    """The collectors of a scan's extent; an unknown name is standard."""
+    return BUNDLES.get(name, STANDARD)
 
 
 def collectors_needed(rules: Iterable[Rule]) -> list[str]:
-    return sorted({c for r in rules for c in r.collectors})
+    """All collectors of the rules; those of the quickest scan where none is needed."""
+    return sorted({c for r in rules for c in needs(r)}) or sorted(PULSE)
 
 
-__all__ = ["CATALOGUE", "Rule", "collectors_needed", "contains", "derived", "evaluate", "evaluate_all", "resolve"]
+__all__ = ["CATALOGUE", "Rule", "bundle", "collectors_needed", "contains", "derived", "evaluate", "evaluate_all", "needs", "resolve"]

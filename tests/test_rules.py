@@ -70,3 +70,13 @@ def test_events_and_inventory(spark):
     assert e.where("message LIKE 'process %'").count() == 4
     assert O.as_file_rows(observed(spark, "file_meta")).select("permissions").first()[0] == "4777"
     assert O.as_process_rows(observed(spark, "process"), observed(spark, "hidden_process")).where("name = '(hidden)'").count() == 1
+
+
+def test_bundles():
+    ids = lambda name: {r.id for r in rules.resolve(rules.CATALOGUE, rules.bundle(name))}
+    assert ids("pulse") < ids("standard") < ids("deep") == ids("incident") and ids("unheard of") == ids("standard")
+    assert {r.kind for r in rules.CATALOGUE if r.id in ids("pulse")} == {"hidden_process", "process"}
+    assert not rules.resolve(rules.CATALOGUE, ())
+    own = rules.Rule("x", "process", "low", rules.yes("a"), collectors=("net.sockets",))
+    assert rules.resolve([own], ["net.sockets"]) == [own] and rules.resolve([own], ["process.inventory"]) == []
+    assert rules.collectors_needed([own]) == ["net.sockets"] and rules.collectors_needed([]) == sorted(rules.PULSE)
