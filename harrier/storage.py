@@ -67,3 +67,10 @@ class Scratch:
         """Delete a saved table that nothing will read again."""
         fs, p = _file_system(self.spark, self._paths.pop(id(df))[1])
         fs.delete(p, True)
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Delete all saved tables but these, once nothing will read the others again."""
+        kept = {id(t) for t in tables}
+        for df, _ in list(self._paths.values()):
+            if id(df) not in kept:
+                self.drop(df)
