@@ -340,7 +340,7 @@ def like(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = 12, depth: int = 8, least: int = 3, most: int = 512, sketch: int = 384) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: int = 12, depth: int = 8, least: int = 3, most: int = 512, sketch: int = 384, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
     Rows with the same set are one class, compared once. The first scan gives
@@ -358,9 +358,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     sets that are nearly similar. Null and empty texts
     have no shingles and link with nothing; rows that share a doc_id count as
     one document; a null doc_id links with nothing, has a null component_id and
-    is kept. Other columns of docs are ignored.
+    is kept. Other columns of docs are ignored. Tables that are not read again
+    are deleted from ``scratch``.
     """
-    scratch = Scratch(docs.sparkSession, "minhash")
+    scratch = scratch or Scratch(docs.sparkSession, "minhash")
     share = percent / 100
     k = trees * depth
     agree = lambda k: int(k * share - 4.2 * (k * share * (1 - share)) ** 0.5)
@@ -373,6 +374,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
     brief = reps.withColumn("sketch", F.substring("sketch", 1, k))
     pairs = scratch.save(first_scan(brief, trees, depth, least, most, agree(k), share), "pairs")
     links = scratch.save(confirm(star_cells(pairs, 2 * most, scratch), None, docs, width, percent, scratch), "links")
+    scratch.keep_only(signed, classes, reps, links)
     final = scratch.save(connected_components(links, scratch), "components")
     placed = reps.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
     cells = between_scan(placed, trees, depth, least, 4 * most, agree(sketch), share, scratch)
@@ -382,6 +384,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, trees: i
 
     rep = classes.join(final, classes.rep == final.node, "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("root"))
     rep = scratch.save(rep, "roots")
+    scratch.keep_only(signed, rep)
     out = signed.select("doc_id", "n", "h1", "h2").join(rep, ["h1", "h2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

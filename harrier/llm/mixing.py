@@ -77,6 +77,7 @@ def mix_sources(docs: DataFrame, size: Column | None = None, seed: str = "mix",
     inner = F.coalesce(F.sum("sum").over(up_to(Window.partitionBy(own + "g", "run").orderBy(own + "b"))), F.lit(0))
     offsets = b.withColumn("o", inner).join(runs, [own + "g", "run"]).select(F.col(own + "g").alias(own + "og"), F.col(own + "b").alias(own + "ob"), (F.col("o") + F.col("r")).alias(own + "o"))
     offsets = scratch.save(offsets, "offsets")
+    scratch.keep_only(base, targets, offsets)
 
     order = Window.partitionBy(own + "g", own + "b").orderBy(own + "key", "doc_id", own + "t", "size")
     placed = keyed.withColumn(own + "w", F.coalesce(F.sum("size").over(up_to(order)), F.lit(0)))

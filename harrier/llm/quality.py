@@ -161,7 +161,7 @@ def _best_half(rows: DataFrame, scratch: Scratch, share: float, draws: int) -> D
     return _half(_distance(rows, best, "s"), scratch, share)
 
 
-def quality_rules(docs: DataFrame, quantile: float = 0.999, share: float = 0.6, least_rows: int = 100, draws: int = 2) -> DataFrame:
+def quality_rules(docs: DataFrame, quantile: float = 0.999, share: float = 0.6, least_rows: int = 100, draws: int = 2, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_words, the base statistics, base_failed, d2 and kept for every row of docs.
 
     The estimates are of the rows that pass the base rules. A language and
@@ -183,11 +183,12 @@ def quality_rules(docs: DataFrame, quantile: float = 0.999, share: float = 0.6,
 
     Null languages and sources are values of their own; null texts fail the
     base rules (d2 null). Rows that repeat count as often. Other columns are
-    ignored.
+    ignored. Tables that are not read again are deleted from ``scratch``.
     """
-    scratch = Scratch(docs.sparkSession, "quality")
+    scratch = scratch or Scratch(docs.sparkSession, "quality")
     label = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
-    stats = base_statistics(docs, "doc_id", label("lang").alias("_l"), label("source").alias("_s"), scratch=scratch).withColumns(transformed())
+    base = base_statistics(docs, "doc_id", label("lang").alias("_l"), label("source").alias("_s"), scratch=scratch)
+    stats = base.withColumns(transformed())
     passed = stats.where("NOT base_failed")
     n = passed.groupBy("_l", "_s").agg(F.count("*").alias("n"))
     by_language = n.groupBy("_l").agg(F.sum("n").alias("nl"))
@@ -201,8 +202,9 @@ def quality_rules(docs: DataFrame, quantile: float = 0.999, share: float = 0.6,
 
     p = len(FLOORS)
     factor = share / chi_square(chi_square_quantile(share, p), p + 2)
-    final = scratch.save(_estimate(_best_half(rows, scratch, share, draws), factor), "estimate").drop("s", "log_det")
-    judged = _distance(stats.join(groups, ["_l", "_s"], "left"), final)
+    final = scratch.save(_estimate(_best_half(rows, scratch, share, draws), factor), "estimate")
+    scratch.keep_only(base, groups, final)
+    judged = _distance(stats.join(groups, ["_l", "_s"], "left"), final.drop("s", "log_det"))
     d2 = F.when(~F.col("base_failed"), F.col("d2"))
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     kept = ~F.col("base_failed") & (F.coalesce(d2, F.lit(0.0)) <= chi_square_quantile(quantile, p))

@@ -68,6 +68,7 @@ def drop_recurring_lines(docs: DataFrame, least_docs: int = 10, depth: int = 3,
     recurring = scratch.save(several(shaped, "template"), "templates")
     found = shaped.join(small(recurring), "template", "left_semi").groupBy("t1", "t2").agg(F.collect_set("line").alias("_dropped"))
     found = scratch.save(found.withColumnsRenamed({"t1": "_t1", "t2": "_t2"}), "dropped")
+    scratch.keep_only(found)
 
     own = F.col("text").cast("string")
     each = docs.drop("n_lines", "n_removed").withColumns({"_k1": F.xxhash64(own), "_k2": F.xxhash64(F.lit(1), own)})
