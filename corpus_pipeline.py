@@ -17,12 +17,6 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return Scratch(docs.sparkSession, "numbered").save(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
 
 
-def _keep(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """The numbered documents whose row is kept."""
-    kept = Scratch(rows.sparkSession, "kept").save(kept.select("row"))
-    return rows.join(bounded_broadcast(kept, kept.count(), BROADCAST_IDS), "row", "left_semi").select(*COLUMNS)
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outliers of their language and source.
 
@@ -30,8 +24,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     told = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
     key = F.struct(*(F.xxhash64(F.lit(k), told("text"), told("lang"), told("source")).alias(f"k{k}") for k in (1, 2)))
-    verdicts = quality.quality_rules(docs.select(key.alias("doc_id"), "text", "lang", "source"))
-    gone = Scratch(spark, "rejected").save(verdicts.where("NOT kept").select(F.col("doc_id").alias("key")).distinct())
+    scratch = Scratch(spark, "quality")
+    verdicts = quality.quality_rules(docs.select(key.alias("doc_id"), "text", "lang", "source"), scratch=scratch)
+    gone = scratch.save(verdicts.where("NOT kept").select(F.col("doc_id").alias("key")).distinct(), "rejected")
+    scratch.keep_only(gone)
     rows = docs.select(*COLUMNS, key.alias("key"))
     return rows.join(bounded_broadcast(gone, gone.count(), BROADCAST_IDS), "key", "left_anti").select(*COLUMNS)
 
@@ -46,9 +42,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates: that with the smallest doc_id; of several, the one with the least hash. Rows without a doc_id stay."""
     rows = _numbered(docs)
     named = rows.where("doc_id IS NOT NULL")
-    found = minhash.near_duplicates(named.withColumn("doc_id", F.col("row"))).select(F.col("doc_id").alias("row"), "component_id")
+    scratch = Scratch(spark, "minhash")
+    found = minhash.near_duplicates(named.withColumn("doc_id", F.col("row")), scratch=scratch).select(F.col("doc_id").alias("row"), "component_id")
     first = found.join(named.select("row", "doc_id", F.xxhash64("text").alias("h")), "row").groupBy("component_id").agg(F.min(F.struct("doc_id", "h", "row")).alias("first"))
-    return _keep(rows, first.select("first.row").union(rows.where("doc_id IS NULL").select("row")))
+    stay = scratch.save(first.select("first.row").union(rows.where("doc_id IS NULL").select("row")), "kept")
+    scratch.keep_only(stay)
+    return rows.join(bounded_broadcast(stay, stay.count(), BROADCAST_IDS), "row", "left_semi").select(*COLUMNS)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
