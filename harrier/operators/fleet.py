@@ -69,29 +69,45 @@ def mid_frequency(profile: DataFrame, host: str, sig: str, most: int = 8000) ->
 def dbscan(weights: DataFrame, host: str, sig: str, eps: float = 0.35, least: int = 2) -> DataFrame:
     """(host, cluster): DBSCAN of sparse vectors by Euclidean distance; cluster is the smallest core host, null for noise.
 
-    Distances come from the dot products of hosts that share a signature. For
-    unit vectors hosts that share none are sqrt(2) apart, farther than any eps
-    below that; hosts of zero length are one place. A neighbourhood includes
-    its own host and its rim.
+    weights: one row per host and signature, with w. Hosts with the same vector
+    are one place, compared once and counted as many; those of zero length are
+    one place too. Signatures are ordered by rarity. What a host holds before
+    the first one that it shares with another host adds to their distance, so
+    only the rarest signatures, up to where their squares exceed eps squared,
+    are joined, and hosts that meet there are compared on all. Hosts that
+    share nothing are taken to be farther apart than eps (unit vectors are, for
+    any eps below sqrt(2)). A neighbourhood includes its own host and its rim.
     """
     scratch = Scratch(weights.sparkSession, "dbscan")
-    v = scratch.save(weights.select(F.col(host).alias("h"), F.col(sig).alias("s"), "w"))
-    norm = scratch.save(v.groupBy("h").agg(F.sum(F.col("w") * F.col("w")).alias("q")))
+    v = scratch.save(weights.select(F.col(host).alias("h"), F.col(sig).alias("s"), F.col("w").cast("double").alias("w")))
+    mark = lambda k: F.when(F.col("w") != 0, F.xxhash64(F.lit(k), "s", "w"))
+    total = F.coalesce(F.sum(mark(1).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+    hosts = scratch.save(v.groupBy("h").agg(total.alias("k1"), F.coalesce(F.bit_xor(mark(2)), F.lit(0)).alias("k2")))
+    places = scratch.save(hosts.groupBy("k1", "k2").agg(F.min("h").alias("rep"), F.count("*").alias("copies")))
+    v = scratch.save(v.where("w <> 0").join(places.select(F.col("rep").alias("h")), "h", "left_semi"))
+    norm = v.groupBy("h").agg(F.sum(F.col("w") * F.col("w")).alias("q"))
+
+    by_rarity = Window.partitionBy("h").orderBy("df", "s").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.col("w") * F.col("w")).over(by_rarity), F.lit(0.0))
+    rare = v.join(v.groupBy("s").agg(F.count("*").alias("df")), "s").withColumn("before", before)
+    rare = scratch.save(rare.where(F.col("before") <= eps * eps + 1e-9).select("h", "s"))
+    met = rare.withColumnRenamed("h", "a").join(rare.withColumnRenamed("h", "b"), "s").where("a < b").select("a", "b").distinct()
     a, b = v.withColumnsRenamed({"h": "a", "w": "wa"}), v.withColumnsRenamed({"h": "b", "w": "wb"})
-    dots = a.join(b, "s").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
+    dots = met.join(a, "a").join(b, ["b", "s"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
     qa, qb = norm.withColumnsRenamed({"h": "a", "q": "qa"}), norm.withColumnsRenamed({"h": "b", "q": "qb"})
     close = dots.join(qa, "a").join(qb, "b").where(F.col("qa") + F.col("qb") - 2 * F.col("dot") <= eps * eps + 1e-12).select("a", "b")
-    empty = norm.where("q = 0")
-    first = empty.agg(F.min("h").alias("a"))
-    close = scratch.save(close.union(empty.select(F.col("h").alias("b")).crossJoin(F.broadcast(first)).where("a < b").select("a", "b")))
+    close = scratch.save(close)
+
     both = close.union(close.select("b", "a"))
-    size = norm.join(both.groupBy(F.col("a").alias("h")).count(), "h", "left").select("h", (F.coalesce("count", F.lit(0)) + 1).alias("n"))
-    core = scratch.save(size.where(F.col("n") >= least).select("h"))
+    near = both.join(places.select(F.col("rep").alias("b"), "copies"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("near"))
+    core = places.join(near, "rep", "left").where(F.col("copies") + F.coalesce("near", F.lit(0)) >= least)
+    core = scratch.save(core.select(F.col("rep").alias("h")))
     is_core = lambda df, c: df.join(core.withColumnRenamed("h", c), c, "left_semi")
     parts = connected_components(is_core(is_core(close, "a"), "b"), scratch)
     label = core.join(parts.withColumnRenamed("node", "h"), "h", "left").select("h", F.coalesce("component", "h").alias("c"))
     rim = both.join(label.withColumnsRenamed({"h": "b"}), "b").groupBy(F.col("a").alias("h")).agg(F.min("c").alias("r"))
-    out = norm.join(label, "h", "left").join(rim, "h", "left")
+    found = places.withColumnRenamed("rep", "h").join(label, "h", "left").join(rim, "h", "left")
+    out = hosts.join(found.drop("h"), ["k1", "k2"])
     return out.select(F.col("h").alias(host), F.coalesce("c", "r").alias("cluster"))
 
 

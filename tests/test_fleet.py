@@ -101,3 +101,15 @@ def test_sources(spark, tmp_path):
     assert [(r.machine_id, r.pid) for r in readers.read_csv(spark, str(tmp_path / "p.csv"), "process").orderBy("machine_id").collect()] == [("a", 1), ("b", None)]
     lines = spark.createDataFrame([("root:$6$abc:1",), ("u:!:1",), ("e::1",)], "line string")
     assert [(r.algorithm, r.locked, r.empty_password) for r in readers.shadow(lines).collect()] == [("sha512crypt", False, False), ("!", True, False), ("empty", False, True)]
+
+
+def test_dbscan_of_copies_and_zero_lengths(spark):
+    """Copies count as hosts of their own; the smallest of them names the cluster. Hosts of zero length are one place."""
+    data = [(f"c{i}", s, x) for i in range(3) for s, x in (("p", 0.6), ("q", 0.8))]
+    data += [("n", "p", 0.6), ("n", "q", 0.7), ("n", "r", 0.1), ("far", "q", 1.0), ("lone", "z", 1.0)]
+    data += [("z1", "p", 0.0), ("z2", "q", -0.0), ("z2", "r", 0.0)]
+    w = spark.createDataFrame(data, "h string, s string, w double")
+    want = {"c0": "c0", "c1": "c0", "c2": "c0", "n": "c0", "far": None, "lone": None, "z1": "z1", "z2": "z1"}
+    assert dict(rows(fleet.dbscan(w, "h", "s", 0.35))) == want
+    assert dict(rows(fleet.dbscan(w, "h", "s", 0.35, least=4))) == want | {"z1": None, "z2": None}
+    assert rows(fleet.dbscan(w.limit(0), "h", "s")) == []
