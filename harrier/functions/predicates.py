@@ -79,6 +79,14 @@ def tagged(ext: Column, tag: str, path: str = "$.tags") -> Column:
     return glob(F.array_join(tags, ","), tag) if set("*?") & set(tag) else sure(F.array_contains(tags, tag))
 
 
+def of_type(data_type: Column, ext: Column, pattern: str) -> Column:
+    """A data type that matches, or an event type in the JSON of ext; traces of crashes also go by the names of their frames."""
+    found = glob(data_type, pattern) | glob(F.get_json_object(ext, "$.event_type"), pattern)
+    if "tombstone_backtrace" not in pattern:
+        return found
+    return found | sure(data_type.contains("tombstone") & (data_type.contains("frame") | data_type.contains("backtrace")))
+
+
 def in_range(ts: Column, start=None, end=None) -> Column:
     """Both bounds inclusive, either may be missing."""
     return all_of(*([sure(ts >= F.lit(start))] if start is not None else []), *([sure(ts <= F.lit(end))] if end is not None else []))

@@ -145,13 +145,16 @@ def process_outliers(profile: DataFrame, eps: float = 0.35, least: int = 2) -> D
 
 def median_outliers(files: DataFrame, host: str, path: str, mtime: str, least_hosts: int = 3, hours: int = 24) -> DataFrame:
     """Rows whose time is more than so many whole hours from the path's upper median over at least three hosts. files: one row per host and path."""
-    seconds = F.unix_seconds(F.col(mtime).cast("timestamp"))
-    w = Window.partitionBy(path)
-    ranked = files.withColumn("_t", seconds).withColumn("_n", F.count("_t").over(w)).withColumn("_k", F.row_number().over(w.orderBy(F.col("_t").asc_nulls_last())))
-    medians = ranked.where("_k = floor(_n / 2) + 1").select(F.col(path).alias("_p"), F.col("_t").alias("_median"))
-    out = ranked.where(F.col("_n") >= least_hosts).join(medians, F.col(path) == F.col("_p"))
+    rows = files.withColumn("_t", F.unix_seconds(F.col(mtime).cast("timestamp")))
+    # counts of equal times first: a path that all hosts have sends a row for each time, not for each host, through its window
+    times = rows.where("_t IS NOT NULL").groupBy(F.col(path).alias("_p"), F.col("_t").alias("_median")).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy("_p")
+    ranked = times.withColumn("_n", F.sum("_c").over(w)).withColumn("_to", F.sum("_c").over(w.orderBy("_median")))
+    middle = F.floor(F.col("_n") / 2)
+    medians = ranked.where((F.col("_n") >= least_hosts) & (F.col("_to") > middle) & (F.col("_to") - F.col("_c") <= middle)).select("_p", "_median")
     apart = F.floor(F.abs(F.col("_t") - F.col("_median")) / 3600)
-    return out.withColumn("hours_apart", apart.cast("long")).where(F.col("hours_apart") > hours).select(*files.columns, "hours_apart")
+    out = rows.join(medians, F.col(path) == F.col("_p")).withColumn("hours_apart", apart.cast("long"))
+    return out.where(F.col("hours_apart") > hours).select(*files.columns, "hours_apart")
 
 
 def majority_outliers(files: DataFrame, host: str, path: str, value: str, least_hosts: int = 3, least_votes: int = 2) -> DataFrame:

@@ -8,7 +8,7 @@ from harrier.functions import predicates as P
 from harrier.functions import scalars as S
 from harrier.operators import correlate, rules, triage
 from harrier.operators.rules import Rule
-from harrier.sources import readers, sinks
+from harrier.sources import observations, readers, sinks
 from harrier.storage import Scratch
 
 from .registry import query
@@ -214,3 +214,29 @@ def passwd_lines(t):
 def confirmed_twice(t):
     pick = lambda cond: t("orders").where(cond).select(F.lit("h").alias("host"), F.col("o_custkey").alias("pid"), F.lit(0).alias("starttime")).distinct()
     return correlate.confirmed(pick("o_totalprice > 200000"), pick("o_totalprice < 50000")).select(F.col("pid").alias("c_custkey")).distinct()
+
+
+_TYPES = "SELECT event_id, event_type, CASE WHEN event_id % 11 = 0 THEN 'tombstone_frame' WHEN event_id % 5 = 0 THEN 'log' ELSE event_type END AS data_type FROM events"
+
+
+@query(f"""WITH e AS ({_TYPES}) SELECT event_id, data_type LIKE 'c%' OR event_type LIKE 'c%' AS c, data_type = 'click' OR event_type = 'click' AS click, data_type = 'tombstone_frame' AS crash FROM e""")
+def flt_data_type(t):
+    kind = F.when(F.col("event_id") % 11 == 0, "tombstone_frame").when(F.col("event_id") % 5 == 0, "log").otherwise(F.col("event_type"))
+    ext = F.to_json(F.struct("event_type"))
+    return t("events").select("event_id", P.of_type(kind, ext, "c*").alias("c"), P.of_type(kind, ext, "click").alias("click"), P.of_type(kind, ext, "tombstone_backtrace").alias("crash"))
+
+
+_PROCESSES = """SELECT c_nationkey AS machine_id, c_custkey AS pid, c_name AS name, c_nationkey AS uid, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '/bin/' || c_name END AS path,
+CASE WHEN c_custkey % 2 = 0 THEN ' ' || c_mktsegment ELSE '' END AS args, CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN '2020-01-01T00:00:00Z' WHEN c_custkey % 7 = 0 THEN 'yesterday' ELSE '2024-01-01T00:00:00Z' END AS stamp FROM customer"""
+
+
+@query(f"""WITH p AS ({_PROCESSES}) SELECT machine_id AS host_id, CASE WHEN stamp LIKE '2024%' THEN 1704067200 ELSE 1706745600 END AS at, CAST(uid AS VARCHAR) AS "user", (CASE path WHEN '' THEN name ELSE path END) || (CASE args WHEN '' THEN '' ELSE ' ' || trim(args) END) AS cmdline,
+'process pid=' || pid || ' comm=' || name || ' exe=' || (CASE path WHEN '' THEN chr(8212) ELSE path END) || (CASE args WHEN '' THEN '' ELSE ' args=' || trim(args) END) AS message FROM p""")
+def inventory_to_events(t):
+    key = F.col("c_custkey")
+    stamp = F.when(key % 4 == 0, None).when(key % 5 == 0, "2020-01-01T00:00:00Z").when(key % 7 == 0, "yesterday").otherwise("2024-01-01T00:00:00Z")
+    path = F.when(key % 3 == 0, "").otherwise(F.concat(F.lit("/bin/"), "c_name"))
+    args = F.when(key % 2 == 0, F.concat(F.lit(" "), "c_mktsegment")).otherwise("")
+    own = t("customer").select(F.col("c_nationkey").alias("machine_id"), key.alias("pid"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("uid"), path.alias("path"), args.alias("args"), stamp.alias("timestamp"))
+    found = observations.inventory_events(own, "process", F.timestamp_seconds(F.lit(1706745600)))
+    return found.select("host_id", F.unix_seconds("timestamp").alias("at"), "user", "cmdline", "message")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_BYTES = 256 * 1024
@@ -83,6 +83,36 @@ def as_events(obs: DataFrame, kind: str, host: str = "host_id") -> DataFrame:
     return obs.select(F.col(host).alias("host_id"), F.lit(kind).alias("kind"), F.when(level == "", "info").otherwise(level).alias("severity"), text("comm", "name").alias("process_name"), text("path", "exe").alias("path"), what.alias("message"))
 
 
+def inventory_events(rows: DataFrame, kind: str, now: Column | None = None, source: str = "inventory", days: int = 90) -> DataFrame:
+    """Events of inventory rows, for the hunting table; kind is process or file_meta.
+
+    A process's command line is its path, or its name without one, and its
+    arguments. Times that are missing, unreadable or older than the table's
+    retention become ``now``; files without a timestamp go by their mtime.
+    ``ext`` is the whole row as JSON.
+    """
+    if kind not in ("process", "file_meta"):
+        raise ValueError(f"inventories have processes and files, not {kind}")
+    now = F.current_timestamp() if now is None else now
+    have = set(rows.columns)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in have else F.lit("")
+    stamps = [F.col(c).try_cast("timestamp") for c in (("timestamp",) if kind == "process" else ("timestamp", "mtime")) if c in have]
+    stamp = F.coalesce(*stamps, F.lit(None).cast("timestamp"))
+    ts = F.when(stamp >= now - F.make_dt_interval(F.lit(days)), stamp).otherwise(now)
+    name, path, args = text("name"), text("path"), F.trim(text("args"))
+    tail = lambda lead: F.when(args == "", "").otherwise(F.concat(F.lit(lead), args))
+    if kind == "process":
+        message = F.concat(F.lit("process pid="), text("pid"), F.lit(" comm="), name, F.lit(" exe="), F.when(path == "", "\u2014").otherwise(path), tail(" args="))
+        cmdline = F.concat(F.when(path == "", name).otherwise(path), tail(" "))
+    else:
+        message, cmdline, name, args = F.concat(F.lit("file_meta "), path), F.lit(""), F.lit(""), F.lit("")
+    number = F.coalesce(F.col("pid").cast("long"), F.lit(0)) if kind == "process" else F.lit(0).cast("long")
+    return rows.select(
+        F.col("machine_id").alias("host_id"), ts.alias("timestamp"), message.alias("message"), F.lit(source).alias("source"), F.lit(kind).alias("kind"), F.lit(kind).alias("data_type"),
+        name.alias("process_name"), number.alias("process_id"), text("uid").alias("user"), path.alias("path"), args.alias("args"), cmdline.alias("cmdline"), F.lit("info").alias("severity"), F.to_json(F.struct("*")).alias("ext"),
+    )
+
+
 def as_process_rows(obs: DataFrame, hidden: DataFrame | None = None, host: str = "host_id") -> DataFrame:
     """Inventory rows of processes; hidden ones are named (hidden)."""
     rows = obs.select(F.col(host).alias("machine_id"), "pid", "ppid", F.col("comm").alias("name"), F.get("uids", F.lit(0)).alias("uid"), F.coalesce("exe", F.lit("")).alias("path"), F.array_join(F.slice("cmdline", 2, 1 << 20), " ").alias("args"))

@@ -80,3 +80,11 @@ def test_bundles():
     own = rules.Rule("x", "process", "low", rules.yes("a"), collectors=("net.sockets",))
     assert rules.resolve([own], ["net.sockets"]) == [own] and rules.resolve([own], ["process.inventory"]) == []
     assert rules.collectors_needed([own]) == ["net.sockets"] and rules.collectors_needed([]) == sorted(rules.PULSE)
+
+
+def test_inventory_files_as_events(spark):
+    now = F.timestamp_seconds(F.lit(1706745600))
+    files = spark.createDataFrame([("m", "/etc/a", 0, None, "2024-01-31T00:00:00Z"), ("m", "/etc/b", None, "2019-01-01T00:00:00Z", "2024-01-31T00:00:00Z"), ("m", None, 5, None, None)], "machine_id string, path string, uid int, timestamp string, mtime string")
+    got = O.inventory_events(files, "file_meta", now).select("host_id", F.unix_seconds("timestamp"), "message", "process_id", "user", "cmdline").collect()
+    assert sorted(map(tuple, got)) == [("m", 1706659200, "file_meta /etc/a", 0, "0", ""), ("m", 1706745600, "file_meta ", 0, "5", ""), ("m", 1706745600, "file_meta /etc/b", 0, "", "")]
+    assert O.inventory_events(files.limit(0), "file_meta").count() == 0
