@@ -92,6 +92,32 @@ links AS (SELECT a, b FROM o WHERE 100 * k >= 80 * (na + nb - k)), {_REACH}
 SELECT doc_id, len(s) AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept FROM s LEFT JOIN c ON doc_id = c.x
 """
 
+def _crc32(bytes_of: str) -> str:
+    """SQL for the CRC-32 of an ASCII text."""
+    bit = "lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    byte = f"lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), {bit})"
+    codes = f"list_transform(string_split({bytes_of}, ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), {byte}), 4294967295)"
+
+
+OP11 = f"""
+WITH d AS (SELECT doc_id, {_crc32("CAST(doc_id AS VARCHAR)")} AS h, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+g AS (SELECT *, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+p AS (SELECT *, 1 + (len(w) - a) // (3 + (h // 10) % 8) AS p FROM g),
+t AS (SELECT doc_id, CASE WHEN a IS NULL THEN w ELSE list_transform(range(len(w)), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w FROM p),
+k AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM t),
+e AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+s AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e),
+l AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM s GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM l GROUP BY ALL),
+m AS (SELECT doc_id, count(*) AS n_runs, string_agg(concat_ws(',', start, length, period) || chr(10), '' ORDER BY start, period) AS told FROM r GROUP BY 1),
+b AS (SELECT DISTINCT ON (doc_id) * FROM r ORDER BY doc_id, length / period DESC, start, period),
+c AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+o AS (SELECT k.doc_id, string_agg(word, ' ' ORDER BY k.i) AS kept FROM k LEFT JOIN c ON k.doc_id = c.doc_id AND k.i = c.i WHERE c.i IS NULL GROUP BY 1)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN m USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN o USING (doc_id)
+"""
+
 ORACLE = {
     "op1_suffix_dedup": OP1,
     "op2_chat_format": OP2,
@@ -101,4 +127,5 @@ ORACLE = {
     "op8_line_dedup": OP8,
     "op9_embedding_near_dedup": OP9,
     "op10_minhash_near_dedup": OP10,
+    "op11_periodic_runs": OP11,
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, fingerprints, minhash, mixing, multiindex, packing, quality, suffixes, templates, warc
+from . import chat, fingerprints, minhash, mixing, multiindex, packing, quality, runs, suffixes, templates, warc
 from .common import table
 from .oracles import ORACLE
 
@@ -58,6 +58,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(runs.periodic_runs(runs.with_planted_repeats(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_chat_format": op2_chat_format,
@@ -69,6 +73,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 
