@@ -11,6 +11,7 @@ it than its own calibration texts do are flagged as rejected.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import Scratch, bounded_broadcast
 
 ORDER = 4
 BITS = 16  # a character's share of an n-gram's 64 bits
@@ -29,6 +30,9 @@ SLICE = 1 << 20  # characters compared at a time
 STEPS = 64  # bins of the calibration histograms, to one nat
 SHARPNESS = [2.0**k for k in range(-2, 9)]  # candidates for the score's calibration
 UNKNOWN = "und"
+BROADCAST_LANGUAGES = 100_000
+HELD_BACK = 8  # one row in so many calibrates
+LENGTH_CLASSES = 40
 
 
 @lru_cache(maxsize=1 << 17)
@@ -199,7 +203,14 @@ def kneser_ney(counts: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(out.withColumn("floor", F.lit(-float(np.log(vocabulary)))), "models")
 
 
-def train(docs: DataFrame, scratch: Scratch, sample_chars: int = 8_000_000, most_grams: int = 4_000_000) -> dict[str, Model]:
+def sizes_by_language(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """lang, chars (of the rows to fit on), held (rows held back for the calibration)."""
+    back = F.col("h") % HELD_BACK == 0
+    sizes = _learning(docs).groupBy("lang").agg(F.sum(F.when(~back, F.length("text")).otherwise(0)).alias("chars"), F.count(F.when(back, 1)).alias("held"))
+    return scratch.save(sizes, "sizes")
+
+
+def train(docs: DataFrame, sizes: DataFrame, scratch: Scratch, sample_chars: int = 8_000_000, most_grams: int = 4_000_000) -> dict[str, Model]:
     """{language: model} from the rows that may be learnt from.
 
     Models are fitted on a sample by the hash of the row, of about
@@ -207,9 +218,8 @@ def train(docs: DataFrame, scratch: Scratch, sample_chars: int = 8_000_000, most
     ``most_grams`` n-grams of the highest order, a share for each language (about 24
     bytes each with their lower orders): where there are more, a language's rarest counts are left out.
     """
-    rows = _learning(docs)
-    sizes = F.broadcast(rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"))) if True else None
-    drawn = rows.where("h % 8 != 0").join(sizes, "lang").where(F.col("h") < (1 << 30) * F.lit(float(sample_chars)) / F.greatest("chars", F.lit(1)))
+    drawn = _learning(docs).where(F.col("h") % HELD_BACK != 0).join(bounded_broadcast(sizes, sizes.count(), BROADCAST_LANGUAGES), "lang")
+    drawn = drawn.where(F.col("h") < (1 << 30) * F.lit(float(sample_chars)) / F.greatest("chars", F.lit(1)))
     counts = scratch.save(count_grams(drawn), "counts")
     spread = counts.groupBy("lang", F.least("n", F.lit(1 << 16)).alias("n")).count().orderBy("lang", F.desc("n"))
     held = spread.collect()  # 65,536 rows a language at most
@@ -218,9 +228,9 @@ def train(docs: DataFrame, scratch: Scratch, sample_chars: int = 8_000_000, most
         sums[r.lang] = sums.get(r.lang, 0) + r["count"]
         if sums[r.lang] <= share:
             least[r.lang] = r.n
-    if any(sums[x] > share for x in sums):
+    if any(n > share for n in sums.values()):
         keep = counts.sparkSession.createDataFrame([(x, least.get(x, 1 << 62)) for x in sums], "lang string, least long")
-        counts = counts.join(F.broadcast(keep), "lang").where("n >= least").drop("least")
+        counts = counts.join(bounded_broadcast(keep, len(sums), BROADCAST_LANGUAGES), "lang").where("n >= least").drop("least")
     told = kneser_ney(counts, scratch).toArrow()
     langs, models = told.column("lang").to_numpy(zero_copy_only=False), {}
     order, contexts, key, log = (told.column(c).to_numpy(zero_copy_only=False) for c in ("ord", "contexts", "key", "log"))
@@ -264,32 +274,38 @@ def _length_class(n):
     return F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int")
 
 
-def calibrate(docs: DataFrame, models: dict[str, Model], quantile: float = 0.999, sample_rows: int = 200_000) -> tuple[dict, float]:
+def calibrate(docs: DataFrame, sizes: DataFrame, models: dict[str, Model], quantile: float = 0.995, sample_rows: int = 200_000) -> tuple[dict, float]:
     """({(language, length class): greatest cross-entropy of its own texts}, sharpness of the score) from rows held back in training.
 
-    Length classes are powers of two of the symbols. The limit is the quantile of
-    the own texts of that class, from a histogram, and a bin's width more; the sharpness is that
+    Length classes are powers of two of the symbols. A class's limit is the conformal
+    quantile of the entropies of the language's own texts in it, from a histogram; where it
+    has fewer texts than that needs (199 for 0.995), those of the shorter
+    classes, which vary more, are added; where these don't do either, there is no limit. The sharpness is that
     of SHARPNESS which makes the labels likeliest. About ``sample_rows`` of the rows held back are read, by their hash.
     """
-    rows = _learning(docs).where("h % 8 = 0")
-    n = rows.count()
-    rows = rows.where(F.col("h") < int((1 << 30) * min(1.0, sample_rows / max(1, n))))
+    n = sizes.agg(F.sum("held").alias("n")).first().n or 0
+    rows = _learning(docs).where(F.col("h") % HELD_BACK == 0).where(F.col("h") < int((1 << 30) * min(1.0, sample_rows / max(1, n))))
     langs = sorted(models)
-    own = cross_entropies(rows, models, "lang").where("h IS NOT NULL").withColumn("own", F.get("h", F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") - 1)).where("own IS NOT NULL")
-    binned = own.groupBy("lang", _length_class("n_symbols").alias("size"), F.floor(F.col("own") * STEPS).alias("bin")).count()
-    limits, totals, reached = {}, {}, {}
-    found = binned.orderBy("lang", "size", "bin").collect()  # bins are bounded: entropies lie under the floor's
-    for r in found:
-        totals[r.lang, r.size] = totals.get((r.lang, r.size), 0) + r["count"]
-    for r in found:
-        key = (r.lang, r.size)
-        if reached.get(key, 0) < quantile * totals[key]:
-            limits[key] = (r.bin + 2) / STEPS
-        reached[key] = reached.get(key, 0) + r["count"]
+    place = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") - 1
+    own = cross_entropies(rows, models, "lang").where("h IS NOT NULL").withColumn("own", F.when(place >= 0, F.get("h", place))).where("own IS NOT NULL")
     weight = [F.aggregate("h", F.lit(0.0), lambda a, x: a + F.exp(s * (F.col("own") - x))) for s in SHARPNESS]  # noqa: B023
-    loss = own.agg(*(F.avg(F.log(w)).alias(f"s{k}") for k, w in enumerate(weight))).first()
-    best = min(range(len(SHARPNESS)), key=lambda k: (loss[k] is None, loss[k] or 0.0, k))
-    return limits, SHARPNESS[best]
+    loss = [F.sum(F.log(w)).alias(f"s{k}") for k, w in enumerate(weight)]
+    # entropies lie under the uniform distribution's by and large, so bins are few
+    found = own.groupBy("lang", _length_class("n_symbols").alias("size"), F.floor(F.col("own") * STEPS).alias("bin")).agg(F.count("*").alias("n"), *loss).collect()
+    limits = {}
+    for lang in langs:
+        for size in range(LENGTH_CLASSES):
+            pool: list[tuple[int, int]] = []
+            for shorter in range(size, -1, -1):
+                pool += [(r.bin, r.n) for r in found if (r.lang, r.size) == (lang, shorter)]
+                rank = math.ceil((sum(k for _, k in pool) + 1) * quantile)
+                if rank <= sum(k for _, k in pool):
+                    pool.sort()
+                    reached = np.cumsum([k for _, k in pool])
+                    limits[lang, size] = (pool[int(np.searchsorted(reached, rank))][0] + 1) / STEPS
+                    break
+    total = [sum(r[f"s{k}"] for r in found) for k in range(len(SHARPNESS))]
+    return limits, SHARPNESS[int(np.argmin(total))]
 
 
 def identify(docs: DataFrame, scratch: Scratch | None = None, **options) -> DataFrame:
@@ -303,26 +319,25 @@ def identify(docs: DataFrame, scratch: Scratch | None = None, **options) -> Data
 
     score is a probability: the soft maximum over the languages of the negative cross-entropy,
     with the sharpness of the calibration. rejected says that the text is farther from
-    the language than the calibration's limit for texts of its length (of the next shorter
-    class that has one; not rejected where there is none). Ties go to the least name.
+    the language than the calibration's limit for texts of its length; where there is none, it isn't rejected. Ties go to the least name.
 
     The models are broadcast, bounded by ``most_grams``. Scoring has no shuffle; a task
     holds an Arrow batch, and 15 bytes a character of the text at hand.
     """
     scratch = scratch or Scratch(docs.sparkSession, "langid")
     calibration = {k: options.pop(k) for k in ("quantile", "sample_rows") if k in options}
-    models = train(docs, scratch, **options)
+    sizes = sizes_by_language(docs, scratch)
+    models = train(docs, sizes, scratch, **options)
     langs = sorted(models)
     doc = F.col("doc_id").cast("long")
     out = docs.select(doc.alias("doc_id"), F.coalesce(F.crc32(doc.cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), "text")
     if not models:
         return out.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"))
-    limits, sharpness = calibrate(docs, models, **calibration)
+    limits, sharpness = calibrate(docs, sizes, models, **calibration)
     scored = cross_entropies(out, models, "doc_id", "held_out").withColumn("best", F.array_min("h"))
     named = F.get(F.array(*map(F.lit, langs)), F.array_position("h", F.col("best")).cast("int") - 1)
     score = 1 / F.aggregate("h", F.lit(0.0), lambda a, x: a + F.exp(sharpness * (F.col("best") - x)))
-    bound = {lang: [(None if not any((lang, j) in limits for j in range(k + 1)) else limits[lang, max(j for j in range(k + 1) if (lang, j) in limits)]) for k in range(40)] for lang in langs}
-    table = F.create_map(*(x for lang in langs for x in (F.lit(lang), F.array(*(F.lit(b).cast("double") for b in bound[lang])))))
+    table = F.create_map(*(x for lang in langs for x in (F.lit(lang), F.array(*(F.lit(limits.get((lang, k))).cast("double") for k in range(LENGTH_CLASSES))))))
     scored = scored.withColumn("lang_pred", F.coalesce(named, F.lit(UNKNOWN)))
     limit = F.get(F.element_at(table, F.col("lang_pred")), _length_class("n_symbols"))
     rejected = F.col("h").isNull() | F.coalesce(F.col("best") > limit, F.lit(False))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, fingerprints, minhash, mixing, multiindex, packing, quality, runs, suffixes, templates, warc
+from . import chat, fingerprints, langid, minhash, mixing, multiindex, packing, quality, runs, suffixes, templates, warc
 from .common import table
 from .oracles import ORACLE
 
@@ -62,6 +62,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_digests(runs.periodic_runs(runs.with_planted_repeats(table(spark, sf_dir, "documents"))))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_chat_format": op2_chat_format,
@@ -74,6 +78,7 @@ QUERIES = {
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_language_id": op12_language_id,
     "pipeline": corpus_pipeline.run,
 }
 
