@@ -118,6 +118,51 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * leng
 FROM d LEFT JOIN m USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN o USING (doc_id)
 """
 
+def _repair_sql() -> str:
+    """One step back over a conversation: for each grammar state (0 start, 1 after s, 2 after u, 3 after a) the best (cost, labels, lines) from there on."""
+    least = lambda xs: f"list_sort([{', '.join(xs)}])[1]"
+    none = "{'c': 1000000, 'l': '', 'r': ''}"
+    add = lambda x, cost, label, line="''": f"{{'c': {x}.c + {cost}, 'l': '{label}' || {x}.l, 'r': {line} || {x}.r}}"
+    arcs = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+    role = {"u": "user", "a": "assistant"}
+    insert = lambda x, i: add(x, 3, "I", f"'{role[i]}:' || chr(10)")
+
+    def inserts(read):  # up to two in a row
+        once = [least([read[q], *(insert(read[to], i) for i, to in arcs[q].items() if i in role)]) for q in range(4)]
+        return [least([read[q], *(insert(once[to], i) for i, to in arcs[q].items() if i in role)]) for q in range(4)]
+
+    def consume(q):
+        stays = "CASE WHEN fault = 3 THEN 3 ELSE 0 END"
+        out = [add(f"n.q{q}", 4, "D")]
+        for i, to in arcs[q].items():
+            out.append(f"CASE WHEN fault NOT IN (1, 2) AND substr(role, 1, 1) = '{i}' THEN {add(f'n.q{to}', stays, 'K', 'role || chr(58) || text || chr(10)')} ELSE {none} END")
+            if i in role:
+                line = f"'{role[i]}:' || text || chr(10)"
+                out.append(f"CASE WHEN fault NOT IN (1, 2) THEN {add(f'n.q{to}', f'3 + {stays}', 'R', line)} ELSE {none} END")
+        return least(out)
+
+    empty = "{'c': 0, 'l': '', 'r': ''}"
+    end = inserts([empty, none, none, empty])
+    ends = ", ".join(f"{x} AS q{q}" for q, x in enumerate(end))
+    reads = ", ".join(f"{consume(q)} AS r{q}" for q in range(4))
+    steps = ", ".join(f"{x} AS q{q}" for q, x in enumerate(inserts([f"r{q}" for q in range(4)])))
+    return f"""
+WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS k FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy FROM o WHERE k <> 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again FROM d),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 1 WHEN again THEN 2 WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 3 ELSE 0 END AS fault, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || substr(role, 1, 1) AS pair FROM p),
+g AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1),
+b AS (SELECT conv_id, n + 1 AS i, {ends} FROM g
+ UNION ALL SELECT conv_id, i, {steps} FROM (SELECT n.conv_id, f.i, {reads} FROM b n JOIN f ON f.conv_id IS NOT DISTINCT FROM n.conv_id AND f.i = n.i - 1)),
+z AS (SELECT conv_id, q0 FROM b WHERE i = 1)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(q0.c, 0) AS BIGINT) AS cost, coalesce(q0.l, '') AS audit,
+sha256(coalesce(left(q0.r, -1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN g ON a.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN z ON a.conv_id IS NOT DISTINCT FROM z.conv_id
+"""
+
+
+OP13 = _repair_sql()
+
 ORACLE = {
     "op1_suffix_dedup": OP1,
     "op2_chat_format": OP2,
@@ -128,4 +173,5 @@ ORACLE = {
     "op9_embedding_near_dedup": OP9,
     "op10_minhash_near_dedup": OP10,
     "op11_periodic_runs": OP11,
+    "op13_conversation_repair": OP13,
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, fingerprints, langid, minhash, mixing, multiindex, packing, quality, runs, suffixes, templates, warc
+from . import chat, fingerprints, langid, minhash, mixing, multiindex, packing, quality, repair, runs, suffixes, templates, warc
 from .common import table
 from .oracles import ORACLE
 
@@ -66,6 +66,10 @@ def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(table(spark, sf_dir, "conversations"))).drop("n_rows")
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_chat_format": op2_chat_format,
@@ -79,6 +83,7 @@ QUERIES = {
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_language_id": op12_language_id,
+    "op13_conversation_repair": op13_conversation_repair,
     "pipeline": corpus_pipeline.run,
 }
 
