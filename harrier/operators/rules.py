@@ -7,17 +7,37 @@ rule says so. Users add rules as more ``Rule`` objects.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from harrier.functions import scalars as S
 from harrier.functions.predicates import all_of, any_of, basename, contains, contains_any, ends_any, length, list_contains, matches, other, present, same, sure, under_any
 
-C = F.col
+from .catalogue import DETAILS
+
+_root: ContextVar[str] = ContextVar("root", default="")
+
+
+@contextmanager
+def fields_of(root: str):
+    """Within it, predicates read the fields of the struct column ``root``; outside, columns."""
+    token = _root.set(root)
+    try:
+        yield
+    finally:
+        _root.reset(token)
+
+
+def C(name: str) -> Column:
+    return F.col(f"{_root.get()}.{name}" if _root.get() else name)
 
 
 @dataclass(frozen=True)
@@ -26,9 +46,14 @@ class Rule:
     kind: str
     severity: str
     where: Callable[[], Column] | None  # None: produced by a correlator
-    title: str = ""
+    title: str = ""  # {{kind.field}} stands for the observation's field
     collectors: tuple[str, ...] = ()
     evidence: tuple[str, ...] = field(default=())
+    enabled: bool = True
+    version: int = 1
+    type: str = "custom"
+    confidence: str = "medium"
+    attack: tuple[str, ...] = ()
 
 
 def eq(name: str, *values) -> Callable[[], Column]:
@@ -90,12 +115,15 @@ def starts(name: str, *prefixes: str) -> Callable[[], Column]:
 
 # Lists that the predicates below share
 STAGING = ("/tmp", "/dev/shm", "/var/tmp")
-SHELL_TOOLS = "find nmap vim vi nano python python3 perl ruby lua awk less more env bash dash sh cp tar gdb strace tcpdump docker podman nsenter unshare".split()
-ROOT_TOOLS = "find nmap vim vi nano python python3 perl ruby lua awk less more man env bash dash cp tar zip gdb strace tcpdump docker podman nsenter unshare".split()
+SHELL_TOOLS = (
+    "find", "nmap", "vim", "vi", "nano", "python", "python3", "perl", "ruby", "lua", "awk", "less", "more", "env", "bash", "dash", "sh", "cp", "tar", "gdb", "strace", "tcpdump", "docker", "podman", "nsenter", "unshare",
+)
+ROOT_TOOLS = (
+    "find", "nmap", "vim", "vi", "nano", "python", "python3", "perl", "ruby", "lua", "awk", "less", "more", "man", "env", "bash", "dash", "cp", "tar", "zip", "gdb", "strace", "tcpdump", "docker", "podman", "nsenter", "unshare",
+)
 SETUID_PROGRAMS = (
-    "sudo su pkexec passwd chpasswd unix_chkpwd sudoedit newuidmap newgidmap mount umount fusermount fusermount3 polkit-agent-helper-1 "
-    "dbus-daemon-lau ssh-keysign snap-confine crontab chage chfn chsh gpasswd newgrp"
-).split()
+    "sudo", "su", "pkexec", "passwd", "chpasswd", "unix_chkpwd", "sudoedit", "newuidmap", "newgidmap", "mount", "umount", "fusermount", "fusermount3", "polkit-agent-helper-1", "dbus-daemon-lau", "ssh-keysign", "snap-confine", "crontab", "chage", "chfn", "chsh", "gpasswd", "newgrp",
+)
 INTERPRETERS = ("python", "java", "gjs", "node", "ruby", "perl", "php")
 NO_LOGIN = ("/usr/sbin/nologin", "/sbin/nologin", "/bin/false", "/usr/bin/false", "/bin/sync", "/sbin/sync", "/usr/sbin/sync")
 IMPLANT_DIRS = ("/data/.icscap", "/home/root/data/.icscap")
@@ -117,7 +145,7 @@ def _renamed_process() -> Column:
 ROOT_FROM_USER = both(eq("euid", 0), ne("ruid", 0))
 
 # The rule catalogue (id, kind, severity, predicate)
-CATALOGUE = [
+PREDICATES = [
     Rule("RM-CRED-0001", "shadow_entry", "high", eq("algorithm", "descrypt", "md5crypt", "sha1crypt")),
     Rule("RM-CRED-0002", "shadow_entry", "medium", None),
     Rule("RM-CRED-0003", "shadow_entry", "medium", both(eq("locked", False), eq("empty_password", False), ne("algorithm", "!"))),
@@ -142,7 +170,7 @@ CATALOGUE = [
     Rule("RM-FILE-0013", "elf_info", "high", both(known("interp"), no(under("interp", "/lib", "/usr/lib")))),
     Rule("RM-FILE-0014", "ioc_hit", "high", eq("ioc_kind", "string")),
     Rule("RM-FILE-0015", "file_meta", "critical", both(yes("setuid"), ends("path", *("/" + t for t in SHELL_TOOLS)))),
-    Rule("RM-ICS-0001", "file_meta", "critical", either(eq("path", *IMPLANT_FILES), ends("path", "/sp_run.py"), like("path", r"/tmp/(ml|rq5|mk|rr|sp_run)\.py$"), like("path", "(/home/runtime)?/tmp/ics-root-(run|result)-inband-"))),
+    Rule("RM-ICS-0001", "file_meta", "critical", either(eq("path", *IMPLANT_FILES), ends("path", "/sp_run.py"), like("path", r"/tmp/(ml|rq5|mk|rr|sp_run)\.py$"), like("path", "/home/runtime/tmp/ics-root-(run|result)-inband-"), like("path", "/tmp/ics-root-(run|result)-inband-"))),
     Rule("RM-ICS-0002", "file_meta", "critical", either(under("path", *IMPLANT_DIRS), has("path", "/.icscap/"))),
     Rule("RM-ICS-0003", "process", "critical", either(has("exe", "/.icscap/"), ends("exe", "/dsstatmond"), under("exe", *IMPLANT_DIRS), both(under("exe", "/tmp"), ends("exe", *IMPLANT_SCRIPTS)), holds("cmdline", *IMPLANT_COMMANDS), eq("comm", "dsstatmond"))),
     Rule("RM-ICS-0004", "file_meta", "high", both(under("path", "/home/runtime/tmp"), either(has("path", "ics-root-"), ends("path", ".pl"), like("path", "/[0-9a-f]{32}$")))),
@@ -196,30 +224,79 @@ CATALOGUE = [
 ]
 
 
-def derived(observations: DataFrame, kind: str) -> DataFrame:
-    """The observations of one kind with the fields that rules expect besides the collected ones."""
-    df = observations
+def described(rule: Rule) -> Rule:
+    d = DETAILS[rule.id]
+    return replace(rule, title=d.title, collectors=d.collectors, evidence=d.evidence, enabled=d.enabled, version=d.version, type=d.type, confidence=d.confidence, attack=d.attack)
+
+
+CATALOGUE = [described(r) for r in PREDICATES]
+
+
+def enabled(rules: Iterable[Rule] = CATALOGUE) -> list[Rule]:
+    return [r for r in rules if r.enabled]
+
+
+def derived_fields(kind: str) -> dict[str, Column]:
+    """Fields that rules expect besides the collected ones."""
     if kind == "process":
         caps = sum(1 << b for b in (16, 19, 21, 39))
-        df = df.withColumns({"uid": F.get("uids", F.lit(0)), "ruid": F.get("uids", F.lit(0)), "euid": F.get("uids", F.lit(1)), "suid": F.get("uids", F.lit(2)), "dangerous_caps": C("caps_eff").bitwiseAND(F.lit(caps)) != 0})
-    elif kind == "elf_info":
-        df = df.withColumn("packer_hints_joined", F.lower(F.array_join("packer_hints", ",")))
-    elif kind == "authorized_key":
-        df = df.withColumn("options_joined", F.array_join("options", ","))
-    elif kind == "timestomp":
-        df = df.withColumn("btime_after_mtime", sure(C("btime") > C("mtime")))
-    elif kind == "file_meta":
-        df = df.withColumn("world_writable", C("mode").bitwiseAND(0o002) != 0).withColumn("size", C("size").try_cast("long"))
-    return df
+        return {"uid": F.get(C("uids"), F.lit(0)), "ruid": F.get(C("uids"), F.lit(0)), "euid": F.get(C("uids"), F.lit(1)), "suid": F.get(C("uids"), F.lit(2)), "dangerous_caps": C("caps_eff").bitwiseAND(F.lit(caps)) != 0}
+    if kind == "elf_info":
+        return {"packer_hints_joined": F.lower(F.array_join(C("packer_hints"), ","))}
+    if kind == "authorized_key":
+        return {"options_joined": F.array_join(C("options"), ",")}
+    if kind == "timestomp":
+        return {"btime_after_mtime": sure(C("btime") > C("mtime"))}
+    if kind == "file_meta":
+        return {"world_writable": C("mode").bitwiseAND(0o002) != 0, "size": C("size").try_cast("long")}
+    return {}
+
+
+def derived(observations: DataFrame, kind: str) -> DataFrame:
+    """The observations of one kind with the fields that rules expect besides the collected ones."""
+    return observations.withColumns(derived_fields(kind)) if derived_fields(kind) else observations
+
+
+def _said(field: T.StructField) -> Column:
+    """A field as titles show it: null is the word, lists stand in brackets."""
+    c = C(field.name)
+    text = F.concat(F.lit("["), F.array_join(c, ", ", "null"), F.lit("]")) if isinstance(field.dataType, T.ArrayType) else c.cast("string")
+    return F.coalesce(text, F.lit("null"))
+
+
+def rendered(rule: Rule, fields: dict[str, T.StructField]) -> Column:
+    """The rule's title with its fields filled in; a field that observations don't have is null."""
+    parts = re.split(r"\{\{\s*([a-zA-Z0-9_.]+)\s*\}\}", rule.title or rule.id)
+    filled = [F.lit(x) if k % 2 == 0 else _said(fields[name]) if (name := x.split(".")[-1]) in fields else F.lit("null") for k, x in enumerate(parts)]
+    return F.concat(*filled)
+
+
+def evidence(rule: Rule, fields: dict[str, T.StructField]) -> Column:
+    """A JSON object of the rule's evidence fields, nulls included."""
+    named = [(C(n) if n in fields else F.lit(None).cast("string")).alias(n) for n in rule.evidence]
+    return F.to_json(F.struct(*named), {"ignoreNullFields": "false"}) if named else F.lit("{}")
+
+
+def _hits(rules: list[Rule], fields: dict[str, T.StructField]) -> Column:
+    """An array of the findings that the rules make of one observation."""
+
+    def hit(r: Rule) -> Column:
+        told = {"check_id": F.lit(r.id), "version": F.lit(r.version), "type": F.lit(r.type), "severity": F.lit(r.severity), "confidence": F.lit(r.confidence), "title": rendered(r, fields), "evidence": evidence(r, fields), "attack": F.lit(",".join(r.attack)), "match_kind": F.lit(r.kind)}
+        return F.when(r.where(), F.struct(*(c.alias(n) for n, c in told.items())))
+
+    return F.array_compact(F.array(*map(hit, rules)))
+
+
+FINDING = ("check_id", "version", "type", "severity", "confidence", "title", "evidence", "attack", "match_kind")
 
 
 def evaluate(observations: DataFrame, kind: str, rules: Iterable[Rule] = CATALOGUE, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(keep, check_id, severity, title): one row for each rule that an observation of the kind meets, in one pass over them."""
+    """(keep, check_id, severity, title): one row for each rule that an observation of the kind meets, enabled or not, in one pass over them."""
     mine = [r for r in rules if r.kind == kind and r.where is not None]
-    hit = lambda r: F.when(r.where(), F.struct(F.lit(r.id).alias("check_id"), F.lit(r.severity).alias("severity"), F.lit(r.title or r.id).alias("title")))
-    kind_ = "array<struct<check_id:string,severity:string,title:string>>"
-    hits = F.array_compact(F.array(*map(hit, mine))) if mine else F.array().cast(kind_)
-    df = derived(observations, kind).select(*keep, F.explode(hits).alias("f"))
+    if not mine:
+        return observations.select(*keep, *(F.lit("").alias(n) for n in ("check_id", "severity", "title"))).where("false")
+    full = derived(observations, kind)
+    df = full.select(*keep, F.explode(_hits(mine, {f.name: f for f in full.schema})).alias("f"))
     return df.select(*keep, "f.check_id", "f.severity", "f.title")
 
 
@@ -229,6 +306,23 @@ def evaluate_all(by_kind: dict[str, DataFrame], rules: Iterable[Rule] = CATALOGU
     return reduce(lambda a, b: a.unionByName(b), found).orderBy("check_id", "title")
 
 
+def findings(parsed: DataFrame, rules: Iterable[Rule] | None = None, keep: tuple[str, ...] = ("host_id",)) -> DataFrame:
+    """(keep, check_id, version, type, severity, confidence, title, evidence, attack, match_kind) of all kinds, in one pass.
+
+    parsed: as ``observations.parsed`` gives it, a struct column for each kind, of which a row has one. Without ``rules``, the
+    enabled ones of the catalogue. A row's rules are only those of its kind; no row is read twice and nothing is shuffled.
+    """
+    rules, by_kind = list(enabled() if rules is None else rules), []
+    for f in parsed.schema:
+        mine = [r for r in rules if r.kind == f.name and r.where is not None]
+        if not mine or not isinstance(f.dataType, T.StructType):
+            continue
+        with fields_of(f.name):
+            by_kind.append(F.when(F.col(f.name).isNotNull(), _hits(mine, {x.name: x for x in f.dataType})))
+    df = parsed.select(*keep, F.explode(F.coalesce(*by_kind)).alias("f"))
+    return df.select(*keep, *(f"f.{n}" for n in FINDING))
+
+
 # What a rule of a kind needs where it names no collectors, and the collectors of a scan's extent
 KIND_COLLECTORS = {
     "hidden_process": ("decloak.process",),
@@ -253,6 +347,9 @@ KIND_COLLECTORS = {
     "log_integrity": ("log.integrity",),
     "scheduled_task": ("persistence.scheduled",),
     "service": ("persistence.services",),
+    "utmp_session": ("log.integrity",),
+    "mount": ("mount.anomaly",),
+    "container_info": ("container.escape",),
 }
 PULSE = ("decloak.process", "process.inventory", "recon.inventory")
 STANDARD = (*PULSE, "persistence.preload", "persistence.accounts", "modules.lkm", "net.sockets", "persistence.services", "persistence.scheduled", "ssh.keys")
@@ -266,9 +363,9 @@ def needs(rule: Rule) -> tuple[str, ...]:
 
 
 def resolve(rules: Iterable[Rule], collectors: Iterable[str]) -> list[Rule]:
-    """The observation rules that the collectors can feed; a rule that no collector feeds is not among them."""
+    """The enabled observation rules that the collectors can feed; a rule that no collector feeds is not among them."""
     have = set(collectors)
-    return [r for r in rules if r.kind != "command_score" and needs(r) and set(needs(r)) <= have]
+    return [r for r in rules if r.enabled and r.kind != "command_score" and needs(r) and set(needs(r)) <= have]
 
 
 def bundle(name: str) -> tuple[str, ...]:
@@ -281,4 +378,4 @@ def collectors_needed(rules: Iterable[Rule]) -> list[str]:
     return sorted({c for r in rules for c in needs(r)}) or sorted(PULSE)
 
 
-__all__ = ["CATALOGUE", "Rule", "bundle", "collectors_needed", "contains", "derived", "evaluate", "evaluate_all", "needs", "resolve"]
+__all__ = ["CATALOGUE", "Rule", "bundle", "collectors_needed", "contains", "derived", "enabled", "evaluate", "evaluate_all", "findings", "needs", "resolve"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,31 +58,137 @@ def of_kind(lines: DataFrame, kind: str, *keep: str) -> DataFrame:
     """The observations of one kind among NDJSON lines, paths flattened; broken lines are no observations. A hidden module counts as a module."""
     wanted = ["module", "hidden_module"] if kind == "module" else [kind]
     parsed = lines.where(F.get_json_object("line", "$.t").isin(wanted)).select(*keep, F.from_json("line", SCHEMAS[kind]).alias("o")).where("o IS NOT NULL")
-    fields = parsed.schema["o"].dataType.fields
-    is_path = lambda t: t.typeName() == "struct" and t.fieldNames() == ["s", "b"]
+    return parsed.select(*keep, *(_flat(F.col("o")[f.name], f) for f in parsed.schema["o"].dataType.fields))
+
 
-    def column(f):
-        c = F.col("o")[f.name]
-        if is_path(f.dataType):
-            return flat_path(c).alias(f.name)
-        if f.dataType.typeName() == "array" and is_path(f.dataType.elementType):
-            return F.transform(c, flat_path).alias(f.name)
-        return c.alias(f.name)
+HIDDEN_MODULE = "hidden_module"
+KINDS = (*SCHEMAS, HIDDEN_MODULE)
 
-    return parsed.select(*keep, *map(column, fields))
+
+def parsed(lines: DataFrame, *keep: str) -> DataFrame:
+    """(keep, line, kind, one struct column for each kind): all observations of NDJSON lines, each line parsed once.
+
+    A row has the struct of its kind, with the fields that rules derive; the others are null. A hidden module
+    has the struct ``module``. Broken lines, lines that are no objects and unknown kinds are no observations.
+    """
+    from harrier.operators.rules import derived_fields, fields_of
+
+    read = lines.select(*keep, "line", F.try_parse_json("line").alias("_v")).withColumn("kind", F.try_variant_get("_v", "$.t", "string")).where(F.col("kind").isin(*KINDS))
+    raw = {k: F.when(F.col("kind").isin(*([k, HIDDEN_MODULE] if k == "module" else [k])), F.try_variant_get("_v", "$", f"struct<{_colons(s)}>")).alias(k) for k, s in SCHEMAS.items()}
+    read = read.select(*keep, "line", "kind", *raw.values())
+    whole = {}
+    for k in SCHEMAS:
+        with fields_of(k):
+            more = derived_fields(k)
+        own = [_flat(F.col(k)[f.name], f) for f in read.schema[k].dataType.fields if f.name not in more]
+        whole[k] = F.when(F.col(k).isNotNull(), F.struct(*own, *(c.alias(n) for n, c in more.items()))).alias(k)
+    return read.select(*keep, "line", "kind", *whole.values())
+
+
+def _colons(schema: str) -> str:
+    """Fields of a table as those of a struct type."""
+    return re.sub(r"(^|, )(`?\w+`?) ", r"\1\2: ", schema)
+
+
+def _flat(c: Column, f) -> Column:
+    is_path = lambda t: t.typeName() == "struct" and t.fieldNames() == ["s", "b"]
+    if is_path(f.dataType):
+        return flat_path(c).alias(f.name)
+    if f.dataType.typeName() == "array" and is_path(f.dataType.elementType):
+        return F.transform(c, flat_path).alias(f.name)
+    return c.alias(f.name)
 
 
 # -- observations as events and as inventory rows
 
 
+def _quoted(names: Column) -> Column:
+    return F.concat(F.lit("["), F.coalesce(F.array_join(F.transform(names, lambda x: F.concat(F.lit('"'), x, F.lit('"'))), ", "), F.lit("")), F.lit("]"))
+
+
+def _maybe(c: Column, quote: str = "") -> Column:
+    return F.when(c.isNull(), "None").otherwise(F.concat(F.lit(f"Some({quote}"), c.cast("string"), F.lit(f"{quote})")))
+
+
+def _event_fields(kind: str) -> dict[str, Column]:
+    """The columns of the hunting table that an observation of the kind fills; texts may be null."""
+    o = lambda name: F.col(f"{kind}.{name}")
+    t = lambda name: F.coalesce(o(name).cast("string"), F.lit(""))
+    say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts))
+    pid = lambda name: F.greatest(F.coalesce(o(name).cast("long"), F.lit(0)), F.lit(0))
+    if kind == "process":
+        parts = F.filter(o("cmdline"), lambda x: x != "")
+        full, exe = F.coalesce(F.array_join(parts, " "), F.lit("")), t("exe")
+        rest = F.array_join(F.filter(F.slice(o("cmdline"), F.lit(2), F.greatest(F.size(o("cmdline")), F.lit(1))), lambda x: x != ""), " ")
+        args = F.when(full == "", "").when(F.size(o("cmdline")) > 1, rest).when((exe != "") & full.startswith(exe), F.ltrim(F.substring(full, F.length(exe) + 1, F.length(full)))).otherwise("")
+        shown = say("process pid=", o("pid"), " comm=", o("comm"), " exe=", F.when(exe == "", "\u2014").otherwise(exe))
+        high = F.coalesce(o("exe_memfd"), F.lit(False)) | F.coalesce(o("exe_deleted"), F.lit(False))
+        return {"process_name": t("comm"), "process_id": pid("pid"), "user": F.coalesce(F.get(o("uids"), F.lit(0)), F.lit(0)).cast("string"), "path": exe, "args": args, "cmdline": F.when(full == "", exe).otherwise(full), "exe_memfd": F.coalesce(o("exe_memfd").cast("int"), F.lit(0)), "severity": F.when(high, "high").otherwise("info"), "message": F.when(args == "", shown).otherwise(say(shown, " args=", args))}
+    if kind == "hidden_process":
+        return {"process_name": t("comm"), "process_id": pid("pid"), "user": t("uid"), "path": t("exe"), "severity": F.lit("critical"), "message": say("hidden process pid=", o("pid"), " sources_absent=", _quoted(o("sources_absent")))}
+    if kind == "socket":
+        src, dest = say(o("local_ip"), ":", o("local_port")), say(o("remote_ip"), ":", o("remote_port"))
+        return {"process_id": pid("owning_pid"), "user": t("uid"), "src_ip": src, "dest_ip": dest, "message": say(o("protocol"), " ", o("state"), " ", src, " \u2192 ", dest, " (pid=", _maybe(o("owning_pid")), ")")}
+    if kind == "hidden_socket":
+        return {"src_ip": say("*:", o("local_port")), "severity": F.lit("high"), "message": say("hidden socket ", o("protocol"), ":", o("local_port"), " absent=", _quoted(o("sources_absent")))}
+    if kind == "module":
+        return {"process_name": t("name"), "severity": F.when(F.col("kind") == HIDDEN_MODULE, "critical").otherwise("info"), "message": say("module ", o("name"), " size=", _maybe(o("size")))}
+    if kind == "bpf_prog":
+        return {"process_name": t("name"), "severity": F.when(o("orphan"), "high").otherwise("info"), "message": say("bpf prog id=", o("id"), " type=", o("prog_type"))}
+    path, user, at = {"path": t("path")}, {"user": t("username")}, t("path")
+    high = {"severity": F.lit("high")}
+    if kind == "ioc_hit":
+        return path | {"severity": F.lower(t("severity")), "message": say("ioc ", o("ioc_kind"), "=", o("ioc_value"))}
+    if kind == "policy":
+        return {"check_id": t("code"), "severity": F.lower(t("severity")), "message": say("policy ", o("code"), ": ", o("detail"))}
+    return {
+        "file_meta": lambda: path | {"user": t("uid"), "message": say("file_meta ", at)},
+        "file_entropy": lambda: path | high | {"file_hash": t("sha256"), "message": say("entropy=", F.format_string("%.2f", o("entropy")), " ", at)},
+        "elf_info": lambda: path | {"message": say("elf ", at, " static=", o("is_static"))},
+        "preload": lambda: path | high | {"message": say("preload ", at)},
+        "scheduled_task": lambda: path | {"user": t("user"), "message": say("scheduled ", o("kind"), " ", at)},
+        "service": lambda: path | {"process_name": t("name"), "message": say("service ", o("name"), " ", o("unit_type"))},
+        "account": lambda: user | {"path": t("shell"), "message": say("account uid=", o("uid"), " ", o("username"))},
+        "shadow_entry": lambda: user | {"severity": F.lit("medium"), "message": say("shadow ", o("username"))},
+        "sudo_rule": lambda: path | {"message": say("sudo ", o("line"))},
+        "authorized_key": lambda: path | user | {"process_name": F.lit("sshd"), "severity": F.lit("medium"), "message": say("authorized_key ", o("username"), " ", o("fingerprint"))},
+        "ssh_host_key": lambda: path | {"message": say("ssh_host_key ", o("key_type"))},
+        "dir_anomaly": lambda: path | high | {"message": say("dir_anomaly ", o("anomaly"), ": ", o("detail"))},
+        "timestomp": lambda: path | high | {"message": say("timestomp ", at)},
+        "mount": lambda: {"path": t("mountpoint"), "message": say("mount ", o("device"), " ", o("mountpoint"), " ", o("fstype"))},
+        "log_integrity": lambda: path | high | {"message": say("log_integrity ", o("issue"), ": ", o("detail"))},
+        "utmp_session": lambda: {"user": t("user"), "process_id": pid("pid"), "src_ip": t("host"), "message": say("session ", o("user"), "@", o("line"), " pid=", o("pid"))},
+        "integrity_mismatch": lambda: path | {"file_hash": t("actual_hash"), "severity": F.lit("critical"), "message": say("integrity mismatch ", at)},
+        "container_info": lambda: {"message": say("container in=", o("in_container"), " runtime=", _maybe(o("runtime"), '"'), " privileged=", o("privileged"))},
+        "recon": lambda: {"message": say("recon ", o("category"))},
+    }[kind]()
+
+
+_EMPTY = {"process_name": "", "process_id": 0, "user": "", "path": "", "args": "", "cmdline": "", "src_ip": "", "dest_ip": "", "file_hash": "", "severity": "info", "exe_memfd": 0, "check_id": "", "message": ""}
+
+
+def observation_events(rows: DataFrame, timestamp: Column, host_id: Column, host_name: Column, scan_id: Column, collector: Column, source_type: str = "probe", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep, the 24 columns of the hunting table) for observations of all kinds (``parsed``), in one pass; ``ext`` is the line as it came."""
+    fields = {k: _event_fields(k) for k in SCHEMAS}
+
+    def column(name: str, default) -> Column:
+        cases = [F.when(F.col(k).isNotNull(), F.coalesce(own[name], F.lit(default))) for k, own in fields.items() if name in own]
+        return F.coalesce(*cases, F.lit(default)).cast({"process_id": "long", "exe_memfd": "int"}.get(name, "string")).alias(name)
+
+    told = {n: column(n, d) for n, d in _EMPTY.items()}
+    text = lambda v, n: F.lit(v).alias(n)
+    return rows.select(
+        *keep, timestamp.cast("timestamp").alias("timestamp"), told["message"], text(source_type, "source_type"), text("scan", "source"), text("linux", "platform"), host_id.cast("string").alias("host_id"), host_name.alias("host_name"),
+        scan_id.cast("string").alias("scan_id"), collector.alias("collector"), "kind", told["check_id"], F.col("kind").alias("data_type"), *(told[n] for n in ("process_name", "process_id", "user", "path", "args", "cmdline", "src_ip", "dest_ip", "file_hash", "severity", "exe_memfd")),
+        F.col("line").alias("ext"),
+    )
+
+
 def as_events(obs: DataFrame, kind: str, host: str = "host_id") -> DataFrame:
-    """(host_id, kind, severity, process_name, path, message) of one kind, for the hunting table."""
-    have = set(obs.columns)
-    text = lambda *names: F.coalesce(*(F.col(n).cast("string") for n in names if n in have), F.lit(""))
-    severity = {"hidden_process": "critical", "hidden_socket": "critical", "integrity_mismatch": "high", "timestomp": "medium", "dir_anomaly": "medium", "preload": "high"}.get(kind, "info")
-    level = text("severity") if kind in ("ioc_hit", "policy") else F.lit(severity)
-    what = F.concat_ws(" ", F.lit(kind), F.nullif(text("comm", "name", "username", "code"), F.lit("")), F.nullif(text("path", "exe"), F.lit("")), F.nullif(text("detail", "issue", "anomaly"), F.lit("")))
-    return obs.select(F.col(host).alias("host_id"), F.lit(kind).alias("kind"), F.when(level == "", "info").otherwise(level).alias("severity"), text("comm", "name").alias("process_name"), text("path", "exe").alias("path"), what.alias("message"))
+    """(host_id, kind, severity, process_name, path, message) of one kind, whose fields are columns (``of_kind``)."""
+    rows = obs.select(host, F.lit(kind).alias("kind"), F.lit("").alias("line"), F.struct(*(c for c in obs.columns if c != host)).alias(kind))
+    own = {k: F.coalesce(_event_fields(kind)[k], F.lit(d)).alias(k) if k in _event_fields(kind) else F.lit(d).alias(k) for k, d in _EMPTY.items()}
+    return rows.select(F.col(host).alias("host_id"), "kind", own["severity"], own["process_name"], own["path"], own["message"])
 
 
 def inventory_events(rows: DataFrame, kind: str, now: Column | None = None, source: str = "inventory", days: int = 90) -> DataFrame:

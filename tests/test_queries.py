@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from harrier.plans import more, registry  # noqa: F401 - more adds its queries to the registry
+from harrier.plans import more, registry, telemetry  # noqa: F401 - more and telemetry add their queries to the registry
 
 TABLES = "/root/testdata/sf0.001"
 

@@ -88,3 +88,34 @@ def test_inventory_files_as_events(spark):
     got = O.inventory_events(files, "file_meta", now).select("host_id", F.unix_seconds("timestamp"), "message", "process_id", "user", "cmdline").collect()
     assert sorted(map(tuple, got)) == [("m", 1706659200, "file_meta /etc/a", 0, "0", ""), ("m", 1706745600, "file_meta ", 0, "5", ""), ("m", 1706745600, "file_meta /etc/b", 0, "", "")]
     assert O.inventory_events(files.limit(0), "file_meta").count() == 0
+
+
+def resolved(extent):
+    return {r.id.removeprefix("RM-") for r in rules.resolve(rules.CATALOGUE, rules.bundle(extent))}
+
+
+def test_bundles_of_rules():
+    pulse = {"ICS-0003", "LOG-0007"} | {f"PROC-00{n:02}" for n in (1, 2, 4, 5, 6, 7, 8, 9, 10, 12, 13, 15, 16, 17, 18, 19)}
+    standard = pulse | {"CRED-0005", "KERN-0001", "KERN-0002", "KERN-0004", "NET-0005", "PERSIST-0001", "PERSIST-0002", "PERSIST-0003", "PERSIST-0005", "PERSIST-0009", "USER-0001", "USER-0003", "USER-0005", "USER-0006", "USER-0009"}
+    deep = standard | {"CRED-0001", "CRED-0003", "DIR-0001", "DIR-0002", "DIR-0003", "DIR-0005", "DRIFT-0001", "FILE-0001", "FILE-0003", "FILE-0004", "FILE-0006", "FILE-0007", "FILE-0008", "FILE-0009", "FILE-0014", "FILE-0015", "LOG-0001", "LOG-0002", "LOG-0004", "USER-0002"}
+    assert (resolved("pulse"), resolved("standard"), resolved("deep")) == (pulse, standard, deep)
+    assert resolved("incident") == deep and resolved("no such extent") == standard
+    assert {r.id.removeprefix("RM-") for r in rules.CATALOGUE if not r.enabled} == {"CRED-0002", "FILE-0005", "INC-0004", "ML-0001", "NET-0003", "POL-0032", "PROC-0011", "USER-0004", "USER-0008"}
+
+
+def test_all_kinds_in_one_pass(spark, tmp_path):
+    spark.createDataFrame([("h", json.dumps(x)) for x in LINES] + [("h", "{broken"), ("h", ""), ("h", None), ("h", "[1]"), ("h", '{"t": "unheard of"}')], "host_id string, line string").write.parquet(str(tmp_path / "lines"))
+    parsed = O.parsed(spark.read.parquet(str(tmp_path / "lines")), "host_id")
+    assert parsed.count() == len(LINES)
+    every = rules.findings(parsed, rules.CATALOGUE)
+    one_by_one = []
+    for kind in {x["t"] for x in LINES}:
+        one_by_one += rows(rules.evaluate(observed(spark, kind), kind, keep=("host_id",)))
+    assert sorted(tuple(r) for r in every.select("host_id", "check_id", "severity", "title").collect()) == sorted(one_by_one)
+    assert every._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1 and "Exchange" not in every._jdf.queryExecution().executedPlan().toString()
+    on = {r.check_id: r for r in rules.findings(parsed).collect()}
+    assert "RM-USER-0008" not in on and "RM-PROC-0011" not in on
+    found = on["RM-CRED-0005"]
+    assert (found.version, found.type, found.confidence, found.attack, found.match_kind, found.title) == (2, "user", "medium", "T1110", "authorized_key", "Weak SSH key ssh-rsa (1024 bits) for null")
+    assert json.loads(found.evidence) == {"username": None, "key_type": "ssh-rsa", "bits": 1024, "fingerprint": "f", "path": None}
+    assert json.loads(on["RM-PROC-0012"].evidence) == {"pid": 4, "comm": "evil", "euid": 7, "ruid": 7, "caps_eff": 1 << 21, "exe": "/opt/a"}
