@@ -8,20 +8,24 @@ from pyspark.sql import functions as F
 PAD = "~"
 
 
+def _grams(df: DataFrame, units: Column, joint: str, order: int, keep: tuple[str, ...]) -> DataFrame:
+    """(keep, ctx, nxt) of an array of characters or tokens: linear in its length, no row carries the whole line."""
+    out = df.select(*keep, units.alias("_u"))
+    each = F.transform(F.sequence(F.lit(0), F.size("_u") - order - 1), lambda i: F.struct(F.array_join(F.slice(F.col("_u"), i + 1, order), joint).alias("ctx"), F.get(F.col("_u"), i + order).alias("nxt")))
+    return out.where(F.size("_u") > order).select(*keep, F.explode(each).alias("_g")).select(*keep, "_g.ctx", "_g.nxt")
+
+
 def char_grams(df: DataFrame, line: str, order: int, front: bool, back: bool, *keep: str) -> DataFrame:
     """(keep, ctx, nxt): each character with the ``order`` before it; lines are padded on the sides asked for."""
     pad = F.lit(PAD * order)
     text = F.concat(*([pad] if front else []), F.coalesce(F.col(line), F.lit("")), *([pad] if back else []))
-    out = df.select(*keep, text.alias("_t")).where(F.length("_t") > order)
-    out = out.select(*keep, "_t", F.explode(F.sequence(F.lit(1), F.length("_t") - order)).alias("_i"))
-    return out.select(*keep, F.substring(F.col("_t"), F.col("_i"), F.lit(order)).alias("ctx"), F.substring(F.col("_t"), F.col("_i") + order, F.lit(1)).alias("nxt"))
+    return _grams(df, F.filter(F.split(text, ""), lambda c: c != ""), "", order, keep)
 
 
 def token_grams(df: DataFrame, tokens: Column, order: int, *keep: str) -> DataFrame:
     """The same over tokens, padded on both sides; a context is its tokens joined by the unit separator."""
     pad = F.array_repeat(F.lit(PAD), order)
-    out = df.select(*keep, F.concat(pad, tokens, pad).alias("_t")).select(*keep, "_t", F.explode(F.sequence(F.lit(1), F.size("_t") - order)).alias("_i"))
-    return out.select(*keep, F.array_join(F.slice("_t", F.col("_i"), F.lit(order)), "\u001f").alias("ctx"), F.get(F.col("_t"), F.col("_i") + order - 1).alias("nxt"))
+    return _grams(df, F.concat(pad, tokens, pad), "\u001f", order, keep)
 
 
 def train(grams: DataFrame, weight: Column | None = None) -> DataFrame:

@@ -483,13 +483,16 @@ def worst_lines_by_host(t):
     return markov.worst_lines(_scores(t).withColumn("score", F.round("score", 9)), "conv_id", "turn").select("conv_id", "turn")
 
 
-@query()
+@query(f"""WITH {_MODEL}, r AS (SELECT 0.01 * min(p) AS prior FROM q), g AS ({_GRAMS.format("'~~' || text")}),
+o AS (SELECT DISTINCT conv_id, turn, ctx || nxt AS gram FROM g LEFT JOIN q USING (ctx, nxt), r WHERE ln(coalesce(p, prior)) < ln(prior) * 0.55)
+SELECT conv_id, turn, string_agg(gram, ' ' ORDER BY gram) AS unusual FROM o GROUP BY 1, 2""")
 def markov_explain(t):
     grams = markov.char_grams(_lines(t), "line", 2, True, False, "conv_id", "turn")
     return markov.explain(grams, _model(t), 55, "conv_id", "turn").withColumn("unusual", F.array_join("unusual", " "))
 
 
-@query()
+@query("""WITH w AS (SELECT ['~'] || list_filter(string_split(p_name, ' '), lambda x: x <> '') || ['~'] AS w FROM part), g AS (SELECT w[i] AS ctx, w[i + 1] AS nxt FROM w, unnest(range(1, len(w))) AS u(i)), c AS (SELECT ctx, nxt, count(*) AS n FROM g GROUP BY 1, 2)
+SELECT ctx, nxt, n, round(n / sum(n) OVER (PARTITION BY ctx), 9) AS p FROM c""")
 def markov_token_transitions(t):
     return markov.train(markov.token_grams(t("part"), S.word_tokens(F.col("p_name")), 1)).withColumn("p", F.round("p", 9))
 

@@ -37,6 +37,6 @@ def checked(lines: DataFrame, schema: str) -> DataFrame:
     return lines.where(F.octet_length("value") <= MOST_BYTES).select(F.from_json("value", schema).alias("o")).where("o IS NOT NULL").select("o.*")
 
 
-def each_batch(stream: DataFrame, act: Callable[[DataFrame], None], checkpoint: str):
-    """Runs ``act`` on every micro-batch and returns the query; batches repeat after a failure, so act must be idempotent by batch."""
-    return stream.writeStream.foreachBatch(lambda df, _: act(df)).option("checkpointLocation", checkpoint).start()
+def each_batch(stream: DataFrame, act: Callable[[DataFrame, int], None], checkpoint: str):
+    """Runs ``act(rows, batch id)`` on every micro-batch and returns the query. A batch comes again after a failure, with its id, so that act can tell."""
+    return stream.writeStream.foreachBatch(act).option("checkpointLocation", checkpoint).start()
