@@ -77,6 +77,10 @@ def dbscan(weights: DataFrame, host: str, sig: str, eps: float = 0.35, least: in
     are joined, and hosts that meet there are compared on all. Hosts that
     share nothing are taken to be farther apart than eps (unit vectors are, for
     any eps below sqrt(2)). A neighbourhood includes its own host and its rim.
+
+    Dense fleets are covered by balls first, whose hosts are known to be core hosts of one
+    cluster: no two of them are joined. Hosts outside are joined with all, hosts of
+    different balls only where a centre's distance allows a neighbour.
     """
     scratch = Scratch(weights.sparkSession, "dbscan")
     v = scratch.save(weights.select(F.col(host).alias("h"), F.col(sig).alias("s"), F.col("w").cast("double").alias("w")))
@@ -87,30 +91,100 @@ def dbscan(weights: DataFrame, host: str, sig: str, eps: float = 0.35, least: in
     v = scratch.save(v.where("w <> 0").join(places.select(F.col("rep").alias("h")), "h", "left_semi"))
     norm = v.groupBy("h").agg(F.sum(F.col("w") * F.col("w")).alias("q"))
 
+    balls = scratch.save(_cover(v, norm, eps, least, places, scratch))
+    dense = scratch.save(_joined_balls(v, norm, balls, eps, scratch))
+
     by_rarity = Window.partitionBy("h").orderBy("df", "s").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.col("w") * F.col("w")).over(by_rarity), F.lit(0.0))
     rare = v.join(v.groupBy("s").agg(F.count("*").alias("df")), "s").withColumn("before", before)
-    rare = scratch.save(rare.where(F.col("before") <= eps * eps + 1e-9).select("h", "s"))
-    met = rare.withColumnRenamed("h", "a").join(rare.withColumnRenamed("h", "b"), "s").where("a < b").select("a", "b").distinct()
-    a, b = v.withColumnsRenamed({"h": "a", "w": "wa"}), v.withColumnsRenamed({"h": "b", "w": "wb"})
-    dots = met.join(a, "a").join(b, ["b", "s"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
-    qa, qb = norm.withColumnsRenamed({"h": "a", "q": "qa"}), norm.withColumnsRenamed({"h": "b", "q": "qb"})
-    close = dots.join(qa, "a").join(qb, "b").where(F.col("qa") + F.col("qb") - 2 * F.col("dot") <= eps * eps + 1e-12).select("a", "b")
-    close = scratch.save(close)
-
+    rare = rare.where(F.col("before") <= eps * eps + 1e-9).select("h", "s").join(dense, "h", "left")
+    rare = scratch.save(rare)
+    loose, bound = rare.where("part IS NULL").select("s", F.col("h").alias("a")), rare.where("part IS NOT NULL")
+    met = loose.join(rare.select("s", F.col("h").alias("b"), "part"), "s").where("part IS NOT NULL OR a < b").select("a", "b")
+    # of two parts only the hosts meet that are close enough to a centre of the other one to have a neighbour there
+    reach = bound.select("h", "s", "part", F.explode("others").alias("other"))
+    mine = reach.select(F.col("h").alias("a"), "s", F.col("part").alias("p"), F.col("other").alias("o")).where("p < o")
+    theirs = reach.select(F.col("h").alias("b"), "s", F.col("other").alias("p"), F.col("part").alias("o"))
+    met = scratch.save(met.union(mine.join(theirs, ["s", "p", "o"]).select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    close = scratch.save(_within(met, v, norm, eps * eps + 1e-12).select("a", "b"))
+
+    # a part is known to be one cluster of core hosts; its smallest host stands for it
+    stands = dense.groupBy("part").agg(F.min("h").alias("stand"))
+    of_part = dense.join(stands, "part").select("h", "stand")
     both = close.union(close.select("b", "a"))
     near = both.join(places.select(F.col("rep").alias("b"), "copies"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("near"))
     core = places.join(near, "rep", "left").where(F.col("copies") + F.coalesce("near", F.lit(0)) >= least)
-    core = scratch.save(core.select(F.col("rep").alias("h")))
-    is_core = lambda df, c: df.join(core.withColumnRenamed("h", c), c, "left_semi")
-    parts = connected_components(is_core(is_core(close, "a"), "b"), scratch)
-    label = core.join(parts.withColumnRenamed("node", "h"), "h", "left").select("h", F.coalesce("component", "h").alias("c"))
+    core = scratch.save(core.select(F.col("rep").alias("h")).union(of_part.select("h")).distinct().join(of_part, "h", "left").select("h", F.coalesce("stand", "h").alias("stand")))
+    named = lambda df, c: df.join(core.select(F.col("h").alias(c), F.col("stand").alias(f"{c}_")), c)
+    parts = connected_components(named(named(close, "a"), "b").select(F.col("a_").alias("a"), F.col("b_").alias("b")), scratch)
+    label = core.join(parts.withColumnRenamed("node", "stand"), "stand", "left").select("h", F.coalesce("component", "stand").alias("c"))
     rim = both.join(label.withColumnsRenamed({"h": "b"}), "b").groupBy(F.col("a").alias("h")).agg(F.min("c").alias("r"))
     found = places.withColumnRenamed("rep", "h").join(label, "h", "left").join(rim, "h", "left")
     out = hosts.join(found.drop("h"), ["k1", "k2"])
     return out.select(F.col("h").alias(host), F.coalesce("c", "r").alias("cluster"))
 
 
+CENTRES, ROUNDS = 64, 4
+
+
+def _within(pairs: DataFrame, v: DataFrame, norm: DataFrame, most: float) -> DataFrame:
+    """(a, b, d2) of the pairs whose squared distance is at most ``most``; both share a signature."""
+    a, b = v.withColumnsRenamed({"h": "a", "w": "wa"}), v.withColumnsRenamed({"h": "b", "w": "wb"})
+    dots = pairs.join(a, "a").join(b, ["b", "s"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
+    qa, qb = norm.withColumnsRenamed({"h": "a", "q": "qa"}), norm.withColumnsRenamed({"h": "b", "q": "qb"})
+    return dots.join(qa, "a").join(qb, "b").withColumn("d2", F.col("qa") + F.col("qb") - 2 * F.col("dot")).where(F.col("d2") <= most).select("a", "b", "d2")
+
+
+def _to_centres(v: DataFrame, norm: DataFrame, centres: DataFrame, most: float) -> DataFrame:
+    """(h, centre, d2) of hosts and centres within the squared distance; centres (column h) are few, so this takes a bounded number of pairs a host."""
+    vc = v.join(F.broadcast(centres), "h").withColumnsRenamed({"h": "centre", "w": "wc"})
+    dots = v.join(vc, "s").groupBy("h", "centre").agg(F.sum(F.col("w") * F.col("wc")).alias("dot"))
+    qc = norm.join(F.broadcast(centres), "h").withColumnsRenamed({"h": "centre", "q": "qc"})
+    return dots.join(norm, "h").join(F.broadcast(qc), "centre").withColumn("d2", F.col("q") + F.col("qc") - 2 * F.col("dot")).where(F.col("d2") <= most).select("h", "centre", "d2")
+
+
+def _cover(v: DataFrame, norm: DataFrame, eps: float, least: int, places: DataFrame, scratch: Scratch) -> DataFrame:
+    """(h, centre): hosts in balls of radius eps / 2 that hold ``least`` hosts or more. They are within eps of each other, so all are core and in one cluster.
+
+    Centres are hosts of least hash, CENTRES in each of at most ROUNDS rounds, each among the
+    hosts that no ball holds yet; where hosts are dense, some are drawn. Very short vectors stay out:
+    only of longer ones does a distance within eps imply a common signature.
+    """
+    free = norm.where(F.col("q") > eps * eps / 2 + 1e-9)
+    out = v.select("h", F.col("h").alias("centre")).where("false")
+    for _ in range(ROUNDS):
+        left = free.count()
+        if left <= CENTRES:
+            break
+        centres = scratch.save(free.orderBy(F.xxhash64("h"), "h").limit(CENTRES).select("h"), "centres")
+        held = _to_centres(v.join(free.select("h"), "h", "left_semi"), norm, centres, eps * eps / 4 - 1e-9)
+        held = scratch.save(held.join(places.select(F.col("rep").alias("h"), "copies"), "h"), "in-reach")
+        reach = held.groupBy("centre").agg((-F.sum("copies")).alias("_reach"))
+        held = held.join(F.broadcast(reach), "centre").groupBy("h").agg(F.min(F.struct("_reach", "centre")).alias("m")).select("h", "m.centre")
+        sizes = held.join(places.select(F.col("rep").alias("h"), "copies"), "h").groupBy("centre").agg(F.sum("copies").alias("n"))
+        held = scratch.save(held.join(F.broadcast(sizes.where(F.col("n") >= least).select("centre")), "centre", "left_semi").select("h", "centre"), "held")
+        out = out.union(held)
+        free = scratch.save(free.join(held, "h", "left_anti"), "free")
+        if 8 * held.count() < left:
+            break
+    return out
+
+
+def _joined_balls(v: DataFrame, norm: DataFrame, balls: DataFrame, eps: float, scratch: Scratch) -> DataFrame:
+    """(h, part, others): balls of which one holds a host within eps of the other's centre are one part; others are the parts whose centres are near enough for a neighbour there."""
+    centres = scratch.save(balls.select(F.col("centre").alias("h")).distinct(), "all-centres")
+    if centres.isEmpty():
+        return balls.select("h", F.col("centre").alias("part"), F.array("centre").alias("others")).where("false")
+    near = scratch.save(_to_centres(v.join(balls.select("h"), "h", "left_semi"), norm, centres, (1.5 * eps + 1e-6) ** 2), "near-centres")
+    own = balls.withColumnRenamed("centre", "own")
+    links = near.where(F.col("d2") <= eps * eps + 1e-12).join(own, "h").select(F.col("own").alias("a"), F.col("centre").alias("b")).where("a <> b").distinct()
+    joined = connected_components(links, scratch)
+    part = centres.join(joined.withColumnRenamed("node", "h"), "h", "left").select(F.col("h").alias("centre"), F.coalesce("component", "h").alias("part"))
+    mine = balls.join(F.broadcast(part), "centre").select("h", "part")
+    reach = near.join(F.broadcast(part.withColumnRenamed("part", "other")), "centre").join(mine, "h").where("other <> part").groupBy("h").agg(F.collect_set("other").alias("others"))
+    return mine.join(reach, "h", "left").select("h", "part", F.coalesce("others", F.array().cast(dict(mine.dtypes)["part"].join(("array<", ">")))).alias("others"))
+
+
 def process_outliers(profile: DataFrame, eps: float = 0.35, least: int = 2) -> DataFrame:
     """Hosts that are noise, in a minority cluster, or at risk: severity, distance, reasons and counts."""
     sig = F.to_json(F.struct(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in PROCESS)))

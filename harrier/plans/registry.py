@@ -253,7 +253,11 @@ def tf_idf(t):
     return fleet.tf_idf(_user_counts(t), "user_id", "sig").withColumn("w", F.round("w", 9))
 
 
-@query()
+@query(_TFIDF.replace("WITH c", "WITH RECURSIVE c", 1) + """, v AS (SELECT user_id, sig, w / sqrt(sum(w * w) OVER (PARTITION BY user_id)) AS w FROM x), q AS (SELECT user_id, sum(w * w) AS q FROM v GROUP BY 1),
+p AS (SELECT a.user_id AS a, b.user_id AS b, sum(a.w * b.w) AS dot FROM v a JOIN v b ON a.sig = b.sig AND a.user_id <> b.user_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN q qa ON qa.user_id = a JOIN q qb ON qb.user_id = b WHERE qa.q + qb.q - 2 * dot <= 0.36 + 1e-12), k AS (SELECT DISTINCT a AS h FROM e),
+reach AS (SELECT h AS x, h AS y FROM k UNION SELECT x, b FROM reach JOIN e ON y = a), l AS (SELECT x, min(y) AS cluster FROM reach GROUP BY 1)
+SELECT user_id, cluster FROM q LEFT JOIN l ON user_id = x""")
 def dbscan_clusters(t):
     return fleet.dbscan(fleet.tf_idf(_user_counts(t), "user_id", "sig"), "user_id", "sig", eps=0.6)
 

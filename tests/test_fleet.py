@@ -113,3 +113,43 @@ def test_dbscan_of_copies_and_zero_lengths(spark):
     assert dict(rows(fleet.dbscan(w, "h", "s", 0.35))) == want
     assert dict(rows(fleet.dbscan(w, "h", "s", 0.35, least=4))) == want | {"z1": None, "z2": None}
     assert rows(fleet.dbscan(w.limit(0), "h", "s")) == []
+
+
+def plain_dbscan(vectors, eps, least):
+    hosts = sorted(vectors)
+    near = lambda a, b: a == b or (vectors[a].keys() & vectors[b].keys() and sum((vectors[a].get(s, 0) - vectors[b].get(s, 0)) ** 2 for s in {*vectors[a], *vectors[b]}) <= eps * eps)
+    around = {a: [b for b in hosts if near(a, b)] for a in hosts}
+    label = {h: h for h in hosts if len(around[h]) >= least}
+    while True:
+        new = {h: min(label[b] for b in around[h] if b in label) for h in label}
+        if new == label:
+            return {h: label.get(h) or min((label[b] for b in around[h] if b in label), default=None) for h in hosts}
+        label = new
+
+
+def test_dbscan_of_dense_fleets(spark, monkeypatch):
+    """Balls of nearly equal hosts, chains of balls that touch by their rims, and loose hosts, with few centres a round."""
+    import random
+
+    monkeypatch.setattr(fleet, "CENTRES", 5)
+    rng = random.Random(4)
+    vectors = {}
+    for i in range(150):
+        turn = rng.choice([0.0, 0.1, 0.16, 0.35, 0.42, 0.8, 1.2]) + rng.uniform(-0.03, 0.03)
+        v = {"common": math.cos(turn) * 0.9, f"group{rng.randint(0, 1)}": math.sin(turn) * 0.9, f"own{i % 90}": rng.choice([0.0, 0.02, 0.2])}
+        vectors[f"h{i:03d}"] = {s: x for s, x in v.items() if x}
+    df = spark.createDataFrame([(h, s, x) for h, v in vectors.items() for s, x in v.items()], "h string, s string, w double")
+    for eps, least in ((0.3, 2), (0.15, 4), (0.08, 3)):
+        assert dict(rows(fleet.dbscan(df, "h", "s", eps, least))) == plain_dbscan(vectors, eps, least)
+
+
+def test_pairs_of_a_uniform_fleet(spark, monkeypatch):
+    """Hosts with 20 signatures in common and one of their own: what is compared grows with the hosts, not with their square."""
+    compared = []
+    real = fleet._within
+    monkeypatch.setattr(fleet, "_within", lambda pairs, *a: (compared.append(pairs.count()), real(pairs, *a))[1])
+    for n in (1000, 2000):
+        data = spark.range(n).selectExpr("id h", "explode(sequence(0, 20)) k").selectExpr("h", "if(k = 20, concat('own', h), concat('s', k)) s", "if(k = 20, 0.05, 0.22) w")
+        found = fleet.dbscan(data, "h", "s", 0.35)
+        assert rows(found.select("cluster").distinct()) == [(0,)] and found.count() == n
+    assert compared == [0, 0]
