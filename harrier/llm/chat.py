@@ -85,6 +85,22 @@ def turn_spans(template, turns: list[tuple[str, str]], known: int = 0, before: s
         before = now
 
 
+def conversation_spans(template, turns: list[tuple[str, str]], look_back: int | None, step: int) -> list[tuple[str, int, int, bool]]:
+    """The spans of a whole conversation; in runs of ``step`` turns as long as what they join to is what the template renders."""
+    if look_back is None:
+        return list(turn_spans(template, turns))
+    out, joined, check = [], [], step
+    for a in range(0, len(turns), step):
+        context = max(0, a - look_back)
+        out += turn_spans(template, turns[context : a + step], a - context)
+        joined += [piece for piece, *_ in out[len(joined) :]]
+        if len(out) >= check or len(out) == len(turns):
+            if any(rewrites for *_, rewrites in out) or template.render(turns[: len(out)]) != "".join(joined):
+                return list(turn_spans(template, turns))
+            check = 2 * len(out)
+    return out
+
+
 FORMATTED = "conv_id long, seq long, piece string, loss_start long, loss_end long, rewrites boolean"
 
 
@@ -99,39 +115,31 @@ def format_conversations(conversations: DataFrame, template=None, step: int = 16
     turn is flagged, its piece starts at the first change, and it has no loss.
 
     Where the template has a ``look_back``, conversations are rendered in runs
-    of ``step`` turns, each after the ``look_back`` turns before it as context,
-    and a task holds no more than that. Where it has none, every prefix is
-    rendered whole, however long the conversation; a task then holds the turns
-    of one conversation.
+    of ``step`` turns, each after the ``look_back`` turns before it as context.
+    That is not taken on trust: prefixes of doubling length and the whole
+    conversation are rendered as well and held against the joined pieces,
+    which takes as long again as rendering twice. Where they differ, and where a
+    template has no ``look_back``, every prefix is rendered whole. A task holds the turns
+    of one conversation and its pieces.
     """
     template = template or MarkedTurns()
     look_back = getattr(template, "look_back", None)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, turns, seq, done, before = object(), [], 0, 0, None
-        out: list[tuple] = []
+        conv, turns, out = object(), [], []
 
-        def flush():
-            nonlocal done, seq, before, turns
-            for piece, start, end, rewrites in turn_spans(template, turns, done, before):
-                out.append((conv, seq, piece, start, end, rewrites))
-                seq += 1
-            turns = turns[len(turns) - look_back :] if look_back is not None else []
-            done, before = len(turns), None
+        def close() -> None:
+            out.extend((conv, seq, *span) for seq, span in enumerate(conversation_spans(template, turns, look_back, step)))
 
         for batch in batches:
             for c, role, text in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "role", "text"))):
                 if c != conv:
-                    if len(turns) > done:
-                        flush()
-                    conv, turns, seq, done, before = c, [], 0, 0, None
+                    close()
+                    conv, turns = c, []
                 turns.append((role or "", text or ""))
-                if look_back is not None and len(turns) >= look_back + step:
-                    flush()
             yield _batch(out)
             out = []
-        if len(turns) > done:
-            flush()
+        close()
         yield _batch(out)
 
     cols = [F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text"]

@@ -28,8 +28,12 @@ def bounded_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
 
 
 def bounded_sample(df: DataFrame, most: int, *key: str) -> DataFrame:
-    """About ``most`` rows at most, by the hash of their key: the same ones in every run, and from all of the table."""
+    """About ``most`` rows of the whole table, and never more than a quarter over that, by a hash of their key and place: rows with one key are drawn one by one.
+
+    The same rows in every run over the same files.
+    """
     n = df.count()
     if n <= most:
         return df
-    return df.where(F.pmod(F.xxhash64(*key), F.lit(1 << 40)) < int((1 << 40) * most / n))
+    h = F.pmod(F.xxhash64(*key, F.monotonically_increasing_id()), F.lit(1 << 40))
+    return df.withColumn("_drawn", h).where(F.col("_drawn") < int((1 << 40) * most / n)).drop("_drawn").limit(most + most // 4)

@@ -97,7 +97,11 @@ class MultiIndex:
 
 
 def calibrate(classes: DataFrame, index: dict[int, MultiIndex], threshold: float, recall: float, queries: int) -> None:
-    """Set each index's visits: twice the cells after which about ``queries`` vectors, compared with all others, have met the share ``recall`` of their links."""
+    """Set each index's visits: twice the cells after which about ``queries`` vectors, compared with all others, have met the share ``recall`` of their links.
+
+    Where links are rare, the queries meet few of them. So each also gets made partners at the threshold itself, in
+    random directions, and the visits reach all but a thousandth of these from one end or the other.
+    """
     asked: dict[int, list] = {}
     for rep, v in bounded_sample(classes, queries, "h", "rep").select("rep", "v").collect():
         asked.setdefault(len(v), []).append((rep, v))
@@ -127,7 +131,20 @@ def calibrate(classes: DataFrame, index: dict[int, MultiIndex], threshold: float
     for dim, book in index.items():
         found = sorted((rank, n) for d, rank, n in met if d == dim)
         ranks, n = np.array([r for r, _ in found] or [1]), np.cumsum([k for _, k in found] or [1])
-        book.visits = int(min(book.shape[0] * book.shape[1], 2 * ranks[np.searchsorted(n, recall * n[-1])]))
+        least = made_rank(book, known[dim][1], threshold) if dim in known else 1
+        book.visits = int(min(book.shape[0] * book.shape[1], max(least, 2 * ranks[np.searchsorted(n, recall * n[-1])])))
+
+
+def made_rank(book: MultiIndex, queries: np.ndarray, threshold: float, each: int = 4, share: float = 0.999) -> int:
+    """The rank within which the share of made partners lie: vectors whose cosine to a query is the threshold, ``each`` for a query, seen from the end that ranks the other first."""
+    q = np.repeat(queries, each, axis=0)
+    if q.shape[1] < 2 or not len(q):
+        return 1
+    side = np.random.default_rng(len(queries)).standard_normal(q.shape)
+    side -= (side * q).sum(1, keepdims=True) * q
+    p = threshold * q + np.sqrt(1 - threshold**2) * unit_rows(side)
+    ranks = np.minimum(book.ranks(q, book.cells(p)), book.ranks(p, book.cells(q)))
+    return int(np.quantile(ranks, share, method="higher"))
 
 
 def usable(vector: Column) -> Column:
@@ -165,7 +182,7 @@ def embedding_near_duplicates(embeddings: DataFrame, threshold: float = 0.9, cod
     (null component_id, kept). Other columns are ignored. The codebooks come
     from a sample of about ``sample`` vectors; a query goes on to twice the
     cells after which about ``queries`` vectors, compared with all others, have
-    met the share ``recall`` of their links. All vectors are indexed and all are queries.
+    met the share ``recall`` of their links, and far enough for made partners at the threshold. All vectors are indexed and all are queries.
     """
     scratch = Scratch(embeddings.sparkSession, "multiindex")
     spark = embeddings.sparkSession

@@ -20,6 +20,7 @@ from .common import Scratch
 
 TOKENIZER = "byte_bpe_50k"
 END_OF_TEXT = 2
+CACHED_CHARS = 64  # longer chunks are encoded each time, so the cache is bounded in bytes
 
 
 class ChunkEncoder:
@@ -66,7 +67,7 @@ class ChunkEncoder:
             ids = seen.get(key)
             if ids is None:
                 ids = np.array(self.encode(key), "<u4").tobytes()
-                if len(seen) < self.keep:
+                if len(seen) < self.keep and len(key) <= CACHED_CHARS:
                     seen[key] = ids
             out.append(ids)
         return b"".join(out)

@@ -16,6 +16,7 @@ from .common import Scratch, bounded_broadcast, words
 
 VARIABLE = "<*>"
 BROADCAST_ROWS = 1_000_000
+BROADCAST_NUMBERS = 4_000_000
 
 
 def _masked(token: Column) -> Column:
@@ -72,7 +73,8 @@ def drop_recurring_lines(docs: DataFrame, least_docs: int = 10, depth: int = 3,
 
     own = F.col("text").cast("string")
     each = docs.drop("n_lines", "n_removed").withColumns({"_k1": F.xxhash64(own), "_k2": F.xxhash64(F.lit(1), own)})
-    out = each.join(small(found), (F.col("_k1") == F.col("_t1")) & (F.col("_k2") == F.col("_t2")), "left")
+    numbers = found.agg(F.sum(F.size("_dropped") + 4)).first()[0] or 0  # what a row holds, in numbers of 8 bytes at most
+    out = each.join(bounded_broadcast(found, numbers, BROADCAST_NUMBERS), (F.col("_k1") == F.col("_t1")) & (F.col("_k2") == F.col("_t2")), "left")
     out = out.withColumn("_lines", F.split(own, "\n"))
     n_lines = F.coalesce(F.size(F.filter("_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0))
     out = out.withColumn("n_lines", n_lines.cast("long")).withColumn("n_removed", F.coalesce(F.size("_dropped"), F.lit(0)).cast("long"))

@@ -21,6 +21,7 @@ from .common import Scratch, bounded_sample, make_folder
 
 # Fixed values of the formats
 DICTIONARY_MAGIC = 0x184D2A5D
+SAMPLED_BYTES = 1 << 16
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -88,11 +89,11 @@ def write_archives(records: DataFrame, folder: str, scratch: Scratch, file_bytes
     """Write the records into files of about ``file_bytes`` under ``folder``; the manifest (file, n_records, n_bytes).
 
     The dictionary is fitted on about ``sample`` records, picked by their
-    hashes; every record is written. File names carry the task
+    hashes, and on no more than the first 64 KB of each; every record is written whole. File names carry the task
     attempt, so an attempt that was lost leaves files no manifest names.
     """
     target = make_folder(records.sparkSession, folder)
-    picked = bounded_sample(records, sample, "page_id", "sha1").collect()
+    picked = bounded_sample(records, sample, "page_id", "sha1").withColumn("payload", F.substring("payload", 1, SAMPLED_BYTES)).collect()
     dictionary = train_dictionary([record(*x) for x in picked], dictionary_bytes)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

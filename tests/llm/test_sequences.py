@@ -284,3 +284,63 @@ def test_repair_of_nothing_and_of_a_long_conversation(spark):
     long = spark.range(30_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), "id", F.lit(".")).alias("text"))
     found = repair.repair(long.repartition(5)).first()
     assert (found.cost, found.audit, found.n_rows) == (0, "K" * 30_000, 30_000)
+
+
+# ---- what earlier operators were found to lack
+
+
+class Forgetful:
+    """Says that turns stand alone, but drops the oldest ones once there are twenty."""
+
+    look_back = 0
+
+    def render(self, turns):
+        return "".join(f"[{r}|{t}]" for r, t in (turns if len(turns) < 20 else turns[-10:]))
+
+
+class Numbering(Forgetful):
+    """Says that turns stand alone, but numbers them."""
+
+    def render(self, turns):
+        return "".join(f"[{k}{r}|{t}]" for k, (r, t) in enumerate(turns))
+
+
+def test_a_template_is_not_believed():
+    from harrier.llm import chat
+
+    turns = [("assistant" if k % 2 else "user", f"t{k}") for k in range(40)]
+    for template, rewriting in ((Forgetful(), set(range(19, 40))), (Numbering(), set())):
+        spans = chat.conversation_spans(template, turns, template.look_back, 16)
+        assert spans == list(chat.turn_spans(template, turns))
+        assert {k for k, s in enumerate(spans) if s[3]} == rewriting
+    own = chat.MarkedTurns()
+    assert chat.conversation_spans(own, turns, 0, 16) == list(chat.turn_spans(own, turns))
+    assert chat.conversation_spans(own, [], 0, 16) == []
+
+
+def test_samples_are_bounded(spark):
+    from harrier.llm.common import bounded_sample
+
+    same = spark.range(20_000, numPartitions=8).selectExpr("1 k")
+    n = bounded_sample(same, 10_000, "k").count()
+    assert 9000 < n <= 12_500
+    assert bounded_sample(same.limit(50), 100, "k").count() == 50
+
+
+def test_rare_links_are_met(spark):
+    """Links of 30 among 6,000 vectors, so that few of the queries have one."""
+    from harrier.llm import multiindex
+
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pairs = [(k, 5000 + k) for k in range(0, 900, 30)]
+    for a, b in pairs:
+        side = rng.standard_normal(64)
+        side -= side @ x[a] * x[a]
+        x[b] = 0.905 * x[a] + math.sqrt(1 - 0.905**2) * side / np.linalg.norm(side)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = multiindex.embedding_near_duplicates(df, queries=20).where("n_links > 0").collect()
+    assert {r.vec_id for r in found} == {k for p in pairs for k in p}
+    none = multiindex.embedding_near_duplicates(df.limit(0))
+    assert none.count() == 0
