@@ -116,10 +116,22 @@ def capped(df: DataFrame, rows: int = 1000, most: int = 10_000) -> DataFrame:
     return df.limit(min(rows, most))
 
 
-def newest_labelled(scans: DataFrame, tags: list[str], by: str = "host_id", ts: str = "finished_at") -> DataFrame:
-    """The newest scan of each host that carries all tags."""
-    wanted = F.array(*map(F.lit, tags))
-    return dedup(scans.where(F.forall(wanted, lambda t: F.array_contains("tags", t))), by, ts=ts)
+def newest_labelled(scans: DataFrame, tags: list[str], by: str = "host_id", ts: str = "finished_at", labels: dict[str, str] | None = None, first=None, last=None, tie: str | None = None) -> DataFrame:
+    """The newest scan of each host that carries all tags, finished within the bounds (both included), on hosts whose labels (a map column) equal the given ones.
+
+    Of scans of one time the one with the greatest ``tie`` counts, where that is given.
+    """
+    out = scans.where(F.forall(F.array(*map(F.lit, tags)).cast("array<string>"), lambda t: F.array_contains("tags", t)))
+    for key, value in (labels or {}).items():
+        out = out.where(F.coalesce(F.element_at("labels", F.lit(key)) == value, F.lit(False)))
+    for bound, op in ((first, ">="), (last, "<=")):
+        if bound is not None:
+            at = F.lit(bound).cast("timestamp")
+            out = out.where(F.col(ts) >= at if op == ">=" else F.col(ts) <= at)
+    if tie is None:
+        return dedup(out, by, ts=ts)
+    w = Window.partitionBy(by).orderBy(F.col(ts).desc(), F.col(tie).desc())
+    return out.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
 def visualisation(columns: list[str], rows: int) -> str:

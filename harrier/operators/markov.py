@@ -102,14 +102,19 @@ def training_sample(df: DataFrame, n: int, *order: str, newest: bool = False, se
     return df.orderBy(*(F.col(c).desc() if newest else F.col(c) for c in order)).limit(n)
 
 
-def simulate(model: DataFrame, order: int, steps: int, seed: int = 0) -> str:
-    """A seeded walk: each step reads one context's transitions, never the model as a whole."""
+def simulate(model: DataFrame, order: int, steps: int, seed: int = 0, most: int = 2_000_000) -> str:
+    """A seeded walk over a model of at most ``most`` transitions, which is read once."""
     import random
 
+    if (n := model.count()) > most:
+        raise ValueError(f"the model has {n} transitions, over {most}")
+    after: dict[str, tuple[list, list]] = {}
+    for r in model.select("ctx", "nxt", "p").orderBy("ctx", "nxt").collect():
+        to, p = after.setdefault(r.ctx, ([], []))
+        to.append(r.nxt), p.append(r.p)
     rng, out = random.Random(seed), PAD * order
     for _ in range(steps):
-        rows = model.where(F.col("ctx") == out[-order:]).select("nxt", "p").orderBy("nxt").collect()
-        if not rows:
+        if out[-order:] not in after:
             break
-        out += rng.choices([r.nxt for r in rows], [r.p for r in rows])[0]
+        out += rng.choices(*after[out[-order:]])[0]
     return out[order:]

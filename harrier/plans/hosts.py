@@ -117,3 +117,59 @@ def reviews_stamped(t):
     after = rows.withColumn("verdict", F.when(F.col("id") % 40 == 0, "X").otherwise(F.col("verdict")))
     out = triage.stamp_reviews(rows, after, F.lit("2024-02-01").cast("timestamp"))
     return out.select("id", "verdict", F.date_format("reviewed_at", "yyyy-MM-dd").alias("reviewed"))
+
+
+@query("""WITH e AS (SELECT *, 'h' || user_id AS h FROM events)
+SELECT event_id, 'sysmon' AS vendor, h AS machine_id, event_id AS pid, 'x' AS name, '/bin/' || event_type || '.exe' AS path, '--id ' || event_id AS args FROM e WHERE event_id % 3 = 0
+UNION ALL SELECT event_id, 'osquery', h, 0, event_type, '/opt/' || event_type, 'a b' FROM e WHERE event_id % 3 = 1 UNION ALL SELECT event_id, 'command', 'none', event_id, event_type, '/usr/' || event_type, 'x y ' || event_id FROM e WHERE event_id % 3 = 2""")
+def vendor_rows(t):
+    from harrier.sources import vendors
+
+    kind, event = F.col("event_type"), F.col("event_id")
+    host = F.concat(F.lit("h"), "user_id")
+    sysmon = F.struct(host.alias("hostname"), event.alias("ProcessId"), F.lit("").alias("ProcessName"), F.concat(F.lit("/bin/"), kind, F.lit(".exe")).alias("ImagePath"), F.concat(F.lit('"C /x" --id '), event).alias("CommandLine"))
+    osquery = F.struct(host.alias("host"), F.lit("x").alias("pid"), F.concat(F.lit("/opt/"), kind, F.lit(" a b")).alias("cmdline"))
+    plain = F.struct(event.cast("string").alias("process_id"), F.concat(F.lit("/usr/"), kind, F.lit(' "x y" '), event).alias("cmd"))
+    out = []
+    for k, (name, body) in enumerate((("sysmon", sysmon), ("osquery", osquery), ("command", plain))):
+        lines = t("events").where(event % 3 == k).select("event_id", F.to_json(body).alias("line"))
+        rows = vendors.process_rows(lines.select("line", "event_id"), name, "none", keep=("event_id",))
+        out.append(rows.select("event_id", F.lit(name).alias("vendor"), "machine_id", "pid", "name", "path", "args"))
+    return out[0].union(out[1]).union(out[2])
+
+
+@query("""WITH s AS (SELECT o_custkey AS host_id, o_orderkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders JOIN customer ON c_custkey = o_custkey
+WHERE o_orderstatus = 'F' AND c_mktsegment = 'BUILDING' AND o_orderdate BETWEEN TIMESTAMP '1993-01-01' AND TIMESTAMP '1995-06-30') SELECT host_id, o_orderkey FROM s WHERE k = 1""")
+def newest_scans_of_labelled_hosts(t):
+    from harrier.operators import hunt
+
+    scans = t("orders").join(t("customer"), F.col("c_custkey") == F.col("o_custkey"))
+    scans = scans.select(F.col("o_custkey").alias("host_id"), "o_orderkey", F.col("o_orderdate").cast("timestamp").alias("finished_at"), F.array("o_orderstatus", F.lit("all")).alias("tags"), F.create_map(F.lit("segment"), "c_mktsegment").alias("labels"))
+    return hunt.newest_labelled(scans, ["F", "all"], labels={"segment": "BUILDING"}, first="1993-01-01", last="1995-06-30", tie="o_orderkey").select("host_id", "o_orderkey")
+
+
+@query("""WITH b AS (SELECT l_partkey % 50 AS f, l_suppkey AS h, l_returnflag AS u, CASE WHEN l_linestatus = 'O' THEN 'authorized' ELSE 'host' END AS r, l_shipdate AS d, l_orderkey * 10 + l_linenumber AS path FROM lineitem)
+SELECT f, h, u, r, strftime(d, '%Y-%m-%d') AS day, path FROM b QUALIFY row_number() OVER (PARTITION BY f, h, u, r ORDER BY d DESC, path) = 1""")
+def placements_merged(t):
+    from harrier.sources import sinks
+
+    rows = t("lineitem").select((F.col("l_partkey") % 50).cast("string").alias("fingerprint"), F.col("l_suppkey").alias("host_id"), F.col("l_returnflag").alias("username"), F.when(F.col("l_linestatus") == "O", "").otherwise("host").alias("role"), F.col("l_shipdate").alias("seen_at"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("path"))
+    out = sinks.merged_placements(rows.where("path % 2 = 0"), rows.where("path % 2 = 1"))
+    return out.select(F.col("fingerprint").cast("long").alias("f"), F.col("host_id").alias("h"), F.col("username").alias("u"), F.col("role").alias("r"), F.date_format("seen_at", "yyyy-MM-dd").alias("day"), "path")
+
+
+@query("""WITH d AS (SELECT o_orderpriority AS detector, o_custkey % 40 AS reason, CASE o_orderstatus WHEN 'F' THEN 'malicious' WHEN 'O' THEN 'unset' ELSE 'benign' END AS verdict, o_orderdate AS at_, o_orderkey FROM orders),
+n AS (SELECT * FROM d WHERE verdict <> 'unset' AND detector <> '5-LOW' QUALIFY row_number() OVER (PARTITION BY detector, reason ORDER BY at_ DESC, o_orderkey, verdict) = 1)
+SELECT detector, reason, verdict, true AS fresh FROM n UNION ALL SELECT p, r, 'old', false FROM (SELECT DISTINCT o_orderpriority AS p FROM orders), range(45) AS g(r) WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.detector = p AND n.reason = r)""")
+def precedents_merged(t):
+    from harrier.sources import sinks
+
+    orders = t("orders")
+    verdict = F.when(F.col("o_orderstatus") == "F", "malicious").when(F.col("o_orderstatus") == "O", "unset").otherwise("benign")
+    detector = F.when(F.col("o_orderpriority") == "5-LOW", " ").otherwise(F.concat(F.lit(" "), "o_orderpriority"))
+    decisions = orders.select(detector.alias("detector"), (F.col("o_custkey") % 40).alias("reason"), verdict.alias("verdict"), F.col("o_orderdate").cast("timestamp").alias("reviewed_at"), F.col("o_orderkey").alias("machine_id"))
+    known = orders.select(F.col("o_orderpriority").alias("detector")).distinct().withColumn("reason", F.explode(F.sequence(F.lit(0), F.lit(44)).cast("array<bigint>")))
+    nothing = F.lit(None)
+    known = known.select("detector", "reason", F.lit("old").alias("verdict"), nothing.cast("timestamp").alias("reviewed_at"), nothing.cast("long").alias("machine_id"), nothing.cast("timestamp").alias("updated_at"))
+    out = sinks.merged_precedents(known, decisions, F.lit("2024-01-01").cast("timestamp"))
+    return out.select("detector", "reason", "verdict", F.col("updated_at").isNotNull().alias("fresh"))

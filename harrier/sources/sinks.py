@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harrier.operators.triage import latest, route
@@ -30,9 +30,31 @@ def upserted(table: DataFrame, changes: DataFrame, keys: list[str], version: str
 
 
 def merged_keys(known: DataFrame, seen: DataFrame) -> DataFrame:
-    """(fingerprint, last_seen, tags) with the latest time and all tags."""
-    both = known.unionByName(seen).groupBy("fingerprint")
-    return both.agg(F.max("last_seen").alias("last_seen"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"))
+    """(fingerprint, last_seen, tags) with the latest time and all tags, each tag once before and after the shuffle."""
+    both = known.unionByName(seen)
+    tags = both.select("fingerprint", F.explode("tags").alias("t")).groupBy("fingerprint").agg(F.array_sort(F.collect_set("t")).alias("tags"))
+    latest_ = both.groupBy("fingerprint").agg(F.max("last_seen").alias("last_seen"))
+    return latest_.join(tags, "fingerprint", "left").select("fingerprint", "last_seen", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
+
+
+def merged_placements(known: DataFrame, seen: DataFrame) -> DataFrame:
+    """Placements by fingerprint, host_id, username and role (authorized where it is empty): the latest by seen_at replaces the whole row. Rows without a fingerprint are left out."""
+    both = known.unionByName(seen).where(F.trim(F.coalesce("fingerprint", F.lit(""))) != "")
+    both = both.withColumn("role", F.coalesce(F.nullif("role", F.lit("")), F.lit("authorized")))
+    return latest(both, ["fingerprint", "host_id", "username", "role"], "seen_at", "path", deleted=None)
+
+
+def merged_precedents(known: DataFrame, decisions: DataFrame, now: Column) -> DataFrame:
+    """(detector, reason, verdict, reviewed_at, machine_id, updated_at): known precedents, replaced or extended by verdicts that are set.
+
+    decisions: detector, reason, verdict, reviewed_at, machine_id. Of several decisions on one
+    reason the last reviewed counts. Unset verdicts and empty detectors say nothing.
+    """
+    new = decisions.withColumn("detector", F.trim("detector")).where("verdict IS NOT NULL AND verdict <> 'unset' AND detector <> ''")
+    new = latest(new, ["detector", "reason"], "reviewed_at", "machine_id", "verdict", deleted=None).withColumn("updated_at", now)
+    columns = ["detector", "reason", "verdict", "reviewed_at", "machine_id", "updated_at"]
+    old = known.join(new.select("detector", "reason"), ["detector", "reason"], "left_anti")
+    return old.select(*columns).union(new.select(*columns))
 
 
 def without(table: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
