@@ -173,3 +173,16 @@ def precedents_merged(t):
     known = known.select("detector", "reason", F.lit("old").alias("verdict"), nothing.cast("timestamp").alias("reviewed_at"), nothing.cast("long").alias("machine_id"), nothing.cast("timestamp").alias("updated_at"))
     out = sinks.merged_precedents(known, decisions, F.lit("2024-01-01").cast("timestamp"))
     return out.select("detector", "reason", "verdict", F.col("updated_at").isNotNull().alias("fresh"))
+
+
+@query("""WITH f AS (SELECT o_orderkey AS id, o_orderpriority AS detector, o_custkey % 30 AS p, CASE o_orderstatus WHEN 'O' THEN NULL WHEN 'P' THEN 'benign' ELSE 'unset' END AS verdict FROM orders)
+SELECT id, CASE WHEN coalesce(verdict, 'unset') <> 'unset' OR (detector = '2-HIGH' AND p = 3) THEN verdict WHEN p < 20 THEN 'exact' ELSE verdict END AS verdict FROM f""")
+def precedents_applied(t):
+    """Reasons name a process; precedents of a process hold for all reasons that name it."""
+    reason = lambda p, v: F.concat(F.lit("RISK DETECTED: name=p"), p, F.lit(" path=/x/"), v)
+    p = F.col("o_custkey") % 30
+    verdict = F.when(F.col("o_orderstatus") == "P", "benign").when(F.col("o_orderstatus") == "F", "unset")
+    found = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("detector"), reason(p, F.col("o_custkey") % 4).alias("reason"), verdict.alias("verdict"))
+    known = t("orders").where(p < 20).select(F.col("o_orderpriority").alias("detector"), reason(p, F.lit(1)).alias("reason"), F.lit("exact").alias("verdict")).distinct()
+    ignored = found.where((F.col("detector") == "2-HIGH") & F.col("reason").startswith("RISK DETECTED: name=p3 ")).select("detector", "reason")
+    return triage.apply_precedents(found, known, ignored).select("id", "verdict")
