@@ -344,3 +344,56 @@ def test_rare_links_are_met(spark):
     assert {r.vec_id for r in found} == {k for p in pairs for k in p}
     none = multiindex.embedding_near_duplicates(df.limit(0))
     assert none.count() == 0
+
+
+# ---- the pipeline's stages, each against a plain version
+
+
+def test_pipeline_stages_by_value(spark):
+    import brute
+    import corpus_pipeline
+
+    docs = corpus(12, 70)
+    line = "this line stands in many documents 17"
+    for d in range(0, 60, 4):
+        docs[d] = (docs[d] or "") + "\n" + line.replace("17", str(d)) + "\nend of " + str(d)
+    made = spark.createDataFrame([(d, t, "en", f"s{d % 3}" if d % 10 else None, len(t or "")) for d, t in docs.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    lined = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, made, "").collect()}
+    assert lined == {d: x[2] for d, x in brute.template_lines(docs).items()} and any(lined[d] != docs[d] for d in docs)
+    kept = corpus_pipeline.near_dedup(spark, made, "")
+    found = {r.doc_id: (r.text, r.n_chars) for r in kept.collect()}
+    assert found == {d: (docs[d], len(docs[d] or "")) for d, (_, _, k) in brute.near_duplicates(docs, 5).items() if k} and len(found) < len(docs)
+    words = lambda t: brute.WORD.findall((t or "").encode())
+    mixed = corpus_pipeline.source_mixing(spark, kept, "").collect()
+    size, got, parts = {}, {}, {}
+    source = {r.doc_id: r.source for r in kept.collect()}
+    for d, (t, _) in found.items():
+        size[source[d]] = size.get(source[d], 0) + len(words(t))
+    for r in mixed:
+        got[r.source] = got.get(r.source, 0) + len(words(r.text))
+        parts.setdefault(r.doc_id, []).append(words(r.text))
+        assert r.n_chars == len(r.text)
+    for d, copies in parts.items():
+        own = words(found[d][0])
+        assert len(copies) <= 2 and sum(c != own for c in copies) <= 1 and all(c == own[: len(c)] for c in copies)
+    names = [*sorted(s for s in size if s), None]
+    assert abs(sum(got.values()) - 1.5 * sum(size.values())) <= len(names)
+    assert all(got[s] <= 2 * size[s] for s in names)
+    packed = corpus_pipeline.best_fit_packing(spark, kept, "").collect()
+    by_sequence, by_doc = {}, {}
+    for r in packed:
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        by_doc.setdefault(r.doc_id, []).append((r.piece, r.start, r.length))
+    assert set(by_doc) == set(found)
+    for places in by_sequence.values():
+        end = 0
+        for at, n in sorted(places):
+            assert at == end
+            end += n
+        assert end <= 1024
+    for pieces in by_doc.values():
+        end = 0
+        for k, (piece, start, n) in enumerate(sorted(pieces)):
+            assert (piece, start) == (k, end) and (k == 0 or n == 1024)
+            end += n
+    assert len(by_sequence) <= 1.3 * sum(r.length for r in packed) / 1024 + 1
