@@ -33,7 +33,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines whose template recurs."""
+    """Documents without the lines whose template recurs.
+
+    Every row stays, with null or repeated doc_ids too: rows with one text are cleaned alike. A null
+    text stays null, one whose lines all recur becomes empty.
+    """
     cleaned = templates.drop_recurring_lines(docs)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
@@ -51,13 +55,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: texts repeated or cut to meet each source's budget of words."""
+    """The mix: texts repeated or cut to meet each source's budget of words.
+
+    A row's text comes once for each whole epoch and cut once at most; rows of which nothing is taken, such as
+    null and empty texts, are left out. Rows are ordered by a hash of their doc_id, then by text, so ties are
+    equal rows; a null source is a source.
+    """
     mixed = mixing.materialize(mixing.mix_sources(docs), COLUMNS)
     return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their places in sequences of 1024 tokens."""
+    """Token pieces with their places in sequences of 1024 tokens.
+
+    A null or empty text is one piece, its end-of-text id. Rows that repeat are documents of
+    their own, told apart by their places; doc_ids may be null.
+    """
     return packing.pack(packing.tokenize(docs))
 
 
