@@ -69,6 +69,31 @@ def test_repeated_words(spark, docs):
         assert got == want
 
 
+def test_fingerprint_index_opened_again(spark, docs, tmp_path):
+    ids, found = sorted(docs), []
+    root = (tmp_path / "index").as_uri()
+    for at in range(0, len(ids), 14):
+        part = ids[at : at + 14]
+        session = spark.newSession()  # each batch finds the index as the one before left it
+        index = fingerprints.FingerprintIndex(fingerprints.Scratch(session, "again"), root, fan=2)
+        known = anchors.encoded(frame(session, docs)).where(F.col("doc_id") <= part[-1])
+        batch = known.where(F.col("doc_id") >= part[0])
+        found.append(index.add(batch, known))
+        with pytest.raises(ValueError):
+            index.add(batch, known)
+        run = index.run(index.content["runs"][0]["name"])
+        plan = run.join(batch.selectExpr("doc_id AS a").hint("merge"), "a", "left_semi")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan  # only the batch is shuffled
+        index.close()
+    assert len(found) == 5 and len(index.content["runs"]) == 2  # five runs: one of four, one of one
+    spans = [r for df in found for r in anchors.merged(df, 50).collect()]
+    got = {r.doc: sum(y - x for x, y in zip(r.spans[::2], r.spans[1::2])) for r in spans}
+    assert got == {d: v[1] for d, v in brute.repeated_words(docs).items() if v[1]}
+    with pytest.raises(ValueError):
+        fingerprints.FingerprintIndex(fingerprints.Scratch(spark, "again"), root, window=40)
+
+
+
 def test_no_rows_and_no_ids(spark):
     none = frame(spark, {}, extra=False)
     odd = spark.createDataFrame([(None, "x " * 200, None, None, None), (None, None, None, None, None), (1, "x " * 200, None, None, None)], DOCS)
