@@ -217,8 +217,8 @@ def process_outliers(profile: DataFrame, eps: float = 0.35, least: int = 2) -> D
 # -- files
 
 
-def median_outliers(files: DataFrame, host: str, path: str, mtime: str, least_hosts: int = 3, hours: int = 24) -> DataFrame:
-    """Rows whose time is more than so many whole hours from the path's upper median over at least three hosts. files: one row per host and path."""
+def median_outliers(files: DataFrame, host: str, path: str, mtime: str, least_hosts: int = 3, hours: int = 24, signed: bool = False) -> DataFrame:
+    """Rows whose time is more than so many whole hours from the path's upper median over at least three hosts. files: one row per host and path. Signed hours are below 0 for older files."""
     rows = files.withColumn("_t", F.unix_seconds(F.col(mtime).cast("timestamp")))
     # counts of equal times first: a path that all hosts have sends a row for each time, not for each host, through its window
     times = rows.where("_t IS NOT NULL").groupBy(F.col(path).alias("_p"), F.col("_t").alias("_median")).agg(F.count("*").alias("_c"))
@@ -228,7 +228,9 @@ def median_outliers(files: DataFrame, host: str, path: str, mtime: str, least_ho
     medians = ranked.where((F.col("_n") >= least_hosts) & (F.col("_to") > middle) & (F.col("_to") - F.col("_c") <= middle)).select("_p", "_median")
     apart = F.floor(F.abs(F.col("_t") - F.col("_median")) / 3600)
     out = rows.join(medians, F.col(path) == F.col("_p")).withColumn("hours_apart", apart.cast("long"))
-    return out.where(F.col("hours_apart") > hours).select(*files.columns, "hours_apart")
+    out = out.where(F.col("hours_apart") > hours)
+    out = out.withColumn("hours_apart", F.col("hours_apart") * F.signum(F.col("_t") - F.col("_median")).cast("long")) if signed else out
+    return out.select(*files.columns, "hours_apart")
 
 
 def majority_outliers(files: DataFrame, host: str, path: str, value: str, least_hosts: int = 3, least_votes: int = 2) -> DataFrame:
