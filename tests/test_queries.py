@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from harrier.plans import hosts, more, registry, tables, telemetry  # noqa: F401 - the others add their queries to the registry
+from harrier.plans import fleets, hosts, more, registry, tables, telemetry  # noqa: F401 - the others add their queries to the registry
 
 TABLES = "/root/testdata/sf0.001"
 
