@@ -14,13 +14,15 @@ from .registry import query
 
 
 def _indexed(rows, column: str, parts: int = 16) -> TokenIndex:
-    """An index over the rows, written as ``parts`` files by ranges of the id; half of the files come after the first indexing."""
+    """An index over the rows, written as ``parts`` files by ranges of the id; half of the files come after the first indexing.
+
+    Which rows come late is told by the id's hash: ranges are drawn anew by each job, so their numbers don't part rows.
+    """
     spark, key = rows.sparkSession, rows.columns[0]
     root = Scratch(spark, "indexed").root
-    ranged = rows.repartitionByRange(parts, key).withColumn("_late", F.spark_partition_id() % 2)
     index = TokenIndex(spark, f"{root}/table", column, f"{root}/index", buckets=8)
     for late in (0, 1):
-        ranged.where(F.col("_late") == late).drop("_late").write.mode("append").parquet(f"{root}/table")
+        rows.where(F.pmod(F.xxhash64(key), F.lit(2)) == late).repartitionByRange(parts // 2, key).write.mode("append").parquet(f"{root}/table")
         index.refresh()
     return index
 

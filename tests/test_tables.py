@@ -9,6 +9,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from harrier.functions import predicates as P
+from harrier.plans.tables import _indexed
 from harrier.sources.snapshots import Conflict, Snapshots
 from harrier.sources.token_index import TokenIndex
 from harrier.sources.versioned import VersionedTable
@@ -57,6 +58,20 @@ def test_token_index(spark, tmp_path):
     assert index.files("alpha", most=3) is None  # too many to name
 
 
+def test_an_indexed_table_holds_each_row_once(spark):
+    """Also where each job draws other ranges, as it does once a partition has more rows than the sample takes."""
+    size = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "2")
+    try:
+        data = spark.range(4000).selectExpr("CASE WHEN id % 500 = 7 THEN NULL ELSE id END AS id", "concat('word', id % 3, ' ', id) AS text")
+        index = _indexed(data, "text")
+        assert rows(spark.read.parquet(index.table)) == rows(data)
+        assert rows(index.search("word1")) == rows(data.where("text LIKE 'word1 %'"))
+    finally:
+        spark.conf.set(size, before)
+
+
 def model_of(log, first_day=""):
     """{key: row} by a plain reading of the log of (seq, deleted, row)."""
     best = {}
