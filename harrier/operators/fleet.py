@@ -44,10 +44,14 @@ def document_frequency(profile: DataFrame, host: str, *sig: str) -> DataFrame:
 
 
 def tf_idf(counts: DataFrame, host: str, sig: str, n: str = "n", normalize: bool = True) -> DataFrame:
-    """(host, sig, w): n / host total times ln(N / df) + 1, over the host's length if asked. counts: one row per host and signature."""
+    """(host, sig, w): n / host total times ln(N / df) + 1, over the host's length if asked. counts: one row per host and signature.
+
+    Sums run in the order of the signatures, so hosts with the same counts have the same weights to the last bit,
+    whatever order their rows come in: what compares vectors can take such hosts as one.
+    """
     hosts = counts.select(F.count_distinct(host).alias("_hosts"))
     df = counts.groupBy(sig).agg(F.count("*").alias("_df"))
-    w = Window.partitionBy(host)
+    w = Window.partitionBy(host).orderBy(sig).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     out = counts.withColumn("_tf", F.col(n) / F.sum(n).over(w)).join(df, sig).crossJoin(F.broadcast(hosts))  # one row
     out = out.withColumn("w", F.col("_tf") * (F.log(F.col("_hosts") / F.col("_df")) + 1))
     if normalize:

@@ -1,6 +1,7 @@
 import math
 
 from conftest import rows
+from pyspark.sql import functions as F
 
 from harrier.operators import correlate, fleet, markov, triage
 from harrier.sources import readers
@@ -42,6 +43,18 @@ def test_dbscan_against_brute_force(spark):
     assert dict(rows(fleet.dbscan(w, "h", "s", 0.7))) == {h: label.get(h) for h in hosts}
 
 
+def test_equal_counts_give_equal_weights(spark):
+    """Whatever order the rows come in: copies of a host are one place for dbscan, which compares places pair by pair."""
+    import random
+
+    rng = random.Random(5)
+    hosts = [[(f"s{j:02d}", rng.randint(1, 9)) for j in rng.sample(range(60), 30)] for _ in range(20)]
+    data = [(f"h{i:02d}-{k}", s, n) for i, host in enumerate(hosts) for k in range(8) for s, n in rng.sample(host, len(host))]
+    w = fleet.tf_idf(spark.createDataFrame(data, "h string, s string, n long").repartition(16), "h", "s")
+    vectors = w.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("s", "w"))).alias("v"))
+    assert vectors.select("v").distinct().count() == len(hosts)
+
+
 def test_metadata_off_the_fleet(spark):
     data = [(f"h{i}", "/etc/passwd", "2024-01-0%d 00:00:00" % (1 if i < 5 else 9), "root" if i else "bob") for i in range(6)]
     f = spark.createDataFrame(data, "h string, p string, m string, o string").selectExpr("h", "p", "to_timestamp(m) m", "o")
