@@ -65,15 +65,21 @@ def table_merged_on_read(t):
 @query("""SELECT user_id AS scan, count(*) + 2 AS told, count(*) FILTER (event_id % 50 <> 49) AS observations, count(*) FILTER (event_id % 50 = 49) AS errors, 'complete' AS outcome,
 count(*) FILTER (event_id % 50 <> 49 AND event_type = 'click') AS clicks, sum(event_id) FILTER (event_id % 50 <> 49) AS pids FROM events GROUP BY 1""")
 def scan_files(t):
-    """A file of envelopes for each user, with lines that are too long, read back by the bounded reader."""
+    """A compressed file of envelopes for each user, with lines that are too long, read back by the bounded reader.
+
+    Lines that are too long are made where they are written, so they pass no shuffle and no sort. The number
+    of partitions is given: by what is shuffled, few would do, but each file takes its time.
+    """
     events = t("events")
     root = make_folder(events.sparkSession, Scratch(events.sparkSession, "scans").root)
     seen = F.to_json(F.struct(F.lit("obs").alias("kind"), F.col("event_type").alias("c"), F.lit(0).alias("n"), F.struct(F.lit("process").alias("t"), F.col("event_id").alias("pid"), F.col("event_type").alias("comm")).alias("d")))
-    lines = events.select("user_id", F.lit(1).alias("place"), F.when(F.col("event_id") % 50 == 49, F.repeat(F.lit("x"), 300_000)).otherwise(seen).alias("line"))
+    lines = events.select("user_id", F.lit(1).alias("place"), F.when(~F.coalesce(F.col("event_id") % 50 == 49, F.lit(False)), seen).alias("line"))
     first = events.select("user_id", F.lit(0).alias("place"), F.lit('{"kind": "hello", "schema": 1, "arch": "x86_64"}').alias("line")).distinct()
     last = events.groupBy("user_id").agg(F.lit(2).alias("place"), F.concat(F.lit('{"kind": "summary", "outcome": "complete", "observation_count": '), F.count("*") + 2, F.lit("}")).alias("line"))
-    whole = lines.unionByName(first).unionByName(last).repartition("user_id").sortWithinPartitions("user_id", "place")
-    whole.select("user_id", "line").write.partitionBy("user_id").text(f"{root}/scans")
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = lines.unionByName(first).unionByName(last).repartition(parts, "user_id").sortWithinPartitions("user_id", "place")
+    written = whole.select("user_id", F.coalesce("line", F.repeat(F.lit("x"), 300_000)).alias("line"))
+    written.write.partitionBy("user_id").text(f"{root}/scans", compression="gzip")
     found = envelopes.read_envelopes(events.sparkSession, f"{root}/scans", envelopes.Limits(bytes=1 << 40))
     user = F.regexp_extract("file", r"user_id=(\d+)", 1).cast("long").alias("scan")
     observed = envelopes.observation_lines(found).groupBy(user).agg(F.count_if(F.col("collector") == "click").alias("clicks"), F.sum(F.get_json_object("line", "$.pid").cast("long")).alias("pids"))

@@ -19,8 +19,11 @@ NAME = "bounded_lines"
 SCHEMA = "file string, at long, line string, error string"
 # The bounds of a scan's file
 MOST_LINE, MOST_LINES, MOST_BYTES = 256 * 1024, 2_000_000, 64 * 1024 * 1024
-TOO_LONG, TOO_MANY, TOO_LARGE = "line too long", "max lines exceeded", "max bytes exceeded"
+TOO_LONG, TOO_MANY, TOO_LARGE, BROKEN = "line too long", "max lines exceeded", "max bytes exceeded", "compressed data broken"
 CHUNK = 1 << 20
+COMPRESSED = (".gz", ".bz2", ".zst")
+# Files share a task up to so many bytes, where opening one counts as OPEN
+PACK, OPEN = 64 << 20, 1 << 20
 
 
 @dataclass
@@ -73,7 +76,7 @@ def _ended(start: int, held: bytes, skipping: bool):
 
 
 @dataclass
-class Piece(InputPartition):
+class Piece:
     """Bytes ``begin`` up to ``end`` of a file; end -1: all there is."""
 
     file: str
@@ -81,6 +84,25 @@ class Piece(InputPartition):
     end: int = -1
 
 
+@dataclass
+class Pack(InputPartition):
+    """Pieces that one task reads."""
+
+    pieces: list[Piece]
+
+
+def _packed(sized: list[tuple[Piece, int]]) -> list[Pack]:
+    """The pieces, each with its bytes, in order, as packs."""
+    packs, room = [], 0
+    for piece, size in sized:
+        if size + OPEN > room:
+            packs.append(Pack([]))
+            room = PACK
+        packs[-1].pieces.append(piece)
+        room -= size + OPEN
+    return packs
+
+
 class _Files:
     def __init__(self, options: dict):
         self.path, self.limits = options["path"], Limits.of(options)
@@ -94,23 +116,35 @@ class _Files:
         hidden = lambda p: any(x.startswith(("_", ".")) for x in p.removeprefix(path).split("/"))
         return {f.path: f.size for f in found if f.type == fs.FileType.File and not hidden(f.path)}
 
-    def read(self, piece: Piece | None) -> Iterator[tuple]:
+    def read(self, pack: Pack | None) -> Iterator[tuple]:
         from pyarrow import fs
 
-        if piece is None:  # what Spark reads where there are no files
+        if pack is None:  # what Spark reads where there are no files
             return
         system, _ = fs.FileSystem.from_uri(self.path)
+        for piece in pack.pieces:
+            at = piece.begin
+            try:
+                for at, line, error in bounded(self._chunks(system, piece), self.limits, piece.begin):
+                    yield piece.file, at, None if line is None else line.decode("utf-8", "replace"), error
+            except OSError:
+                if not piece.file.endswith(COMPRESSED):
+                    raise
+                yield piece.file, at, None, BROKEN
+
+    @staticmethod
+    def _chunks(system, piece: Piece) -> Iterator[bytes]:
+        if piece.file.endswith(COMPRESSED):
+            with system.open_input_stream(piece.file) as f:  # decompresses by the name's end
+                while part := f.read(CHUNK):
+                    yield part
+            return
         with system.open_input_file(piece.file) as f:
             f.seek(piece.begin)
-
-            def chunks():
-                at = piece.begin
-                while part := f.read(CHUNK if piece.end < 0 else min(CHUNK, piece.end - at)):
-                    at += len(part)
-                    yield part
-
-            for at, line, error in bounded(chunks(), self.limits, piece.begin):
-                yield piece.file, at, None if line is None else line.decode("utf-8", "replace"), error
+            at = piece.begin
+            while part := f.read(CHUNK if piece.end < 0 else min(CHUNK, piece.end - at)):
+                at += len(part)
+                yield part
 
 
 class _Reader(DataSourceReader):
@@ -118,14 +152,14 @@ class _Reader(DataSourceReader):
         self.files = _Files(options)
 
     def partitions(self):
-        return [Piece(f) for f in sorted(self.files.sizes())]
+        return _packed([(Piece(f), size) for f, size in sorted(self.files.sizes().items())])
 
     def read(self, partition):
         yield from self.files.read(partition)
 
 
 class _StreamReader(DataSourceStreamReader):
-    """An offset is how far each file has been read: after a line feed, so that a line still being written waits for its end."""
+    """An offset is how far each file has been read: after a line feed, so that a line still being written waits for its end. Compressed files are read once and whole."""
 
     def __init__(self, options: dict):
         self.files = _Files(options)
@@ -145,12 +179,17 @@ class _StreamReader(DataSourceStreamReader):
     def latestOffset(self, *_):
         out = {}
         for file, size in self.files.sizes().items():
+            if file.endswith(COMPRESSED):
+                out[file] = size
+                continue
             end = self._last_line_end(file, size)
             out[file] = end if end > max(0, size - self.files.limits.line - 1) or end == size else 0
         return out
 
     def partitions(self, start, end):
-        return [Piece(f, start.get(f, 0), to) for f, to in sorted(end.items()) if to > start.get(f, 0)]
+        whole = lambda f: f.endswith(COMPRESSED)
+        new = [(f, start.get(f, 0), to) for f, to in sorted(end.items()) if to > start.get(f, 0) and not (whole(f) and f in start)]
+        return _packed([(Piece(f) if whole(f) else Piece(f, begin, to), to - begin) for f, begin, to in new])
 
     def read(self, partition):
         yield from self.files.read(partition)
@@ -160,13 +199,15 @@ class _StreamReader(DataSourceStreamReader):
 
 
 class BoundedLines(DataSource):
-    """``spark.read.format("bounded_lines").load(path)``: file, at (the line's first byte), line, error; one task a file.
+    """``spark.read.format("bounded_lines").load(path)``: file, at (the line's first byte), line, error; small files share a task, none is split.
 
     Options maxLine (262,144 bytes), maxLines (2,000,000) and maxBytes (67,108,864) bound
     a file. An overlong line is a row with an error and no line; beyond the other bounds one
     row tells so and the file ends. Empty lines are skipped, bytes that aren't
-    UTF-8 are replaced. As a stream, files may grow; a line counts once its line feed is there, a line
-    that is longer than the bound once another line follows, and maxLines counts within a micro-batch.
+    UTF-8 are replaced. Files named .gz, .bz2 or .zst are decompressed chunk by chunk, and bounds and places
+    are those of the text; where such data is broken, a row tells so and the file ends. As a stream, files may grow; a line counts once its line feed is there, a line
+    that is longer than the bound once another line follows, and maxLines counts within a micro-batch;
+    compressed files must be put there whole.
     Paths are those that pyarrow opens.
     """
 

@@ -1,9 +1,14 @@
+import gzip
 import json
+import os
 import tracemalloc
+from pathlib import Path
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from harrier.plans import registry, tables  # noqa: F401 - the latter adds its queries
 from harrier.sources import envelopes as E
 from harrier.sources import observations as O
 
@@ -38,6 +43,7 @@ def test_a_line_of_a_gigabyte():
     assert peak < 4 * E.CHUNK
 
 
+SMALL = "/root/testdata/sf0.001"
 SCAN = [
     {"kind": "hello", "schema": 3, "arch": "x86_64", "caps": {"statx": True, "cgroup_v2": False}},
     {"kind": "obs", "c": "process.inventory", "n": 0, "d": {"t": "process", "pid": 7, "exe": {"s": "/tmp/x"}, "comm": "x"}},
@@ -64,6 +70,45 @@ def test_envelopes(spark, tmp_path):
     assert E.read_envelopes(spark, (tmp_path / "nothing").as_uri()).count() == 0
 
 
+def test_compressed_files(spark, tmp_path):
+    text = "\n".join(map(json.dumps, SCAN)) + "\n" + "y" * 400_000 + "\n" + json.dumps(SCAN[1]) + "\n"
+    for kind in ("plain", "gz", "broken", "stream"):
+        (tmp_path / kind).mkdir()
+    (tmp_path / "plain/a").write_text(text)
+    (tmp_path / "gz/a.gz").write_bytes(gzip.compress(text[:700].encode()) + gzip.compress(text[700:].encode()))
+    (tmp_path / "broken/a.gz").write_bytes(gzip.compress(text.encode())[:-30])
+    (tmp_path / "broken/b.gz").write_text("no gzip")
+    read = lambda kind: E.read_envelopes(spark, (tmp_path / kind).as_uri()).select("at", "kind", F.to_json("v"), "error")
+    assert rows(read("gz")) == rows(read("plain")) and len(rows(read("gz"))) == len(SCAN) + 2
+    assert [r[0] for r in rows(read("broken").where(F.col("error") == E.BROKEN).select("kind"))] == ["error", "error"]
+    found = E.stream_envelopes(spark, (tmp_path / "stream").as_uri()).select("at", "kind", F.to_json("v"), "error")
+    q = found.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).start(str(tmp_path / "out"))
+    for name, kind in (("a.gz", "gz/a.gz"), ("b", "plain/a")):
+        (tmp_path / "stream" / name).write_bytes((tmp_path / kind).read_bytes())
+        q.processAllAvailable()
+    q.stop()
+    assert rows(spark.read.parquet(str(tmp_path / "out"))) == sorted(rows(read("plain")) * 2)
+
+
+def test_small_files_share_a_task(spark, tmp_path):
+    for k in range(300):
+        (tmp_path / f"{k}.ndjson").write_text(json.dumps(SCAN[1] | {"n": k}) + "\n")
+    found = E.observation_lines(E.read_envelopes(spark, tmp_path.as_uri()))
+    assert found.rdd.getNumPartitions() == 5
+    assert rows(found.select("n")) == [(k,) for k in range(300)]
+
+
+def test_scan_files_take_little_disk(spark):
+    """Lines that are too long are neither shuffled nor kept at their length."""
+    if not os.path.isdir(SMALL):
+        pytest.skip("no tables")
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.glob("harrier-scans-*"))
+    told = registry.QUERIES["scan_files"](spark, SMALL).agg(F.sum("errors")).first()[0]
+    (made,) = set(shared.glob("harrier-scans-*")) - before
+    assert told > 5 and sum(f.stat().st_size for f in made.rglob("*") if f.is_file()) < told * 300_000 / 10
+
+
 def test_a_stream_of_growing_files(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
