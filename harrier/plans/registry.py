@@ -271,7 +271,10 @@ _FILES = "SELECT l_suppkey AS machine, l_partkey AS path, max(l_shipdate) AS mti
 
 
 def _files(t):
-    return t("lineitem").groupBy(F.col("l_suppkey").alias("machine"), F.col("l_partkey").alias("path")).agg(F.max("l_shipdate").alias("mtime"), F.max("l_returnflag").alias("owner"), F.max("l_quantity").alias("size"))
+    """Parted by path in a given number, which later steps keep: adaptive execution would merge what is small when shuffled but large in the groups of a task."""
+    rows = t("lineitem").select("l_suppkey", "l_partkey", "l_shipdate", "l_returnflag", "l_quantity")
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "l_partkey")
+    return rows.groupBy(F.col("l_suppkey").alias("machine"), F.col("l_partkey").alias("path")).agg(F.max("l_shipdate").alias("mtime"), F.max("l_returnflag").alias("owner"), F.max("l_quantity").alias("size"))
 
 
 @query(f"""WITH f AS ({_FILES}), r AS (SELECT *, epoch(mtime) AS s, count(*) OVER (PARTITION BY path) AS n, row_number() OVER (PARTITION BY path ORDER BY mtime) AS k FROM f),

@@ -166,3 +166,13 @@ def test_pairs_of_a_uniform_fleet(spark, monkeypatch):
         found = fleet.dbscan(data, "h", "s", 0.35)
         assert rows(found.select("cluster").distinct()) == [(0,)] and found.count() == n
     assert compared == [0, 0]
+
+
+def test_files_are_parted_once_by_path(spark):
+    """Groups of host and path, and windows over a path, run in the partitions of one shuffle, which aren't merged."""
+    from harrier.plans import registry
+
+    found = registry.QUERIES["fleet_boolean_minority"](spark, "/root/testdata/sf0.001")
+    found.collect()
+    plan = found._jdf.queryExecution().toString().split("== Physical Plan ==")[1].split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
