@@ -44,13 +44,19 @@ def key_rollup(p: DataFrame, by: str) -> DataFrame:
 
 
 def key_graph(p: DataFrame, top: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of reused and weak keys and the ``top`` keys with the most hosts: key, host and user nodes."""
-    per = p.groupBy("fingerprint").agg(F.count_distinct("host_id").alias("h"), F.max(S.weak_key(F.col("key_type"), F.col("bits"))).alias("weak"))
+    """(nodes, edges) of reused and weak keys and the ``top`` keys with the most hosts: key, host and user nodes.
+
+    Repeated placements go while they are ids, before names are made, in a given number of partitions: adaptive
+    execution would merge what is small when shuffled but large in the groups of a task. Ids are strings or whole numbers.
+    """
+    parts = int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    on = p.select("fingerprint", "host_id", S.weak_key(F.col("key_type"), F.col("bits")).alias("weak")).repartition(parts, "fingerprint", "host_id").groupBy("fingerprint", "host_id").agg(F.max("weak").alias("weak"))
+    of = p.select("fingerprint", "username").distinct()
+    per = on.groupBy("fingerprint").agg(F.count("host_id").alias("h"), F.max("weak").alias("weak"))
     focus = per.where("h >= 2 OR weak").select("fingerprint").union(per.orderBy(F.col("h").desc(), "fingerprint").limit(top).select("fingerprint")).distinct()
-    shown = p.join(focus, "fingerprint", "left_semi")
     name = lambda kind, c: F.concat(F.lit(kind + ":"), F.col(c).cast("string"))
-    edges = shown.select(name("key", "fingerprint").alias("source"), name("host", "host_id").alias("target"), F.lit("on").alias("kind"))
-    edges = edges.union(shown.select(name("key", "fingerprint"), name("user", "username"), F.lit("of"))).distinct()
+    edge = lambda rows, kind, c, how: rows.join(focus, "fingerprint", "left_semi").select(name("key", "fingerprint").alias("source"), name(kind, c).alias("target"), F.lit(how).alias("kind"))
+    edges = edge(on, "host", "host_id", "on").union(edge(of, "user", "username", "of"))
     nodes = edges.select(F.col("source").alias("id")).union(edges.select("target")).distinct()
     return nodes.withColumn("kind", F.substring_index("id", ":", 1)), edges
 

@@ -176,3 +176,11 @@ def test_files_are_parted_once_by_path(spark):
     found.collect()
     plan = found._jdf.queryExecution().toString().split("== Physical Plan ==")[1].split("== Initial Plan ==")[0]
     assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
+
+
+def test_key_graph_drops_repeats_before_naming(spark):
+    p = spark.createDataFrame([(1, 5, "u", "ssh-ed25519", 256)] * 3 + [(1, 6, "u", "ssh-ed25519", 256), (1, None, None, None, None), (2, 5, "v", "ssh-rsa", 1024), (3, 5, "w", "ssh-ed25519", 256), (None, 5, "w", "ssh-rsa", 1024)], "fingerprint long, host_id long, username string, key_type string, bits int")
+    edges = correlate.key_graph(p, top=1)[1]
+    want = [("key:1", None, "of"), ("key:1", None, "on"), ("key:1", "host:5", "on"), ("key:1", "host:6", "on"), ("key:1", "user:u", "of"), ("key:2", "host:5", "on"), ("key:2", "user:v", "of")]
+    assert rows(edges) == sorted(want, key=lambda r: (r[0], r[1] or "", r[2]))
+    assert "Aggregate [source" not in edges._jdf.queryExecution().optimizedPlan().toString()
