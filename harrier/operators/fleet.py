@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrier.functions import scalars as S
+from harrier.operators import blocks
 from harrier.operators.components import connected_components
 from harrier.storage import Scratch
 
@@ -47,13 +51,14 @@ def tf_idf(counts: DataFrame, host: str, sig: str, n: str = "n", normalize: bool
     """(host, sig, w): n / host total times ln(N / df) + 1, over the host's length if asked. counts: one row per host and signature.
 
     Sums run in the order of the signatures, so hosts with the same counts have the same weights to the last bit,
-    whatever order their rows come in: what compares vectors can take such hosts as one.
+    whatever order their rows come in: what compares vectors can take such hosts as one. The counts are read three times, so they are written first.
     """
+    counts = Scratch(counts.sparkSession, "tf-idf").save(counts.select(host, sig, n))
     hosts = counts.select(F.count_distinct(host).alias("_hosts"))
     df = counts.groupBy(sig).agg(F.count("*").alias("_df"))
     w = Window.partitionBy(host).orderBy(sig).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = counts.withColumn("_tf", F.col(n) / F.sum(n).over(w)).join(df, sig).crossJoin(F.broadcast(hosts))  # one row
-    out = out.withColumn("w", F.col("_tf") * (F.log(F.col("_hosts") / F.col("_df")) + 1))
+    out = counts.join(df, sig).crossJoin(F.broadcast(hosts))  # one row
+    out = out.withColumn("w", F.col(n) / F.sum(n).over(w) * (F.log(F.col("_hosts") / F.col("_df")) + 1))
     if normalize:
         out = out.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(w)))
     return out.select(host, sig, "w")
@@ -85,15 +90,21 @@ def dbscan(weights: DataFrame, host: str, sig: str, eps: float = 0.35, least: in
     Dense fleets are covered by balls first, whose hosts are known to be core hosts of one
     cluster: no two of them are joined. Hosts outside are joined with all, hosts of
     different balls only where a centre's distance allows a neighbour.
+
+    Where many hosts meet at one signature, not they are joined but the blocks that they are dealt to,
+    and two blocks are compared as matrices: of hosts that all resemble each other a little, that is every
+    pair, a product of a few numbers each. Only counts and a forest of the links leave a pair of blocks.
+    Signatures are told apart by a 64-bit hash, a host's are held as one array.
     """
     scratch = Scratch(weights.sparkSession, "dbscan")
-    v = scratch.save(weights.select(F.col(host).alias("h"), F.col(sig).alias("s"), F.col("w").cast("double").alias("w")))
-    mark = lambda k: F.when(F.col("w") != 0, F.xxhash64(F.lit(k), "s", "w"))
-    total = F.coalesce(F.sum(mark(1).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
-    hosts = scratch.save(v.groupBy("h").agg(total.alias("k1"), F.coalesce(F.bit_xor(mark(2)), F.lit(0)).alias("k2")))
-    places = scratch.save(hosts.groupBy("k1", "k2").agg(F.min("h").alias("rep"), F.count("*").alias("copies")))
-    v = scratch.save(v.where("w <> 0").join(places.select(F.col("rep").alias("h")), "h", "left_semi"))
-    norm = v.groupBy("h").agg(F.sum(F.col("w") * F.col("w")).alias("q"))
+    v = weights.select(F.col(host).alias("h"), F.when(F.col(sig).isNotNull(), F.xxhash64(sig)).alias("s"), F.col("w").cast("double").alias("w"))
+    hosts = v.groupBy("h").agg(F.array_sort(F.collect_list(F.when(F.col("w") != 0, F.struct("s", "w")))).alias("v"))
+    hosts = scratch.save(hosts.select("h", "v", F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(1), "v").alias("k2")), "hosts")
+    places = scratch.save(hosts.groupBy("k1", "k2").agg(F.min("h").alias("rep"), F.count("*").alias("copies")), "places")
+    q = F.aggregate("v", F.lit(0.0), lambda q, x: q + x["w"] * x["w"])
+    vectors = hosts.where(F.size("v") > 0).join(places.select(F.col("rep").alias("h"), "copies"), "h")
+    vectors = scratch.save(vectors.select("h", F.filter("v", lambda x: x["s"].isNotNull()).alias("v"), q.alias("q"), "copies"), "vectors")
+    v, norm = vectors.select("h", F.inline("v")), vectors.select("h", "q")
 
     balls = scratch.save(_cover(v, norm, eps, least, places, scratch))
     dense = scratch.save(_joined_balls(v, norm, balls, eps, scratch))
@@ -102,21 +113,33 @@ def dbscan(weights: DataFrame, host: str, sig: str, eps: float = 0.35, least: in
     before = F.coalesce(F.sum(F.col("w") * F.col("w")).over(by_rarity), F.lit(0.0))
     rare = v.join(v.groupBy("s").agg(F.count("*").alias("df")), "s").withColumn("before", before)
     rare = rare.where(F.col("before") <= eps * eps + 1e-9).select("h", "s").join(dense, "h", "left")
-    rare = scratch.save(rare)
-    loose, bound = rare.where("part IS NULL").select("s", F.col("h").alias("a")), rare.where("part IS NOT NULL")
-    met = loose.join(rare.select("s", F.col("h").alias("b"), "part"), "s").where("part IS NOT NULL OR a < b").select("a", "b")
-    # of two parts only the hosts meet that are close enough to a centre of the other one to have a neighbour there
-    reach = bound.select("h", "s", "part", F.explode("others").alias("other"))
-    mine = reach.select(F.col("h").alias("a"), "s", F.col("part").alias("p"), F.col("other").alias("o")).where("p < o")
-    theirs = reach.select(F.col("h").alias("b"), "s", F.col("other").alias("p"), F.col("part").alias("o"))
-    met = scratch.save(met.union(mine.join(theirs, ["s", "p", "o"]).select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    close = scratch.save(_within(met, v, norm, eps * eps + 1e-12).select("a", "b"))
+    grid = scratch.save(_grid(vectors, dense), "grid")
+    few = (grid.agg(F.sum("hosts")).first()[0] or 0) <= FEW
+    rare = rare.join(F.broadcast(grid.withColumnRenamed("part", "_part")), F.col("part").eqNullSafe(F.col("_part")))  # a row a part
+    place = F.least(F.col("n") - 1, F.floor(F.col("first") + F.col("share") * F.pmod(F.xxhash64("h"), F.lit(1 << 30)) / (1 << 30)))
+    rare = scratch.save(rare.select("h", "s", "part", "others", F.when(F.col("part").isNull(), -1 - place).otherwise(place).alias("block")), "rare")
+
+    meeting = rare.groupBy("s").agg(F.count("*").alias("hosts"))
+    crowded = rare if few else rare.join(meeting.where(F.col("hosts") > CROWD), "s", "left_semi")
+    met = scratch.save(_met(crowded, "block"), "met")
+    dealt = crowded.select("h", "block", F.col("part").isNotNull().alias("sure")).distinct()
+    found = scratch.save(_within(met, vectors.join(dealt, "h"), eps * eps + 1e-12, least), "found")
+    close, counts = found.where("b IS NOT NULL").select("a", "b"), found.where("b IS NULL").select(F.col("a").alias("rep"), "near")
+    if not few:
+        thin = _met(rare.join(meeting.where(F.col("hosts") <= CROWD), "s", "left_semi"), "h").where("a <> b")
+        at = lambda c: dealt.select(F.col("h").alias(c), F.col("block").alias(f"{c}_"))
+        # what blocks compare is counted there; hosts that no crowd holds are in none
+        done = met.select(F.col("a").alias("x"), F.col("b").alias("y"))
+        thin = thin.join(at("a"), "a", "left").join(at("b"), "b", "left").withColumns({"x": F.when(F.col("b_").isNotNull(), F.least("a_", "b_")), "y": F.when(F.col("a_").isNotNull(), F.greatest("a_", "b_"))}).join(done, ["x", "y"], "left_anti")
+        thin = scratch.save(_near_pairs(thin.select("a", "b"), v, norm, eps * eps + 1e-12).select("a", "b"), "thin")
+        ends = thin.union(thin.select("b", "a")).join(places.select(F.col("rep").alias("b"), "copies"), "b")
+        close, counts = close.union(thin), counts.union(ends.select("a", "copies"))
 
     # a part is known to be one cluster of core hosts; its smallest host stands for it
     stands = dense.groupBy("part").agg(F.min("h").alias("stand"))
     of_part = dense.join(stands, "part").select("h", "stand")
     both = close.union(close.select("b", "a"))
-    near = both.join(places.select(F.col("rep").alias("b"), "copies"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("near"))
+    near = counts.groupBy("rep").agg(F.sum("near").alias("near"))
     core = places.join(near, "rep", "left").where(F.col("copies") + F.coalesce("near", F.lit(0)) >= least)
     core = scratch.save(core.select(F.col("rep").alias("h")).union(of_part.select("h")).distinct().join(of_part, "h", "left").select("h", F.coalesce("stand", "h").alias("stand")))
     named = lambda df, c: df.join(core.select(F.col("h").alias(c), F.col("stand").alias(f"{c}_")), c)
@@ -128,10 +151,45 @@ def dbscan(weights: DataFrame, host: str, sig: str, eps: float = 0.35, least: in
     return out.select(F.col("h").alias(host), F.coalesce("c", "r").alias("cluster"))
 
 
-CENTRES, ROUNDS = 64, 4
+CENTRES, ROUNDS, TRIED = 64, 4, 256
+FEW = 1 << 14  # fleets of so many places are compared in blocks alone
+CROWD = 16  # hosts that meet at a signature and are joined; more are compared in blocks
+BLOCK, WAYS = 1 << 20, 12  # weights in a block; blocks that hosts are dealt to at least, where they are more than 1,024 each
+
+
+def _grid(vectors: DataFrame, dense: DataFrame) -> DataFrame:
+    """(part, hosts, n, first, share): the place of a part, or of the hosts in no part (null), on a line of n blocks. Small parts share a block. As many rows as parts, which the cover bounds."""
+    hosts = vectors.select("h", F.size("v").alias("weights")).join(dense.select("h", "part"), "h", "left")
+    sizes = hosts.groupBy("part").agg(F.count("*").alias("hosts"), F.sum("weights").alias("weights"))
+    kind = Window.partitionBy(F.col("part").isNull())
+    n = F.greatest(F.ceil(F.sum("weights").over(kind) / BLOCK), F.least(F.ceil(F.sum("hosts").over(kind) / 1024), F.lit(WAYS)))
+    share = F.col("weights") / F.sum("weights").over(kind) * F.col("n")
+    first = F.sum("share").over(kind.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    return sizes.withColumn("n", n).withColumn("share", share).withColumn("first", F.coalesce(first, F.lit(0.0))).select("part", "hosts", "n", "first", "share")
+
+
+def _met(rare: DataFrame, what: str) -> DataFrame:
+    """(a, b): hosts or blocks (column ``what``) to compare, a <= b: those out of parts with all that they share a rare signature with, those of two parts where a host is close enough to the other's centre to have a neighbour there."""
+    loose, bound = rare.where("part IS NULL").select("s", F.col(what).alias("a")).distinct(), rare.where("part IS NOT NULL")
+    met = loose.join(rare.select("s", F.col(what).alias("b"), F.col("part").isNull().alias("loose")).distinct(), "s").where("NOT loose OR a <= b").select("a", "b")
+    reach = bound.select(what, "s", "part", F.explode("others").alias("other")).distinct()
+    mine = reach.select(F.col(what).alias("a"), "s", F.col("part").alias("p"), F.col("other").alias("o")).where("p < o")
+    theirs = reach.select(F.col(what).alias("b"), "s", F.col("other").alias("p"), F.col("part").alias("o"))
+    return met.union(mine.join(theirs, ["s", "p", "o"]).select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
 
+def _within(pairs: DataFrame, vectors: DataFrame, most: float, least: int) -> DataFrame:
+    """What blocks find that are compared pair by pair: (a, null, near), the copies within the squared distance of a host, to be added up, and (a, b, null), links.
 
-def _within(pairs: DataFrame, v: DataFrame, norm: DataFrame, most: float) -> DataFrame:
+    Of the links between hosts that a pair of blocks shows to be core hosts, a forest; all others. vectors: h, block, v, q, copies, and sure, whether it is known to be a core host.
+    """
+    n, h = pairs.count(), dict(vectors.dtypes)["h"]
+    sides = [vectors.join(F.broadcast(pairs) if n <= 100_000 else pairs, F.col("block") == F.col(c)).withColumn("right", F.lit(c == "b")) for c in ("a", "b")]
+    dealt = sides[0].union(sides[1].where("a <> b")).select("a", "b", "right", "h", "v", "q", "copies", "sure")
+    return dealt.repartition(max(1, min(n, 2000)), "a", "b").groupBy("a", "b").applyInArrow(_compare_blocks(most, least), f"a {h}, b {h}, near long")
+
+
+def _near_pairs(pairs: DataFrame, v: DataFrame, norm: DataFrame, most: float) -> DataFrame:
     """(a, b, d2) of the pairs whose squared distance is at most ``most``; both share a signature."""
     a, b = v.withColumnsRenamed({"h": "a", "w": "wa"}), v.withColumnsRenamed({"h": "b", "w": "wb"})
     dots = pairs.join(a, "a").join(b, ["b", "s"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
@@ -139,6 +197,34 @@ def _within(pairs: DataFrame, v: DataFrame, norm: DataFrame, most: float) -> Dat
     return dots.join(qa, "a").join(qb, "b").withColumn("d2", F.col("qa") + F.col("qb") - 2 * F.col("dot")).where(F.col("d2") <= most).select("a", "b", "d2")
 
 
+def _compare_blocks(most: float, least: int):
+    def compare(both: pa.Table) -> pa.Table:
+        both = both.sort_by([("right", "ascending"), ("h", "ascending")]).combine_chunks()
+        n, size = pc.sum(pc.invert(both["right"])).as_py(), len(both)
+        copies, sure, q = (both[c].to_numpy() for c in ("copies", "sure", "q"))
+        by_name = pc.sort_indices(both["h"]).to_numpy().astype(np.int64)  # the smallest host leads a tree
+        rank, lead = np.argsort(by_name), np.arange(size)
+        near, single = np.zeros(size, np.int64), []
+        for x, y in blocks.links(both["v"], q, n, most):
+            near += blocks.sums(x, copies[y], size) + blocks.sums(y, copies[x], size)
+            if least <= 2:  # both ends are core hosts
+                blocks.merge(lead, rank[x], rank[y])
+        if least > 2:
+            core = sure | (copies + near >= least)
+            for x, y in blocks.links(both["v"], q, n, most):
+                inner = core[x] & core[y]
+                blocks.merge(lead, rank[x[inner]], rank[y[inner]])
+                single.append((x[~inner], y[~inner]))
+        led, told = np.flatnonzero(lead != np.arange(size)), np.flatnonzero(near)
+        x, y = (np.concatenate([by_name[z], *(s[k] for s in single)]) for k, z in enumerate((led, lead[led])))
+        h, none = both["h"].combine_chunks(), lambda k, kind: pa.nulls(k, kind)
+        a = pa.concat_arrays([h.take(pa.array(x)), h.take(pa.array(told))])
+        b = pa.concat_arrays([h.take(pa.array(y)), none(len(told), h.type)])
+        return pa.table({"a": a, "b": b, "near": pa.concat_arrays([none(len(x), pa.int64()), pa.array(near[told])])})
+
+    return compare
+
+
 def _to_centres(v: DataFrame, norm: DataFrame, centres: DataFrame, most: float) -> DataFrame:
     """(h, centre, d2) of hosts and centres within the squared distance; centres (column h) are few, so this takes a bounded number of pairs a host."""
     vc = v.join(F.broadcast(centres), "h").withColumnsRenamed({"h": "centre", "w": "wc"})
@@ -151,8 +237,8 @@ def _cover(v: DataFrame, norm: DataFrame, eps: float, least: int, places: DataFr
     """(h, centre): hosts in balls of radius eps / 2 that hold ``least`` hosts or more. They are within eps of each other, so all are core and in one cluster.
 
     Centres are hosts of least hash, CENTRES in each of at most ROUNDS rounds, each among the
-    hosts that no ball holds yet; where hosts are dense, some are drawn. Very short vectors stay out:
-    only of longer ones does a distance within eps imply a common signature.
+    hosts that no ball holds yet; where hosts are dense, some are drawn. Of large fleets, centres are tried
+    on a few hosts first. Very short vectors stay out: only of longer ones does a distance within eps imply a common signature.
     """
     free = norm.where(F.col("q") > eps * eps / 2 + 1e-9)
     out = v.select("h", F.col("h").alias("centre")).where("false")
@@ -161,6 +247,11 @@ def _cover(v: DataFrame, norm: DataFrame, eps: float, least: int, places: DataFr
         if left <= CENTRES:
             break
         centres = scratch.save(free.orderBy(F.xxhash64("h"), "h").limit(CENTRES).select("h"), "centres")
+        if left > 4 * TRIED:
+            tried = free.where(F.pmod(F.xxhash64(F.lit("tried"), "h"), F.lit(left // TRIED)) == 0).select("h")
+            tried = _to_centres(v.join(tried, "h", "left_semi"), norm, centres, eps * eps / 4 - 1e-9)
+            if 8 * tried.select("h").distinct().count() < TRIED:
+                break
         held = _to_centres(v.join(free.select("h"), "h", "left_semi"), norm, centres, eps * eps / 4 - 1e-9)
         held = scratch.save(held.join(places.select(F.col("rep").alias("h"), "copies"), "h"), "in-reach")
         reach = held.groupBy("centre").agg((-F.sum("copies")).alias("_reach"))
@@ -176,9 +267,9 @@ def _cover(v: DataFrame, norm: DataFrame, eps: float, least: int, places: DataFr
 
 def _joined_balls(v: DataFrame, norm: DataFrame, balls: DataFrame, eps: float, scratch: Scratch) -> DataFrame:
     """(h, part, others): balls of which one holds a host within eps of the other's centre are one part; others are the parts whose centres are near enough for a neighbour there."""
+    if balls.isEmpty():
+        return balls.select("h", F.col("centre").alias("part"), F.array("centre").alias("others"))
     centres = scratch.save(balls.select(F.col("centre").alias("h")).distinct(), "all-centres")
-    if centres.isEmpty():
-        return balls.select("h", F.col("centre").alias("part"), F.array("centre").alias("others")).where("false")
     near = scratch.save(_to_centres(v.join(balls.select("h"), "h", "left_semi"), norm, centres, (1.5 * eps + 1e-6) ** 2), "near-centres")
     own = balls.withColumnRenamed("centre", "own")
     links = near.where(F.col("d2") <= eps * eps + 1e-12).join(own, "h").select(F.col("own").alias("a"), F.col("centre").alias("b")).where("a <> b").distinct()

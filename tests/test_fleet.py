@@ -3,7 +3,7 @@ import math
 from conftest import rows
 from pyspark.sql import functions as F
 
-from harrier.operators import correlate, fleet, markov, triage
+from harrier.operators import blocks, correlate, fleet, markov, triage
 from harrier.sources import readers
 
 
@@ -168,6 +168,66 @@ def test_pairs_of_a_uniform_fleet(spark, monkeypatch):
     assert compared == [0, 0]
 
 
+def different_hosts(rng, n):
+    """Hosts with many signatures in common, each in a mix of its own, some close to another one."""
+    mixes = [[rng.random() ** 3 for _ in range(12)] for _ in range(n // 2)]
+    hosts = {}
+    for i in range(n):
+        v = {f"s{j:02d}": x + rng.uniform(0, 0.05) for j, x in enumerate(mixes[i % len(mixes)]) if x > 0.1 or rng.random() < 0.1}
+        v[f"pair{i // 3}"], v[f"own{i}"] = 0.1, 0.05
+        length = math.sqrt(sum(x * x for x in v.values()))
+        hosts[f"h{i:04d}"] = {s: x / length for s, x in v.items()}
+    return hosts
+
+
+def weights(spark, vectors):
+    return spark.createDataFrame([(h, s, x) for h, v in vectors.items() for s, x in v.items()], "h string, s string, w double")
+
+
+def test_different_hosts_are_compared_in_blocks(spark, monkeypatch):
+    """Hosts that differ but share common signatures: what is joined grows with the blocks, not with the pairs of hosts."""
+    import random
+
+    compared = []
+    real = fleet._within
+    monkeypatch.setattr(fleet, "_within", lambda pairs, *a: (compared.append(pairs.count()), real(pairs, *a))[1])
+    for n in (150, 300):
+        vectors = different_hosts(random.Random(n), n)
+        assert dict(rows(fleet.dbscan(weights(spark, vectors), "h", "s", 0.2))) == plain_dbscan(vectors, 0.2, 2)
+    assert max(compared) <= 3  # those in balls are one block, the others one
+
+
+def test_dbscan_by_blocks_and_by_pairs(spark, monkeypatch):
+    """Few hosts meet at rare signatures and are joined, many at common ones; blocks and tiles of a few hosts, whatever a core host takes."""
+    import random
+
+    for name, k in (("FEW", 0), ("CROWD", 4), ("BLOCK", 300)):
+        monkeypatch.setattr(fleet, name, k)
+    monkeypatch.setattr(blocks, "TILE", 16)
+    vectors = different_hosts(random.Random(8), 160) | {f"short{i}": {f"s{i % 3:02d}": 0.01 + i / 1000, f"few{i // 2}": 0.01} for i in range(9)}
+    vectors |= {f"copy-{h}": v for h, v in list(vectors.items())[::20]}
+    for eps, least in ((0.2, 2), (0.3, 4), (0.45, 9)):
+        assert dict(rows(fleet.dbscan(weights(spark, vectors), "h", "s", eps, least))) == plain_dbscan(vectors, eps, least)
+
+
+def test_links_of_blocks(monkeypatch):
+    """Frequent and single signatures, short vectors that share nothing, opposite weights; within one block and between two."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(blocks, "TILE", 7)
+    monkeypatch.setattr(blocks, "PRODUCTS", 5)
+    rng = np.random.default_rng(2)
+    data = [{int(s): float(w) for s, w in zip(rng.choice(400 if i % 2 else 6, 5, replace=False), rng.normal(0, 0.4 if i % 3 else 0.05, 5))} for i in range(60)]
+    lists = pa.chunked_array([pa.array([[{"s": s, "w": w} for s, w in v.items()] for v in data], pa.list_(pa.struct([("s", pa.int64()), ("w", pa.float64())])))])
+    q = np.array([sum(w * w for w in v.values()) for v in data])
+    near = lambda a, b: a.keys() & b.keys() and sum((a.get(s, 0) - b.get(s, 0)) ** 2 for s in a.keys() | b.keys()) <= 0.3
+    for n in (60, 25):
+        found = sorted((int(a), int(b)) for x, y in blocks.links(lists, q, n, 0.3) for a, b in zip(x, y))
+        assert found == [(a, b) for a in range(n) for b in range(a + 1 if n == 60 else n, 60) if near(data[a], data[b])]
+        assert len(found) > 20
+
+
 def test_files_are_parted_once_by_path(spark):
     """Groups of host and path, and windows over a path, run in the partitions of one shuffle, which aren't merged."""
     from harrier.plans import registry
